@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, tokenfile
-from tidemill.llm.common import fresh_path, table, written
+from tidemill.llm import bpe, html, langid, neighbours, quality, tokenfile, urlrules
+from tidemill.llm.common import fresh_path, held_out, table, written
 
 
 def vocabulary(name: str) -> str:
@@ -15,10 +16,51 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = held_out("doc_id", 4, 2)
+    model = langid.train(docs, ~held)
+    found = langid.identify(docs.select("doc_id", held.alias("held_out"), "text"), model, keep=["held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), keep_ids=False)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = held_out("doc_id", 5, 0)
+    net = quality.train(docs, table(spark, sf_dir, "labels"), ~held)
+    return quality.score(docs.select("doc_id", held.alias("held_out"), "text"), net, keep=["held_out"]).select("doc_id", "held_out", "score", "predicted")
+
+
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(table(spark, sf_dir, "pages"), urlrules.rule_table(spark, urlrules.RULES))
+
+
+OP5_SQL = r"""
+WITH u AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages
+), r(action, rule, h, p) AS (
+  VALUES ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'), ('block', 'example.org/en/1', 'example.org', '/en/1'),
+         ('allow', 'com/fr/', 'com', '/fr/'), ('block', 'com/de/', 'com', '/de/')
+), m AS (
+  SELECT u.page_id, r.rule, r.action, row_number() OVER (PARTITION BY u.page_id ORDER BY length(r.rule) DESC, r.rule DESC) AS rn
+  FROM u JOIN r ON (u.host = r.h OR ends_with(u.host, '.' || r.h)) AND starts_with(u.path, r.p)
+)
+SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.action, 'allow') AS verdict
+FROM u LEFT JOIN m ON m.page_id = u.page_id AND m.rn = 1
+"""
+
+
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-files")
     files = written(tokenfile.write_token_files(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json")), "token-file-list")
@@ -26,5 +68,17 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op8_token_files": op8_token_files}
-ORACLES: dict[str, str] = {}
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_bpe": op2_bpe,
+    "op4_quality": op4_quality,
+    "op5_url_rules": op5_url_rules,
+    "op6_main_text": op6_main_text,
+    "op8_token_files": op8_token_files,
+    "op10_neighbours": op10_neighbours,
+}
+ORACLES = {"op5_url_rules": OP5_SQL}
