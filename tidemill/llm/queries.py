@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, html, langid, neighbours, quality, tokenfile, urlrules
+from tidemill.llm import bpe, html, jaccard, langid, neighbours, quality, tokenfile, urlrules
 from tidemill.llm.common import fresh_path, held_out, table, written
 
 
@@ -61,6 +61,10 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-files")
     files = written(tokenfile.write_token_files(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json")), "token-file-list")
@@ -78,6 +82,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_url_rules": op5_url_rules,
     "op6_main_text": op6_main_text,
+    "op7_jaccard": op7_jaccard,
     "op8_token_files": op8_token_files,
     "op10_neighbours": op10_neighbours,
 }
