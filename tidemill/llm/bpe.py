@@ -16,6 +16,7 @@ import json
 import re
 from functools import cache, lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -242,16 +243,17 @@ def codec(path: str) -> TextCodec:
     return TextCodec(PrefixBPE(path))
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, keep_decoded: bool = True) -> DataFrame:
     """Encodes every text and decodes it again.
 
     Returns ``id_col``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``, with ``ids`` (array)
-    and ``decoded`` between them if ``keep_ids``. A null text counts as empty: no tokens, the hashes
+    before the hashes if ``keep_ids`` and ``decoded`` behind it if also ``keep_decoded``. A null text counts as empty: no tokens, the hashes
     of the empty string. Repeated rows and ids give one row each; further columns of ``docs`` are
     left out; an empty table gives an empty table. Nothing is shuffled.
     """
     sha = lambda data: hashlib.sha256(data).hexdigest()
-    fields = [("ids", pa.list_(pa.int32())), ("decoded", pa.string())] if keep_ids else []
+    keep_decoded = keep_ids and keep_decoded
+    fields = [("ids", pa.list_(pa.int32()))] * keep_ids + [("decoded", pa.string())] * keep_decoded
     id_type = docs.select(id_col).schema[0].dataType.simpleString()
 
     def make():
@@ -266,12 +268,13 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
                 out["i"].append(sha(ids.encode()))
                 out["d"].append(sha(data))
                 if keep_ids:
-                    out["ids"].append([int(i) for i in ids.split(",") if i])
+                    out["ids"].append(np.fromstring(ids, np.int32, sep=",") if ids else np.zeros(0, np.int32))
+                if keep_decoded:
                     out["decoded"].append(data.decode())
             kept = [pa.array(out[name], kind) for name, kind in fields]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out["n"], pa.int64()), *kept, pa.array(out["i"]), pa.array(out["d"])], [id_col, "n_tokens", *(name for name, _ in fields), "ids_sha256", "decoded_sha256"])
 
         return each
 
-    kept = "ids array<int>, decoded string, " if keep_ids else ""
+    kept = "ids array<int>, " * keep_ids + "decoded string, " * keep_decoded
     return map_rows(docs.select(id_col, text_col), make, f"{id_col} {id_type}, n_tokens bigint, {kept}ids_sha256 string, decoded_sha256 string")

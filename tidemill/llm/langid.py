@@ -137,12 +137,13 @@ def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds ``lang_pred``, ``score`` and ``proportions`` to every row, from its whole text.
 
-    ``score`` is the proportion of the predicted language, from 0 to 1. A null text, one without
+    Rows whose ``keep`` has the text carry it once. ``score`` is the proportion of the predicted language, from 0 to 1. A null text, one without
     letters, or a model without languages gives ``und`` and 0. Of equal proportions the language
     that sorts first wins. Only ``id_col`` and the columns of ``keep`` are carried along; repeated
     rows give one row each, an empty table an empty one.
     """
-    names = [id_col, *(keep or [])]
+    names = list(dict.fromkeys([id_col, *(keep or [])]))
+    at = names.index(text_col) if text_col in names else len(names)
     fields = [docs.schema[name] for name in names]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string, score double, proportions map<string,double>"])
     spark = docs.sparkSession
@@ -153,7 +154,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
         own = LanguageModel(languages, log_p)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(at).to_pylist()
             pred, score, shares = [UNDETERMINED] * len(texts), [0.0] * len(texts), [[] for _ in texts]
             waiting: list[tuple[int, tuple]] = []
 
@@ -182,4 +183,4 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
         return each
 
-    return map_rows(docs.select(*names, F.col(text_col).alias("__text")), make, schema)
+    return map_rows(docs.select(*names, *([F.col(text_col).alias("__text")] if at == len(names) else [])), make, schema)

@@ -138,7 +138,8 @@ def score(docs: DataFrame, net: ByteNet, threshold: float = 0.3, id_col: str = "
     A null text counts as empty; an empty text gets the score of a window of end bytes. Repeated rows
     give one row each; only ``id_col`` and ``keep`` are carried along; an empty table gives an empty one.
     """
-    names = [id_col, *(keep or [])]
+    names = list(dict.fromkeys([id_col, *(keep or [])]))
+    at = names.index(text_col) if text_col in names else len(names)
     schema = ", ".join([*(f"`{name}` {docs.schema[name].dataType.simpleString()}" for name in names), "score double, predicted int"])
     shared = docs.sparkSession.sparkContext.broadcast((net.taps, net.bias, net.weights, net.offset))
 
@@ -146,10 +147,10 @@ def score(docs: DataFrame, net: ByteNet, threshold: float = 0.3, id_col: str = "
         own = ByteNet(*shared.value)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            scores = [own.probability(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            scores = [own.probability(t) for t in batch.column(at).to_pylist()]
             columns = [batch.column(k) for k in range(len(names))]
             return pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], [*names, "score", "predicted"])
 
         return each
 
-    return map_rows(docs.select(*names, F.col(text_col).alias("__text")), make, schema)
+    return map_rows(docs.select(*names, *([F.col(text_col).alias("__text")] if at == len(names) else [])), make, schema)

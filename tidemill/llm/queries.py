@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, html, jaccard, langid, neighbours, quality, tokenfile, urlrules
+from tidemill.llm import bpe, chat, decontam, html, jaccard, langid, neighbours, quality, tokenfile, urlrules
 from tidemill.llm.common import fresh_path, held_out, table, written
 
 
@@ -28,6 +28,19 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), keep_ids=False)
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(table(spark, sf_dir, "conversations"), chat.tool_parameters(spark))
+
+
+#: No message of the table calls a tool, so SQL has only the ordinary lines to say; links are tested on fixtures.
+OP3_SQL = """
+SELECT conv_id, turn, CAST(-1 AS INTEGER) AS part, 'message' AS kind, role, CAST(NULL AS VARCHAR) AS call_id,
+       turn AS anchor_turn, CAST(0 AS INTEGER) AS level, 'ok' AS status,
+       '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' AS line
+FROM conversations
+"""
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = held_out("doc_id", 5, 0)
@@ -72,6 +85,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -79,11 +96,13 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
+    "op3_chat_format": op3_chat_format,
     "op4_quality": op4_quality,
     "op5_url_rules": op5_url_rules,
     "op6_main_text": op6_main_text,
     "op7_jaccard": op7_jaccard,
     "op8_token_files": op8_token_files,
+    "op9_decontaminate": op9_decontaminate,
     "op10_neighbours": op10_neighbours,
 }
-ORACLES = {"op5_url_rules": OP5_SQL}
+ORACLES = {"op3_chat_format": OP3_SQL, "op5_url_rules": OP5_SQL}
