@@ -1,5 +1,69 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: language, quality, near duplicates, benchmark leaks, token ids.
+
+Each stage takes what the stage before it kept and returns the columns of ``documents``; the
+last returns token ids. ``run`` writes what a stage returns as Parquet in the shared folder
+and reads it again for the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemill.llm import bpe, decontam, jaccard, langid, quality
+from tidemill.llm.common import held_out, table, written
+from tidemill.llm.queries import vocabulary
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document is kept if one language wrote at least this part of it.
+LEAST_LANGUAGE = 0.5
+
+#: Learned models and byte-level ids cannot be said in SQL.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents of no determined language and those that no language dominates."""
+    model = langid.train(docs, ~held_out("doc_id", 4, 2))
+    named = langid.identify(docs.select(*COLUMNS), model, keep=COLUMNS)
+    return named.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE)).select(*COLUMNS)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that the classifier predicts to be of label 0."""
+    net = quality.train(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 5, 0))
+    return quality.score(docs.select(*COLUMNS), net, keep=COLUMNS).where("predicted = 1").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five words, 0.8) the document with the smallest id stays; so do rows without an id."""
+    groups = jaccard.near_duplicates(docs.select("doc_id", "text"), width=5, num=80, den=100)
+    removed = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(removed, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents into which a benchmark item has leaked."""
+    return decontam.without_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and the hashes of the ids and of the decoded text."""
+    return bpe.encode_documents(docs, vocabulary("byte_bpe_50k.json"), keep_ids=True, keep_decoded=False)
+
+
+STAGES = [
+    ("language", language),
+    ("quality", good_quality),
+    ("near_duplicates", near_duplicates),
+    ("decontaminated", decontaminated),
+    ("token_ids", token_ids),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
