@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from tidemill.plans import business, content, recommend, traffic
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for module in (traffic, business, content, recommend):
+    QUERIES.update(module.QUERIES)
+    ORACLES.update(module.ORACLES)
