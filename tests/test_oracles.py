@@ -10,10 +10,10 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def plain(value):
-    if value is None or value != value:
-        return "null"
     if isinstance(value, (list, np.ndarray)):
         return [plain(v) for v in value]
+    if value is None or value != value:
+        return "null"
     if isinstance(value, (bool, np.bool_)):
         return str(bool(value))
     if isinstance(value, (int, float, np.number)):
