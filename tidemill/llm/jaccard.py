@@ -147,12 +147,20 @@ def sizes_fit(a, b, num: int, den: int):
     return F.least(size_of(a), size_of(b)) * den >= F.greatest(size_of(a), size_of(b)) * num
 
 
-def rest_fits(a, b, num: int, den: int):
-    """Whether enough can be shared if this is the first common shingle. Every pair has one for which this holds."""
-    most = F.least(size_of(a) - pos_of(a), size_of(b) - pos_of(b))
+def rest_fits(a, b, num: int, den: int, before=0):
+    """Whether enough can be shared if ``before`` common shingles come before this one.
+
+    Of every pair it holds for the first common shingle with 0, for the k-th with k - 1.
+    """
+    most = F.least(size_of(a) - pos_of(a), size_of(b) - pos_of(b)) + before
     return most * (num + den) >= num * (size_of(a) + size_of(b))
 
 
+def early_enough(a, b, num: int, den: int):
+    """Whether this may be among the first common shingles, as many as the pair must share in its prefixes."""
+    return rest_fits(a, b, num, den, F.least(l_of(a), l_of(b)) - 1)
+
+
 def with_hubs(rows: DataFrame) -> DataFrame:
     """Posting lists of two sets or more, with the hub of each list (of each part of a long list)."""
     w = Window.partitionBy("token", F.pmod("sig", salts_of(F.col("info")))).orderBy(pos_of(F.col("info")), "sig")
@@ -168,7 +176,7 @@ def hub_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
     w = Window.partitionBy("token").orderBy(pos_of(F.col("info")), "sig")
     upper = heads.select("token", "sig", "info", F.first(F.struct("sig", "info")).over(w).alias("top")).select("sig", "info", F.col("top.sig").alias("hub"), F.col("top.info").alias("hub_info"))
     met = lists.select("sig", "info", "hub", "hub_info").unionByName(upper).where("hub <> sig")
-    met = met.where(sizes_fit(F.col("info"), F.col("hub_info"), num, den))
+    met = met.where(sizes_fit(F.col("info"), F.col("hub_info"), num, den) & early_enough(F.col("info"), F.col("hub_info"), num, den))
     pairs = met.groupBy(F.col("hub").alias("a"), F.col("sig").alias("b")).agg(F.count("*").alias("shared"), F.max(rest_fits(F.col("info"), F.col("hub_info"), num, den)).alias("fits"))
     best = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
     return pairs.where("fits").withColumn("rn", F.row_number().over(best)).where("rn <= 2").select("a", "b")
@@ -181,7 +189,7 @@ def cross_pairs(lists: DataFrame, classes: DataFrame, num: int, den: int) -> Dat
     rows = rows.join(apart, "token")
     x, y = rows.alias("x"), rows.alias("y")
     both = (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.sig") < F.col("y.sig"))
-    met = x.join(y, both & sizes_fit(F.col("x.info"), F.col("y.info"), num, den))
+    met = x.join(y, both & sizes_fit(F.col("x.info"), F.col("y.info"), num, den) & early_enough(F.col("x.info"), F.col("y.info"), num, den))
     least = F.least(l_of(F.col("x.info")), l_of(F.col("y.info")))
     pairs = met.groupBy(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).agg(F.count("*").alias("shared"), F.max(least).alias("needed"), F.max(rest_fits(F.col("x.info"), F.col("y.info"), num, den)).alias("fits"))
     return pairs.where("fits and shared >= needed").select("a", "b")
