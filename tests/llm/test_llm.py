@@ -155,6 +155,24 @@ def test_repeated_branches_of_a_host_go(spark):
     assert {r.text for r in html.extract(pages).collect()} == {f"Own words of page {i * 7919}." for i in range(12)}
 
 
+def main_texts(spark, pages):
+    table = spark.createDataFrame([(i, "http://h/x", page) for i, page in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in html.extract(table).orderBy("page_id").collect()]
+
+
+def test_repeated_branches_inside_article_go(spark):
+    own = [f"Own words of page {i * 7919}." for i in range(12)]
+    pages = [f"<article><div class=zz><p>Read this on every page.</p></div><p>{t}</p></article>" for t in own]
+    assert main_texts(spark, pages) == own
+    # copies of one page add nothing to what repeats
+    assert main_texts(spark, pages + pages[:1] * 40) == own + own[:1] * 40
+
+
+def test_a_small_article_leaves_the_text_around_it(spark):
+    pages = [f"<div class=words><p>Own words of page {i * 7919}.</p></div><article><p>Teaser {i}</p></article>" for i in range(12)]
+    assert main_texts(spark, pages) == [f"Own words of page {i * 7919}.\nTeaser {i}" for i in range(12)]
+
+
 def brute_components(rows, width, num, den):
     sets = {}
     for i, t in rows:

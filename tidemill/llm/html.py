@@ -3,23 +3,22 @@
 Pages of one host are merged into a tree of style nodes (tag, classes and id along the path from
 the root). Two entropies weigh a node: how differently its children are laid out from page to
 page, and how evenly its contents repeat over the pages. Text that stands at an unimportant node
-is dropped, as is text under elements that HTML or their names mark as menus, headers, footers,
-sidebars, notices, adverts, forms or comments. Text inside ``article`` or ``main`` is never
-dropped for repeating: on this kind of corpus whole pages are copied.
+is dropped, wherever on the page that is; so is text under elements that HTML or their names mark
+as menus, headers, footers, sidebars, notices, adverts, forms or comments. Whole pages are copied
+on this kind of corpus, so pages of one host with the same unmarked text count as one page.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import arrow_batches, map_rows
+from tidemill.llm.common import arrow_batches, map_rows, written
 from tidemill.llm.urlrules import host_of
 
 #: Weight of a node's own contents against its parent's layout; below LEAST it is dropped, if at least PAGES pages have it.
@@ -39,18 +38,17 @@ BOILERPLATE_NAMES = re.compile(
     r"(?:^|[-_\s])(?:ads?|advert\w*|adbox|adslot|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|foot|side|sidebar|aside|widgets?|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscri\w*|signup|login|search|forms?|comments?|disqus|replies|respond|related|recommend\w*|share|sharing|social|pagination|pager|toolbar|complementary|contentinfo|navigation)(?:[-_\s]|$)",
     re.I,
 )
-MAIN_TAGS = frozenset(("article", "main"))
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Opening one of these ends an open paragraph.
 ENDS_P = BLOCKS - {"html", "head", "body", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "summary", "figcaption"}
 SCOPES = frozenset(("ul", "ol", "dl", "table", "article", "main", "section", "div", "body", "blockquote", "td", "th"))
 
 
-def walk(html: str) -> tuple[list[tuple[str, bool, bool, str]], dict[str, list[str]]]:
-    """Blocks of a page (style path, boilerplate, inside main, text) and the children of each style node, in order."""
-    blocks: list[tuple[str, bool, bool, str]] = []
+def walk(html: str) -> tuple[list[tuple[str, bool, str]], dict[str, list[str]]]:
+    """Blocks of a page (style path, marked as boilerplate, text) and the children of each style node, in order."""
+    blocks: list[tuple[str, bool, str]] = []
     children: dict[str, list[str]] = {}
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    stack: list[tuple[str, str, bool]] = [("", "", False)]
     buffer: list[str] = []
 
     def flush() -> None:
@@ -58,7 +56,7 @@ def walk(html: str) -> tuple[list[tuple[str, bool, bool, str]], dict[str, list[s
             text = " ".join(entities.unescape("".join(buffer)).split())
             buffer.clear()
             if text:
-                blocks.append((stack[-1][1], stack[-1][2], stack[-1][3], text))
+                blocks.append((stack[-1][1], stack[-1][2], text))
 
     def close(names: tuple[str, ...]) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -96,7 +94,7 @@ def walk(html: str) -> tuple[list[tuple[str, bool, bool, str]], dict[str, list[s
                 flush()
             continue
         names = " ".join((a or b or c) for _, a, b, c in ATTRIBUTE.findall(m[4])) if m[4] else ""
-        _, path, boiler, inside = stack[-1]
+        _, path, boiler = stack[-1]
         marked = tag in BOILERPLATE_TAGS or bool(names and tag not in ("html", "body") and BOILERPLATE_NAMES.search(names))
         if tag in BLOCKS or (marked and not boiler):
             flush()
@@ -106,7 +104,7 @@ def walk(html: str) -> tuple[list[tuple[str, bool, bool, str]], dict[str, list[s
             path = f"{path}/{step}" if path.count("/") < DEPTH else path
         if m[4].rstrip().endswith("/") and tag not in BLOCKS:
             continue
-        stack.append((tag, path, boiler or marked, inside or tag in MAIN_TAGS))
+        stack.append((tag, path, boiler or marked))
     if at < len(html):
         buffer.append(html[at:])
     flush()
@@ -116,33 +114,43 @@ def walk(html: str) -> tuple[list[tuple[str, bool, bool, str]], dict[str, list[s
 def main_text(html: str | None, dropped: frozenset[str] = frozenset()) -> str:
     """The main text of a page, without blocks at the ``dropped`` style nodes; blocks are joined by line ends."""
     blocks, _ = walk(html or "")
-    inside = any(main and not boiler for _, boiler, main, _ in blocks)
-    return "\n".join(text for path, boiler, main, text in blocks if not boiler and (main if inside else path not in dropped))
+    return "\n".join(text for path, boiler, text in blocks if not boiler and path not in dropped)
+
+
+def page_features(html: str | None) -> tuple[int, list[dict]]:
+    """What identifies a page among its copies, its unmarked text, and what the page adds to the tree of its host.
+
+    Features are of kind 0, a node's contents, 1, a node's layout, or 2, the page itself.
+    """
+    blocks, children = walk(html or "")
+    own = [(path, text) for path, boiler, text in blocks if not boiler]
+    features = {(path, 0, stable(text)) for path, text in own} | {(path, 1, stable("\n".join(steps))) for path, steps in children.items()} | {("", 2, 0)}
+    return stable("\n".join(f"{path}\t{text}" for path, text in own)), [{"path": path, "kind": kind, "feature": feature} for path, kind, feature in sorted(features)]
 
 
 def style_nodes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The merged trees of all hosts: host, path, parent, pages, importance.
 
-    Tasks count before the shuffle, so a host with a third of all pages sends no more rows than
-    it has different nodes and contents in each task.
+    Copies of a page count once for each host. They, and what different pages have in common, are
+    put together in each task before the shuffle, so a host with a third of all pages does no harm.
     """
-    schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("kind", pa.int32()), ("feature", pa.int64()), ("n", pa.int64())])
+    feature = pa.struct([("path", pa.string()), ("kind", pa.int32()), ("feature", pa.int64())])
+    schema = pa.schema([("host", pa.string()), ("copy", pa.int64()), ("features", pa.list_(feature))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: Counter = Counter()
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                blocks, children = walk(html or "")
-                counts.update({(host, path, 0, stable(text)) for path, _, _, text in blocks})
-                counts.update((host, path, 1, stable("\n".join(steps))) for path, steps in children.items())
-            if counts:
-                host, path, kind, feature = zip(*counts, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(kind, pa.int32()), pa.array(feature, pa.int64()), pa.array(list(counts.values()), pa.int64())], schema=schema)
-
-    rows = arrow_batches(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))).mapInArrow(run, "host string, path string, kind int, feature bigint, n bigint")
-    features = rows.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
-    nodes = features.groupBy("host", "path", "kind").agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.avg(F.log(F.col("n").cast("double"))).alias("log_n"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("n_log_n"))
-    sizes = pages.groupBy(host_of(F.col(url_col)).alias("host")).agg(F.count("*").alias("pages"))
+            pages = [page_features(html) for html in batch.column(1).to_pylist()]
+            if pages:
+                copy, features = zip(*pages, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(copy, pa.int64()), pa.array(features, pa.list_(feature))], schema=schema)
+
+    rows = arrow_batches(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))).mapInArrow(run, "host string, copy bigint, features array<struct<path:string,kind:int,feature:bigint>>")
+    # copies may differ in what is marked: the least list stands for all of them, in whatever order they come
+    distinct = rows.groupBy("host", "copy").agg(F.min("features").alias("features"))
+    features = distinct.select("host", F.inline("features")).groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n"))
+    nodes = features.groupBy("host", "path", "kind").agg(F.sum("n").alias("total"), F.avg(F.log(F.col("n").cast("double"))).alias("log_n"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("n_log_n"))
+    nodes = written(nodes, "style-nodes")
+    sizes = nodes.where("kind = 2").select("host", F.col("total").alias("pages"))
     nodes = nodes.join(sizes, "host").withColumn("log_m", F.log(F.greatest(F.col("pages"), F.lit(2)).cast("double")))
     # contents: 1 where each stands on one page, 0 where each stands on all; layout: the entropy of the child lists
     content = nodes.where("kind = 0").select("host", "path", "pages", F.col("total").alias("seen"), (1 - F.col("log_n") / F.col("log_m")).alias("content"))
