@@ -168,6 +168,23 @@ def test_repeated_branches_inside_article_go(spark):
     assert main_texts(spark, pages + pages[:1] * 40) == own + own[:1] * 40
 
 
+def test_copies_keep_their_text(spark):
+    pages = [f"<div class=intro><p>First words of {k}.</p></div><div class=words><p>Own words of {k}.</p></div>" for k in "ab"]
+    want = [f"First words of {k}.\nOwn words of {k}." for k in "ab"]
+    assert main_texts(spark, pages[:1] * 20) == want[:1] * 20
+    assert main_texts(spark, pages * 20) == want * 20
+
+
+def test_seven_pages_show_what_repeats(spark):
+    pages = [f"<div class=intro><p>Same words on every page.</p></div><div class=words><p>Own words of page {i * 7919}.</p></div>" for i in range(7)]
+    assert main_texts(spark, pages) == [f"Own words of page {i * 7919}." for i in range(7)]
+
+
+def test_deep_nodes_are_told_apart(spark):
+    pages = ["<div>" * 14 + f"<div class=zz><p>Same words on every page.</p></div><div class=words><p>Own words of page {i * 7919}.</p><p>Also {i}.</p></div>" for i in range(12)]
+    assert main_texts(spark, pages) == [f"Own words of page {i * 7919}.\nAlso {i}." for i in range(12)]
+
+
 def test_a_small_article_leaves_the_text_around_it(spark):
     pages = [f"<div class=words><p>Own words of page {i * 7919}.</p></div><article><p>Teaser {i}</p></article>" for i in range(12)]
     assert main_texts(spark, pages) == [f"Own words of page {i * 7919}.\nTeaser {i}" for i in range(12)]

@@ -13,6 +13,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,12 +22,12 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import arrow_batches, map_rows, written
 from tidemill.llm.urlrules import host_of
 
-#: Weight of a node's own contents against its parent's layout; below LEAST it is dropped, if at least PAGES pages have it.
-GAMMA, LEAST, PAGES = 0.9, 0.2, 8
+#: Weight of a node's own contents against its parent's layout; a node of less importance than LEAST is dropped.
+GAMMA, LEAST = 0.9, 0.2
 #: Parts into which the pages of each host are dealt.
 SALTS = 64
-#: Path elements that a style node keeps at most; deeper ones share its node.
-DEPTH = 12
+#: The style node of a whole page. Others are numbered by a hash of their path, which does not grow with its depth.
+ROOT = 0
 
 RAW = "script|style|noscript|template|svg|iframe|textarea|title|math|object|canvas"
 TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<[!?][^>]*>""", re.S | re.I)
@@ -44,11 +45,17 @@ ENDS_P = BLOCKS - {"html", "head", "body", "li", "dt", "dd", "tr", "td", "th", "
 SCOPES = frozenset(("ul", "ol", "dl", "table", "article", "main", "section", "div", "body", "blockquote", "td", "th"))
 
 
-def walk(html: str) -> tuple[list[tuple[str, bool, str]], dict[str, list[str]]]:
-    """Blocks of a page (style path, marked as boilerplate, text) and the children of each style node, in order."""
-    blocks: list[tuple[str, bool, str]] = []
-    children: dict[str, list[str]] = {}
-    stack: list[tuple[str, str, bool]] = [("", "", False)]
+@lru_cache(maxsize=1 << 14)
+def below(path: int, step: str) -> int:
+    """The style node of a child."""
+    return stable(f"{path}/{step}")
+
+
+def walk(html: str) -> tuple[list[tuple[int, int, bool, str]], dict[int, list[str]]]:
+    """Blocks of a page (style node, its parent, marked as boilerplate, text) and the children of each style node, in order."""
+    blocks: list[tuple[int, int, bool, str]] = []
+    children: dict[int, list[str]] = {}
+    stack: list[tuple[str, int, int, bool]] = [("", ROOT, ROOT, False)]
     buffer: list[str] = []
 
     def flush() -> None:
@@ -56,7 +63,7 @@ def walk(html: str) -> tuple[list[tuple[str, bool, str]], dict[str, list[str]]]:
             text = " ".join(entities.unescape("".join(buffer)).split())
             buffer.clear()
             if text:
-                blocks.append((stack[-1][1], stack[-1][2], text))
+                blocks.append((*stack[-1][1:], text))
 
     def close(names: tuple[str, ...]) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -78,7 +85,7 @@ def walk(html: str) -> tuple[list[tuple[str, bool, str]], dict[str, list[str]]]:
         if m[2]:  # an end tag
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
-                    if tag in BLOCKS or stack[k][2] != stack[k - 1][2]:
+                    if tag in BLOCKS or stack[k][3] != stack[k - 1][3]:
                         flush()
                     del stack[k:]
                     break
@@ -94,27 +101,30 @@ def walk(html: str) -> tuple[list[tuple[str, bool, str]], dict[str, list[str]]]:
                 flush()
             continue
         names = " ".join((a or b or c) for _, a, b, c in ATTRIBUTE.findall(m[4])) if m[4] else ""
-        _, path, boiler = stack[-1]
+        _, path, parent, boiler = stack[-1]
         marked = tag in BOILERPLATE_TAGS or bool(names and tag not in ("html", "body") and BOILERPLATE_NAMES.search(names))
         if tag in BLOCKS or (marked and not boiler):
             flush()
         if tag in BLOCKS:
             step = tag + ("." + re.sub(r"\d+", "0", names) if names else "")
             children.setdefault(path, []).append(step)
-            path = f"{path}/{step}" if path.count("/") < DEPTH else path
+            path, parent = below(path, step), path
         if m[4].rstrip().endswith("/") and tag not in BLOCKS:
             continue
-        stack.append((tag, path, boiler or marked))
+        stack.append((tag, path, parent, boiler or marked))
     if at < len(html):
         buffer.append(html[at:])
     flush()
     return blocks, children
 
 
-def main_text(html: str | None, dropped: frozenset[str] = frozenset()) -> str:
+def main_text(html: str | None, dropped: frozenset[int] = frozenset()) -> str:
     """The main text of a page, without blocks at the ``dropped`` style nodes; blocks are joined by line ends."""
     blocks, _ = walk(html or "")
-    return "\n".join(text for path, boiler, text in blocks if not boiler and path not in dropped)
+    return "\n".join(text for path, _, boiler, text in blocks if not boiler and path not in dropped)
+
+
+FEATURE = {"path": pa.int64(), "parent": pa.int64(), "kind": pa.int32(), "feature": pa.int64()}
 
 
 def page_features(html: str | None) -> tuple[int, list[dict]]:
@@ -123,9 +133,9 @@ def page_features(html: str | None) -> tuple[int, list[dict]]:
     Features are of kind 0, a node's contents, 1, a node's layout, or 2, the page itself.
     """
     blocks, children = walk(html or "")
-    own = [(path, text) for path, boiler, text in blocks if not boiler]
-    features = {(path, 0, stable(text)) for path, text in own} | {(path, 1, stable("\n".join(steps))) for path, steps in children.items()} | {("", 2, 0)}
-    return stable("\n".join(f"{path}\t{text}" for path, text in own)), [{"path": path, "kind": kind, "feature": feature} for path, kind, feature in sorted(features)]
+    own = [(path, parent, text) for path, parent, boiler, text in blocks if not boiler]
+    features = {(path, parent, 0, stable(text)) for path, parent, text in own} | {(path, path, 1, stable("\n".join(steps))) for path, steps in children.items()} | {(ROOT, ROOT, 2, 0)}
+    return stable("\n".join(f"{path}\t{text}" for path, _, text in own)), [dict(zip(FEATURE, x, strict=True)) for x in sorted(features)]
 
 
 def style_nodes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -134,7 +144,7 @@ def style_nodes(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     Copies of a page count once for each host. They, and what different pages have in common, are
     put together in each task before the shuffle, so a host with a third of all pages does no harm.
     """
-    feature = pa.struct([("path", pa.string()), ("kind", pa.int32()), ("feature", pa.int64())])
+    feature = pa.struct(list(FEATURE.items()))
     schema = pa.schema([("host", pa.string()), ("copy", pa.int64()), ("features", pa.list_(feature))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,19 +154,20 @@ def style_nodes(pages: DataFrame, url_col: str = "url", html_col: str = "html")
                 copy, features = zip(*pages, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(copy, pa.int64()), pa.array(features, pa.list_(feature))], schema=schema)
 
-    rows = arrow_batches(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))).mapInArrow(run, "host string, copy bigint, features array<struct<path:string,kind:int,feature:bigint>>")
+    rows = arrow_batches(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))).mapInArrow(run, "host string, copy bigint, features array<struct<path:bigint,parent:bigint,kind:int,feature:bigint>>")
     # copies may differ in what is marked: the least list stands for all of them, in whatever order they come
     distinct = rows.groupBy("host", "copy").agg(F.min("features").alias("features"))
-    features = distinct.select("host", F.inline("features")).groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n"))
-    nodes = features.groupBy("host", "path", "kind").agg(F.sum("n").alias("total"), F.avg(F.log(F.col("n").cast("double"))).alias("log_n"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("n_log_n"))
+    features = distinct.select("host", F.inline("features")).groupBy("host", "path", "parent", "kind", "feature").agg(F.count("*").alias("n"))
+    nodes = features.groupBy("host", "path", "parent", "kind").agg(F.sum("n").alias("total"), F.avg(F.log(F.col("n").cast("double"))).alias("log_n"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("n_log_n"))
     nodes = written(nodes, "style-nodes")
     sizes = nodes.where("kind = 2").select("host", F.col("total").alias("pages"))
     nodes = nodes.join(sizes, "host").withColumn("log_m", F.log(F.greatest(F.col("pages"), F.lit(2)).cast("double")))
     # contents: 1 where each stands on one page, 0 where each stands on all; layout: the entropy of the child lists
-    content = nodes.where("kind = 0").select("host", "path", "pages", F.col("total").alias("seen"), (1 - F.col("log_n") / F.col("log_m")).alias("content"))
+    content = nodes.where("kind = 0").select("host", "path", "parent", "pages", (1 - F.col("log_n") / F.col("log_m")).alias("content"))
     layout = nodes.where("kind = 1").select("host", F.col("path").alias("parent"), ((F.log(F.col("total").cast("double")) - F.col("n_log_n") / F.col("total")) / F.col("log_m")).alias("layout"))
-    parent = F.regexp_extract("path", r"(?s)^(.*)/[^/]*$", 1)
-    return content.withColumn("parent", parent).join(layout, ["host", "parent"], "left").withColumn("importance", (1 - GAMMA) * F.coalesce("layout", F.lit(0.0)) + GAMMA * F.col("content"))
+    # m pages speak with a weight of 1 - 1 / m: one page says nothing about what repeats, few say little
+    repeats = 1 - (1 - GAMMA) * F.coalesce("layout", F.lit(0.0)) - GAMMA * F.col("content")
+    return content.join(layout, ["host", "parent"], "left").withColumn("importance", 1 - (1 - 1 / F.col("pages")) * repeats)
 
 
 def stable(text: str) -> int:
@@ -166,15 +177,14 @@ def stable(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = LEAST, least_pages: int = PAGES) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = LEAST) -> DataFrame:
     """Returns ``id_col``, ``url``, ``text`` and ``n_chars`` for every row.
 
     A null page counts as empty; a page without main text gives an empty text. A null URL or one
     without a host joins the pages of the empty host. Repeated rows give one row each; further
-    columns are left out; an empty table gives an empty one. Pages of hosts with fewer than
-    ``least_pages`` pages lose no node for its importance.
+    columns are left out; an empty table gives an empty one.
     """
-    low = style_nodes(pages, url_col, html_col).where((F.col("importance") < least) & (F.col("seen") >= least_pages))
+    low = style_nodes(pages, url_col, html_col).where(F.col("importance") < least)
     dropped = low.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("dropped"))
     rows = pages.select(F.col(id_col), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     id_type = pages.schema[id_col].dataType.simpleString()
