@@ -258,6 +258,22 @@ def test_leaks(spark, none):
     assert decontam.leaks(none, items).count() == 0 and decontam.leaks(table, items.where("false")).count() == 0
 
 
+def leaked(spark, items, docs):
+    texts = lambda rows, name: spark.createDataFrame(list(enumerate(rows)), f"{name} long, text string")
+    return sorted((r.doc_id, r.item_id, r.kind) for r in decontam.leaks(texts(docs, "doc_id"), texts(items, "item_id")).collect())
+
+
+def test_names_that_open_sentences_are_replaced(spark):
+    items = ["Tom has 5 big red apples. Tom buys some more green apples today. Tom Reed eats 2 of them at home."]
+    docs = [
+        "Anna has 7 big red apples. Anna buys some more green apples today. Anna Lee Hill eats 3 of them at home.",
+        "We saw that Anna has 7 big red apples. Anna buys some more green apples today. Anna Lee Hill eats 3 of them at home.",
+        "Anna has 7 big red apples. Carl buys some more green apples today. Dora eats 3 of them at home.",
+        "Anna likes to be here. Anna wants more of these things soon. Anna sees 3 of us at home.",
+    ]
+    assert leaked(spark, items, docs) == [(0, 0, "template"), (1, 0, "template")]
+
+
 def test_leaks_are_those_of_brute_force(spark, sf_dir, texts):
     norm = lambda t: " " + " ".join(re.findall(r"\w+", (t or "").lower())) + " "
     items = [(r.item_id, norm(r.text)) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
