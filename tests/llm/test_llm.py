@@ -274,6 +274,16 @@ def test_names_that_open_sentences_are_replaced(spark):
     assert leaked(spark, items, docs) == [(0, 0, "template"), (1, 0, "template")]
 
 
+def test_items_of_many_numbers_are_found_whole(spark):
+    items = ["Tom has 5 apples. Tom buys 3 more.", "What is 12 times 7 minus 3", "Tom has 5 apples", "Add 1 2 3 4 5 6 7 8 9 10 and then 11 12 13 14", "12 7"]
+    rows = " ".join(str(n) for n in range(3000))
+    docs = [
+        "Anna has 7 apples. Anna buys 2 more.", "So it goes: Anna has 7 apples. Anna buys 2 more. That is it.", "Anna has 7 apples. Carl buys 2 more.", "What is 8 times 8 minus 8", "Anna has 7 apples", "Anna has 7 pears",
+        f"{rows} Add 3 4 5 6 7 8 9 1 2 33 and then 4 4 4 4 and {rows}", f"{rows} Add 3 4 5 6 7 8 9 1 2 33 and 4 4 4 4 and {rows}", "5 6",
+    ]
+    assert leaked(spark, items, docs) == [(0, 0, "template"), (1, 0, "template"), (3, 1, "template"), (4, 2, "template"), (6, 3, "template")]
+
+
 def test_leaks_are_those_of_brute_force(spark, sf_dir, texts):
     norm = lambda t: " " + " ".join(re.findall(r"\w+", (t or "").lower())) + " "
     items = [(r.item_id, norm(r.text)) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
