@@ -132,6 +132,16 @@ def test_quality_orders_held_out_documents(spark, sf_dir, odd, none):
     assert quality.score(none, quality.ByteNet.fresh(1)).count() == 0
 
 
+def test_quality_learns_from_whole_texts_at_every_byte(spark):
+    docs = spark.createDataFrame([(i, "plain words " * 800 + ("#~#~# " * 60 if i % 2 else "")) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    net = quality.train(docs, labels, F.lit(True))
+    got = {r.doc_id: r.score for r in quality.score(docs, net).collect()}
+    assert min(got[i] for i in range(1, 60, 2)) > max(got[i] for i in range(0, 60, 2))
+    net = quality.ByteNet.fresh(1)
+    assert np.array_equal(net.answers(quality.as_bytes("xabcdefgh"))[1:], net.answers(quality.as_bytes("abcdefgh")))
+
+
 def test_url_rules(spark):
     rows = [(1, None), (2, "nonsense"), (3, "http://EXAMPLE.org/es/x?y"), (4, "http://a.example.org/en/12"), (5, "https://x.com/de"), (6, "https://x.com/de/#a"), (7, "https://notexample.org"), (8, "a://b://org/")]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("rule", F.lit("clash"))

@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import map_rows
 
-WIDTH, FILTERS, STRIDE = 5, 10, 2
+WIDTH, FILTERS = 5, 10
 #: A chunk in filter positions, and how many positions lie between the starts of two chunks.
 CHUNK, HOP = 256, 128
-#: Labelled rows that training reads at most, about, and bytes of each of them at most.
-SAMPLE_ROWS, SAMPLE_BYTES = 3000, 8192
+#: Labelled rows that training reads at most, about, and bytes of all their texts; longer texts mean fewer rows, never parts of texts.
+SAMPLE_ROWS, SAMPLE_BYTES = 3000, 64 << 20
 EPOCHS, BATCH, RATE = 6, 48, 0.02
 
 
@@ -40,20 +40,20 @@ class ByteNet:
 
     def answers(self, data: np.ndarray) -> np.ndarray:
         """Filter answers (positions x filters) over a text of at least WIDTH bytes."""
-        n = (len(data) - WIDTH) // STRIDE + 1
-        total = self.taps[0][data[: STRIDE * (n - 1) + 1 : STRIDE]]
+        n = len(data) - WIDTH + 1
+        total = self.taps[0][data[:n]]
         for k in range(1, WIDTH):
-            total += self.taps[k][data[k : k + STRIDE * (n - 1) + 1 : STRIDE]]
+            total += self.taps[k][data[k : k + n]]
         return total
 
     def chunk_peaks(self, data: np.ndarray) -> np.ndarray:
         """Largest rectified answer of each filter in each chunk, in pieces of bounded size."""
         data = padded(data)
-        last = (len(data) - WIDTH) // STRIDE + 1
+        last = len(data) - WIDTH + 1
         out = []
         for at in range(0, last, 64 * HOP):
             stop = min(last, at + 64 * HOP + CHUNK - HOP)
-            halves = np.maximum.reduceat(self.answers(data[at * STRIDE : (stop - 1) * STRIDE + WIDTH]), np.arange(0, stop - at, HOP))
+            halves = np.maximum.reduceat(self.answers(data[at : stop - 1 + WIDTH]), np.arange(0, stop - at, HOP))
             out.append(np.maximum(halves[:-1], halves[1:]) if len(halves) > 1 else halves)
         return np.maximum(np.concatenate(out) + self.bias, 0)
 
@@ -70,7 +70,7 @@ def as_bytes(text: str | None) -> np.ndarray:
 
 def padded(data: np.ndarray) -> np.ndarray:
     """At least one window; the byte 0 stands for the end of a text."""
-    return np.concatenate([data, np.zeros(max(WIDTH - len(data), (len(data) - WIDTH) % STRIDE), np.uint8)]) if len(data) < WIDTH or (len(data) - WIDTH) % STRIDE else data
+    return np.concatenate([data, np.zeros(WIDTH - len(data), np.uint8)]) if len(data) < WIDTH else data
 
 
 def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> ByteNet:
@@ -80,7 +80,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> ByteNet:
         return net
     params = [net.taps, net.bias, net.weights, np.zeros(1, np.float32)]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    data = [padded(as_bytes(t)[:SAMPLE_BYTES]) for t in texts]
+    data = [padded(as_bytes(t)) for t in texts]
     rate = (labels.sum() + 1) / (len(labels) + 2)
     params[3][0] = np.log(rate / (1 - rate))
     for epoch in range(EPOCHS):
@@ -103,7 +103,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> ByteNet:
                 back *= raw > 0
                 grads[1] += back.sum(0)
                 for k in range(WIDTH):
-                    np.add.at(grads[0][k], (data[d][where * STRIDE + k], np.arange(FILTERS)[None]), back)
+                    np.add.at(grads[0][k], (data[d][where + k], np.arange(FILTERS)[None]), back)
             step += 1
             for p, g, m, v in zip(params, grads, first, second, strict=True):
                 g /= len(batch)
@@ -117,18 +117,25 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> ByteNet:
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE_ROWS) -> ByteNet:
     """Fits on about ``rows`` labelled documents, chosen by a hash of their id, where ``learn`` holds.
 
-    The sample is the only thing the driver gets: at most ``SAMPLE_BYTES`` of each text.
+    The sample is the only thing the driver gets: whole texts, and fewer rows if these hold more than ``SAMPLE_BYTES``.
     """
     usable = labels.where(learn & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("__label"))
     n = usable.count()
     if not n:
         return ByteNet.fresh(7)
-    chosen = usable.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) < rows / n * (1 << 20))
-    wanted = {row[id_col] for row in chosen.select(id_col).collect()}
-    texts = docs.select(id_col, text_col).where(F.col(text_col).isNotNull() & (F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) < rows / n * (1 << 20)))
-    sample = texts.join(chosen, id_col).select(F.left(F.col(text_col), F.lit(SAMPLE_BYTES)).alias("t"), F.col("__label").alias("y"), F.col(id_col).alias("i")).collect()
+    part = rows / n
+    place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20))
+
+    def drawn() -> DataFrame:
+        texts = docs.select(id_col, text_col).where(F.col(text_col).isNotNull() & (place < part * (1 << 20)))
+        return texts.join(usable, id_col).select(F.col(text_col).alias("t"), F.col("__label").alias("y"), F.col(id_col).alias("i"))
+
+    size = drawn().agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
+    if size > SAMPLE_BYTES:
+        part = min(part, 1.0) * SAMPLE_BYTES / size
+    sample = drawn().collect()
     sample.sort(key=lambda row: (row.i, row.t))
-    assert len(wanted) <= max(2 * rows, 100)
+    assert len({row.i for row in sample}) <= max(2 * rows, 100)
     return fit([row.t for row in sample], np.array([float(row.y) for row in sample]))
 
 
