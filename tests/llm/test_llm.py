@@ -206,11 +206,17 @@ def brute_components(rows, width, num, den):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         sets[i] = {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
     label = {i: i for i in sets}
-    for _ in sets:
-        for a, b in itertools.combinations(sets, 2):
-            common = len(sets[a] & sets[b])
-            if common and den * common >= num * (len(sets[a]) + len(sets[b]) - common):
-                label[a] = label[b] = min(label[a], label[b])
+    links = []
+    for a, b in itertools.combinations(sets, 2):
+        common = len(sets[a] & sets[b])
+        if common and den * common >= num * (len(sets[a]) + len(sets[b]) - common):
+            links.append((a, b))
+    while True:
+        before = dict(label)
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
     return {i: (len(sets[i]), label[i]) for i in sets}
 
 
@@ -231,6 +237,28 @@ def test_near_duplicates_are_those_of_brute_force(spark, odd, none):
     assert jaccard.near_duplicates(none).count() == 0
 
 
+def test_a_large_group_of_texts_near_but_not_alike(spark):
+    """400 texts with one to six changed words: a hub links some, others link further on, many with nothing."""
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(140)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for at in rng.choice(140, rng.integers(1, 7), replace=False):
+            words[at] = f"e{rng.integers(0, 60)}"
+        rows.append((i, " ".join(words[: 140 - rng.integers(0, 4)])))
+    rows += [(5, "another text under an id that is taken"), (400, "another text under an id that is taken"), (401, rows[7][1])]
+    want = {}
+    for name, width, num in (("four", 4, 85), ("five", 5, 80)):
+        want[name] = brute_components(rows[:400] + rows[401:], width, num, 100)
+    for name, width, num in (("four", 4, 85), ("five", 5, 80)):
+        got = jaccard.near_duplicates(spark.createDataFrame(rows[:400] + rows[401:], "doc_id long, text string"), width, num, 100).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want[name]
+        assert 1 < len({c for _, c in want[name].values()}) < 390
+    twice = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).where("doc_id = 400").collect()
+    assert [(r.n_shingles, r.component_id) for r in twice] == [(5, 5)]  # id 5 has this text too
+
+
 def test_elias_fano():
     rng = np.random.default_rng(2)
     for n in (0, 1, 5, 700):

@@ -63,6 +63,20 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
     return arrow_batches(df).mapInArrow(run, schema)
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Counts in a byte each; those of 255 and more follow with their places."""
+    large = np.flatnonzero(values >= 255)
+    return np.minimum(values, 255).astype(np.uint8).tobytes() + large.astype("<i8").tobytes() + values[large].astype("<i8").tobytes()
+
+
+def unsqueezed(data: bytes, n: int) -> np.ndarray:
+    """``n`` counts that ``squeezed`` has packed."""
+    values = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    places, counts = np.frombuffer(data[n:], "<i8").reshape(2, -1)
+    values[places] = counts
+    return values
+
+
 def sum_arrays(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch, np.ndarray], None]], size: int, blocks: int = 16) -> np.ndarray:
     """Adds one int64 array of fixed ``size`` up over all tasks.
 
@@ -75,13 +89,13 @@ def sum_arrays(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch, np.nd
         total, add = np.zeros(size, np.int64), make()
         for batch in batches:
             add(batch, total)
-        yield pa.RecordBatch.from_pydict({"block": list(range(blocks)), "data": [total[i * step : (i + 1) * step].astype("<u4").tobytes() for i in range(blocks)]}, schema=pa.schema([("block", pa.int32()), ("data", pa.binary())]))
+        yield pa.RecordBatch.from_pydict({"block": list(range(blocks)), "data": [squeezed(total[i * step : (i + 1) * step]) for i in range(blocks)]}, schema=pa.schema([("block", pa.int32()), ("data", pa.binary())]))
 
     def add_up(pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in pieces:
             for block, data in zip(batch["block"].to_pylist(), batch["data"].to_pylist(), strict=True):
-                part = np.frombuffer(data, "<u4").astype(np.int64)
+                part = unsqueezed(data, min(step, size - block * step))
                 sums[block] = sums[block] + part if block in sums else part
         yield pa.RecordBatch.from_pydict({"block": list(sums), "data": [x.tobytes() for x in sums.values()]}, schema=pa.schema([("block", pa.int32()), ("data", pa.binary())]))
 

@@ -10,6 +10,11 @@ many prefix shingles as the smaller l of the two.
 Only the classes that links form are wanted, so pairs inside a class need not all be verified.
 First every set meets the hub of its posting lists, the set in which the shingle stands
 earliest; what these links leave apart is then joined completely. Verification is exact.
+
+A hub h that a set x does not link with still speaks for others: x and y share at most
+``|x & h|`` shingles and those of x outside h. If that is too few without the latter, x and y must
+share one of them, so a shingle that stands behind all of these need not be paired: in a large
+group of texts that are near each other, but not near enough, hardly any pair is left.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ MAX_L = 4
 VERIFY, POSTING = 10.0, 1.0
 #: Rows of one posting list, or pairs of one hub, that a task should get at most, about.
 SHARE = 20_000
-MAX_SALTS = 2047
+MAX_SALT_BITS = 10
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -61,6 +66,11 @@ def chosen_l(df: np.ndarray, sizes: list[int]) -> int:
     return int(np.argmin(costs)) + 1
 
 
+def prefix_order(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Places of the hashes in the order of all sets: rare slots first, then smaller hashes."""
+    return np.lexsort((hashes, counts[(hashes & np.uint64(SKETCH - 1)).astype(np.int64)]))
+
+
 def sketch(docs: DataFrame, width: int) -> np.ndarray:
     """How many documents have a shingle of each slot, over all documents."""
 
@@ -89,10 +99,12 @@ def base_table(docs: DataFrame, width: int) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), make, f"doc_id {id_type}, n bigint, sig bigint")
 
 
-def postings(docs: DataFrame, counts: np.ndarray, width: int, num: int, den: int) -> DataFrame:
-    """A row for each prefix shingle of each distinct set a task meets: token, sig and info (salts, n, pos, l in one number)."""
-    mean = counts.mean()
-    shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.uint32))
+def postings(docs: DataFrame, shared, width: int, num: int, den: int) -> DataFrame:
+    """A row for each prefix shingle of each distinct set a task meets: token, sig and info (salts, n, pos, l in one number).
+
+    ``shared`` is the sketch as a broadcast.
+    """
+    mean = shared.value.mean()
 
     def make():
         table, seen = shared.value, set()
@@ -108,15 +120,14 @@ def postings(docs: DataFrame, counts: np.ndarray, width: int, num: int, den: int
                     seen.clear()
                 seen.add(sig)
                 sizes = prefix_sizes(n, num, den)
-                count = table[(hashes & np.uint64(SKETCH - 1)).astype(np.int64)]
-                order = np.lexsort((hashes, count))[: sizes[-1]]
-                df = np.maximum(count[order].astype(np.float64) - mean, 0) + 0.1
+                order = prefix_order(hashes, table)[: sizes[-1]]
+                df = np.maximum(table[(hashes[order] & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.float64) - mean, 0) + 0.1
                 k = chosen_l(df, sizes)
                 order, df = order[: sizes[k - 1]], df[: sizes[k - 1]]
-                salts = np.minimum(1 + df // SHARE, MAX_SALTS).astype(np.int64)
+                salt_bits = np.minimum(np.log2(1 + df // SHARE), MAX_SALT_BITS).astype(np.int64)
                 tokens.append(hashes[order].astype(np.int64))
                 sigs.append(np.full(len(order), sig, np.int64))
-                infos.append(salts << 52 | n << 28 | np.arange(len(order)) << 4 | k)
+                infos.append(salt_bits << 60 | n << 30 | np.arange(len(order)) << 2 | k - 1)
             if not tokens:
                 return None
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, sigs, infos)], ["token", "sig", "info"])
@@ -126,20 +137,23 @@ def postings(docs: DataFrame, counts: np.ndarray, width: int, num: int, den: int
     return map_rows(docs.select("text"), make, "token bigint, sig bigint, info bigint")
 
 
+# info: 4 bits for the logarithm of the salts, 30 for n, 28 for pos and 2 for l; no text that a row can hold has more shingles
+
+
 def salts_of(info):
-    return F.shiftrightunsigned(info, 52)
+    return F.pow(F.lit(2), F.shiftrightunsigned(info, 60)).cast("bigint")
 
 
 def size_of(info):
-    return F.shiftrightunsigned(info, 28).bitwiseAND(F.lit((1 << 24) - 1))
+    return F.shiftrightunsigned(info, 30).bitwiseAND(F.lit((1 << 30) - 1))
 
 
 def pos_of(info):
-    return F.shiftrightunsigned(info, 4).bitwiseAND(F.lit((1 << 24) - 1))
+    return F.shiftrightunsigned(info, 2).bitwiseAND(F.lit((1 << 28) - 1))
 
 
 def l_of(info):
-    return info.bitwiseAND(F.lit(15))
+    return info.bitwiseAND(F.lit(3)) + 1
 
 
 def sizes_fit(a, b, num: int, den: int):
@@ -182,23 +196,44 @@ def hub_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.where("fits").withColumn("rn", F.row_number().over(best)).where("rn <= 2").select("a", "b")
 
 
-def cross_pairs(lists: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """All candidates (a, b) that are not yet in one class and share enough of their prefixes."""
-    rows = lists.select("token", "sig", "info").join(classes, "sig", "left").select("token", "sig", "info", F.coalesce("label", "sig").alias("label"))
-    apart = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    rows = rows.join(apart, "token")
+def cross_pairs(lists: DataFrame, classes: DataFrame, missed: DataFrame, num: int, den: int) -> DataFrame:
+    """All candidates (a, b) that are not yet in one class and share enough of their prefixes.
+
+    ``missed`` (sig, cut, common) has a hub for some sets that they do not link with: how many shingles
+    they share, and the place behind the last that they do not. The first shingle that two sets share is
+    never left out, so it decides alone where others may be.
+    """
+    known = classes.join(missed, "sig", "full")
+    # shingles of one set only are not in the lists: what is left of a set bounds what it can share
+    own = Window.partitionBy("sig")
+    rows = lists.select("token", "sig", "info").withColumns({"nth": F.row_number().over(own.orderBy(pos_of(F.col("info")))), "of": F.count("*").over(own)})
+    rows = rows.join(known, "sig", "left").select("token", "sig", "info", "nth", "of", F.coalesce("label", "sig").alias("label"), "cut", "common")
+    w = Window.partitionBy("token")
+    rows = rows.withColumns({"lo": F.min("label").over(w), "hi": F.max("label").over(w)}).where("lo <> hi").drop("lo", "hi")
     x, y = rows.alias("x"), rows.alias("y")
+    a, b = F.col("x.info"), F.col("y.info")
     both = (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.sig") < F.col("y.sig"))
-    met = x.join(y, both & sizes_fit(F.col("x.info"), F.col("y.info"), num, den) & early_enough(F.col("x.info"), F.col("y.info"), num, den))
-    least = F.least(l_of(F.col("x.info")), l_of(F.col("y.info")))
-    pairs = met.groupBy(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).agg(F.count("*").alias("shared"), F.max(least).alias("needed"), F.max(rest_fits(F.col("x.info"), F.col("y.info"), num, den)).alias("fits"))
+
+    def spoken(side: str):
+        """Whether the hub shows that sets of these sizes share too little but for what stands before the cut, and this lies in the prefix."""
+        own = F.col(f"{side}.info")
+        inside = num * size_of(own) <= den * (size_of(own) - F.col(f"{side}.cut") + l_of(own) - 1)
+        return F.coalesce(inside & (F.col(f"{side}.common") * (num + den) < num * (size_of(a) + size_of(b))), F.lit(False))
+
+    nth, after = F.least("x.nth", "y.nth"), F.least(F.col("x.of") - F.col("x.nth"), F.col("y.of") - F.col("y.nth"))
+    left_out = (spoken("x") & (pos_of(a) >= F.col("x.cut"))) | (spoken("y") & (pos_of(b) >= F.col("y.cut")))
+    least = F.when(spoken("x") | spoken("y"), F.lit(1)).otherwise(F.least(l_of(a), l_of(b)))
+    may = rest_fits(a, b, num, den, F.least(l_of(a), l_of(b), nth) - 1) & (nth + after >= least)
+    met = x.join(y, both & sizes_fit(a, b, num, den) & may & ~left_out)
+    pairs = met.groupBy(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).agg(F.count("*").alias("shared"), F.max(least).alias("needed"), F.max(rest_fits(a, b, num, den)).alias("fits"))
     return pairs.where("fits and shared >= needed").select("a", "b")
 
 
-def verified(docs: DataFrame, owners: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by exact intersection.
+def verified(docs: DataFrame, owners: DataFrame, pairs: DataFrame, shared, width: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) with whether their sets ``link``, by exact intersection; for those that do not, what they have in ``common`` and the ``cut``.
 
-    ``owners`` names one document for each signature. Sets are made anew from the texts of the
+    ``cut`` is the place in the order of b behind its last shingle that a has not. ``owners`` names one
+    document for each signature. Sets are made anew from the texts of the
     documents in question; a filter of fixed size leaves most others out before the shuffle. Each
     set goes to the tasks of its hubs; a hub with many pairs is sent to several.
     """
@@ -225,35 +260,38 @@ def verified(docs: DataFrame, owners: DataFrame, pairs: DataFrame, width: int, n
             rows = np.flatnonzero(marks.value[at >> 3] >> (7 - (at & 7)) & 1)
             if not len(rows):
                 return None
-            texts = batch.column(1).take(pa.array(rows)).to_pylist()
-            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([shingles(t, width).tobytes() for t in texts], pa.binary())], ["doc_id", "hashes"])
+            sets = [shingles(t, width) for t in batch.column(1).take(pa.array(rows)).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([signature(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "sig", "hashes"])
 
         return each
 
-    sets = map_rows(docs.where("doc_id is not null").select("doc_id", "text", F.col("doc_id").cast("long").alias("__key")), make, f"doc_id {kind}, hashes binary")
-    sent = sets.join(wanted, "doc_id").select("a", "salt", (F.col("sig") != F.col("a")).alias("other"), "sig", "hashes")
+    sets = map_rows(docs.where("doc_id is not null").select("doc_id", "text", F.col("doc_id").cast("long").alias("__key")), make, f"doc_id {kind}, sig bigint, hashes binary")
+    # an id may stand for several texts, so it is the set that must be the wanted one
+    sent = sets.join(wanted, ["doc_id", "sig"]).select("a", "salt", (F.col("sig") != F.col("a")).alias("other"), "sig", "hashes")
     grouped = sent.repartition("a", "salt").sortWithinPartitions("a", "salt", "other")
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("link", pa.bool_()), ("common", pa.int64()), ("cut", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            links_a, links_b = [], []
+            found = []
             for a, other, sig, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
                 hashes = np.frombuffer(data.as_buffer(), np.uint64)
                 if not other:
                     hub, own = a, hashes
                 elif a == hub:
-                    few, many = (hashes, own) if len(hashes) < len(own) else (own, hashes)
-                    at = np.minimum(np.searchsorted(many, few), len(many) - 1)
-                    common = int((many[at] == few).sum())
-                    if den * common >= num * (len(few) + len(many) - common):
-                        links_a.append(a)
-                        links_b.append(sig)
-            if links_a:
-                yield pa.RecordBatch.from_pydict({"a": links_a, "b": links_b}, schema=out)
+                    at = np.minimum(np.searchsorted(own, hashes), len(own) - 1)
+                    both = own[at] == hashes
+                    common = int(both.sum())
+                    if den * common >= num * (len(hashes) + len(own) - common):
+                        found.append((a, sig, True, common, 0))
+                    else:
+                        order = prefix_order(hashes, shared.value)
+                        found.append((a, sig, False, common, int(np.flatnonzero(~both[order])[-1]) + 1 if common < len(hashes) else 0))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found, strict=True), out, strict=True)], schema=out)
 
-    return arrow_batches(grouped).mapInArrow(compare, "a bigint, b bigint").distinct()
+    return arrow_batches(grouped).mapInArrow(compare, "a bigint, b bigint, link boolean, common bigint, cut bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -288,10 +326,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     """
     base = written(base_table(docs, width), "sets")
     owners = written(base.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null"), "owners")
-    counts = sketch(docs, width)
-    lists = written(with_hubs(postings(docs, counts, width, num, den)), "postings")
-    first = written(verified(docs, owners, hub_pairs(lists, num, den), width, num, den), "links")
-    second = written(verified(docs, owners, written(cross_pairs(lists, components(first), num, den), "pairs"), width, num, den), "links")
+    shared = docs.sparkSession.sparkContext.broadcast(sketch(docs, width).astype(np.uint32))
+    lists = written(with_hubs(postings(docs, shared, width, num, den)), "postings")
+    met = written(verified(docs, owners, hub_pairs(lists, num, den), shared, width, num, den), "links")
+    first = met.where("link").select("a", "b")
+    missed = met.where("not link").groupBy(F.col("b").alias("sig")).agg(F.min(F.struct("cut", "common")).alias("m")).select("sig", "m.cut", "m.common")
+    second = written(verified(docs, owners, written(cross_pairs(lists, components(first), missed, num, den), "pairs"), shared, width, num, den).where("link").select("a", "b"), "links")
     classes = components(first.unionByName(second)).join(owners, "sig")
     labels = classes.select("sig", "label").join(classes.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("sig", "component_id")
     own = owners.select("sig", F.col("doc_id").alias("own_id")).join(labels, "sig", "left").select("sig", F.coalesce("component_id", "own_id").alias("component_id"))
