@@ -31,6 +31,8 @@ from tidemill.llm.common import arrow_batches, lower_bytes, map_rows, mix, shing
 SKETCH = 1 << 21
 FILTER = 1 << 20
 MAX_L = 4
+#: Hubs that a set meets before the complete join.
+HUBS = 1
 #: Cost of verifying a candidate and of a further posting, in units of one row of the join.
 VERIFY, POSTING = 10.0, 1.0
 #: Rows of one posting list, or pairs of one hub, that a task should get at most, about.
@@ -48,6 +50,18 @@ def signature(hashes: np.ndarray) -> int:
     return int(np.append(mix(hashes), mix(np.array([len(hashes)], np.uint64))).sum(dtype=np.uint64).astype(np.int64))
 
 
+def packed(hashes: np.ndarray) -> bytes:
+    """A sorted set with the upper seven bytes of each hash, for the way to another task."""
+    return (hashes >> np.uint64(8)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def unpacked(data: pa.Buffer) -> np.ndarray:
+    """What ``packed`` has made, as sorted hashes with a last byte of 0."""
+    out = np.zeros((data.size // 7, 8), np.uint8)
+    out[:, 1:] = np.frombuffer(data, np.uint8).reshape(-1, 7)
+    return out.reshape(-1).view("<u8").astype(np.uint64)
+
+
 def least_shared(n: int, num: int, den: int) -> int:
     """ceil(num * n / den)."""
     return -(-num * n // den)
@@ -66,9 +80,14 @@ def chosen_l(df: np.ndarray, sizes: list[int]) -> int:
     return int(np.argmin(costs)) + 1
 
 
+def slot_of(hashes: np.ndarray) -> np.ndarray:
+    """The slot of the sketch of each hash."""
+    return (hashes >> np.uint64(8) & np.uint64(SKETCH - 1)).astype(np.int64)
+
+
 def prefix_order(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Places of the hashes in the order of all sets: rare slots first, then smaller hashes."""
-    return np.lexsort((hashes, counts[(hashes & np.uint64(SKETCH - 1)).astype(np.int64)]))
+    """Places of the hashes in the order of all sets: rare slots first, then smaller hashes. The last byte plays no part."""
+    return np.lexsort((hashes >> np.uint64(8), counts[slot_of(hashes)]))
 
 
 def sketch(docs: DataFrame, width: int) -> np.ndarray:
@@ -78,7 +97,7 @@ def sketch(docs: DataFrame, width: int) -> np.ndarray:
         def add(batch: pa.RecordBatch, total: np.ndarray) -> None:
             for text in batch.column(0).to_pylist():
                 hashes = shingles(text, width)
-                np.add.at(total, (hashes & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+                np.add.at(total, slot_of(hashes), 1)
 
         return add
 
@@ -121,7 +140,7 @@ def postings(docs: DataFrame, shared, width: int, num: int, den: int) -> DataFra
                 seen.add(sig)
                 sizes = prefix_sizes(n, num, den)
                 order = prefix_order(hashes, table)[: sizes[-1]]
-                df = np.maximum(table[(hashes[order] & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.float64) - mean, 0) + 0.1
+                df = np.maximum(table[slot_of(hashes[order])].astype(np.float64) - mean, 0) + 0.1
                 k = chosen_l(df, sizes)
                 order, df = order[: sizes[k - 1]], df[: sizes[k - 1]]
                 salt_bits = np.minimum(np.log2(1 + df // SHARE), MAX_SALT_BITS).astype(np.int64)
@@ -170,6 +189,13 @@ def rest_fits(a, b, num: int, den: int, before=0):
     return most * (num + den) >= num * (size_of(a) + size_of(b))
 
 
+def shared_at_least(a, b, num: int, den: int):
+    """How many shingles of both prefixes similar sets share: what one has beyond its prefix is all that a pair may share elsewhere."""
+    up = lambda x, by: F.floor((x + (by - 1)) / by)
+    beyond = lambda info: up(num * size_of(info), den) - l_of(info)
+    return up(num * (size_of(a) + size_of(b)), num + den) - F.greatest(beyond(a), beyond(b))
+
+
 def early_enough(a, b, num: int, den: int):
     """Whether this may be among the first common shingles, as many as the pair must share in its prefixes."""
     return rest_fits(a, b, num, den, F.least(l_of(a), l_of(b)) - 1)
@@ -185,15 +211,20 @@ def with_hubs(rows: DataFrame) -> DataFrame:
 
 
 def hub_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
-    """For each set the two hubs that share most of its prefix, as pairs (a, b)."""
+    """For each set the ``HUBS`` hubs that share most of its prefix, as pairs (a, b)."""
     heads = lists.where((F.col("hub") == F.col("sig")) & (salts_of(F.col("info")) > 1))  # hubs of the parts of long lists
     w = Window.partitionBy("token").orderBy(pos_of(F.col("info")), "sig")
     upper = heads.select("token", "sig", "info", F.first(F.struct("sig", "info")).over(w).alias("top")).select("sig", "info", F.col("top.sig").alias("hub"), F.col("top.info").alias("hub_info"))
     met = lists.select("sig", "info", "hub", "hub_info").unionByName(upper).where("hub <> sig")
     met = met.where(sizes_fit(F.col("info"), F.col("hub_info"), num, den) & early_enough(F.col("info"), F.col("hub_info"), num, den))
-    pairs = met.groupBy(F.col("hub").alias("a"), F.col("sig").alias("b")).agg(F.count("*").alias("shared"), F.max(rest_fits(F.col("info"), F.col("hub_info"), num, den)).alias("fits"))
+    info, hub = F.col("info"), F.col("hub_info")
+    pairs = met.groupBy(F.col("hub").alias("a"), F.col("sig").alias("b")).agg(F.count("*").alias("shared"), F.max(rest_fits(info, hub, num, den)).alias("fits"), F.max(shared_at_least(info, hub, num, den)).alias("least"))
+    # a set has no more to share than its rows in the lists
+    rows = lists.groupBy("sig").agg(F.count("*").alias("of"))
+    for side in ("a", "b"):
+        pairs = pairs.join(rows.select(F.col("sig").alias(side), F.col("of").alias(f"of_{side}")), side)
     best = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
-    return pairs.where("fits").withColumn("rn", F.row_number().over(best)).where("rn <= 2").select("a", "b")
+    return pairs.where("fits and least(of_a, of_b) >= least").withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= HUBS).select("a", "b")
 
 
 def cross_pairs(lists: DataFrame, classes: DataFrame, missed: DataFrame, num: int, den: int) -> DataFrame:
@@ -223,7 +254,7 @@ def cross_pairs(lists: DataFrame, classes: DataFrame, missed: DataFrame, num: in
     nth, after = F.least("x.nth", "y.nth"), F.least(F.col("x.of") - F.col("x.nth"), F.col("y.of") - F.col("y.nth"))
     left_out = (spoken("x") & (pos_of(a) >= F.col("x.cut"))) | (spoken("y") & (pos_of(b) >= F.col("y.cut")))
     least = F.when(spoken("x") | spoken("y"), F.lit(1)).otherwise(F.least(l_of(a), l_of(b)))
-    may = rest_fits(a, b, num, den, F.least(l_of(a), l_of(b), nth) - 1) & (nth + after >= least)
+    may = rest_fits(a, b, num, den, F.least(l_of(a), l_of(b), nth) - 1) & (nth + after >= shared_at_least(a, b, num, den))
     met = x.join(y, both & sizes_fit(a, b, num, den) & may & ~left_out)
     pairs = met.groupBy(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).agg(F.count("*").alias("shared"), F.max(least).alias("needed"), F.max(rest_fits(a, b, num, den)).alias("fits"))
     return pairs.where("fits and shared >= needed").select("a", "b")
@@ -261,7 +292,7 @@ def verified(docs: DataFrame, owners: DataFrame, pairs: DataFrame, shared, width
             if not len(rows):
                 return None
             sets = [shingles(t, width) for t in batch.column(1).take(pa.array(rows)).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([signature(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "sig", "hashes"])
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([signature(s) for s in sets], pa.int64()), pa.array([packed(s) for s in sets], pa.binary())], ["doc_id", "sig", "hashes"])
 
         return each
 
@@ -276,7 +307,7 @@ def verified(docs: DataFrame, owners: DataFrame, pairs: DataFrame, shared, width
         for batch in batches:
             found = []
             for a, other, sig, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
-                hashes = np.frombuffer(data.as_buffer(), np.uint64)
+                hashes = unpacked(data.as_buffer())
                 if not other:
                     hub, own = a, hashes
                 elif a == hub:
