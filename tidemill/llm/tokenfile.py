@@ -4,7 +4,7 @@ A file holds a stretch of documents in ascending id: a header, the document ids
 document ends as Elias-Fano sequences, then one array of token ids. An Elias-Fano sequence
 keeps the low bits of each number as they are and the high bits in unary, about
 2 + log2(u / n) bits a number; a small select table over the unary part finds the i-th
-number without decoding the others.
+number, or a run of numbers from there, without decoding the others.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import arrow_batches
@@ -27,6 +28,8 @@ from tidemill.llm.common import arrow_batches
 MAGIC = b"TIDEIDS1"
 SELECT_STEP = 256
 CACHE_WORDS = 500_000
+#: Bytes of text that a range of documents has, about, and bytes of ids at which a file is closed.
+RANGE_BYTES, FILE_BYTES = 64 << 20, 64 << 20
 
 
 class EliasFano:
@@ -81,14 +84,28 @@ class EliasFano:
             low |= (int(self.low[bit // 8]) >> bit % 8 & 1) << b
         return (one - i) << self.low_bits | low
 
+    def run(self, start: int, stop: int) -> np.ndarray:
+        """The numbers from ``start`` up to ``stop``, read between two entries of the jump table."""
+        if stop <= start:
+            return np.zeros(0, np.int64)
+        first, behind = start // SELECT_STEP, (stop - 1) // SELECT_STEP + 1
+        at = int(self.jumps[first])
+        end = int(self.jumps[behind]) if behind < len(self.jumps) else len(self.high) * 8
+        bits = np.unpackbits(self.high[at // 8 : -(-end // 8)], bitorder="little")
+        bits[: at % 8] = 0
+        skip = start - first * SELECT_STEP
+        ones = np.flatnonzero(bits)[skip : skip + stop - start] + at // 8 * 8
+        high = (ones - np.arange(start, stop)).astype(np.int64) << self.low_bits
+        if not self.low_bits:
+            return high
+        first_bit = start * self.low_bits
+        low = np.unpackbits(self.low[first_bit // 8 : -(-stop * self.low_bits // 8)], bitorder="little")[first_bit % 8 :]
+        low = low[: (stop - start) * self.low_bits].reshape(stop - start, self.low_bits)
+        return high | (low.astype(np.int64) << np.arange(self.low_bits)).sum(1)
+
     def all(self) -> np.ndarray:
         """All numbers."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        high = (ones - np.arange(self.n)).astype(np.int64) << self.low_bits
-        if not self.low_bits or not self.n:
-            return high
-        bits = np.unpackbits(self.low, bitorder="little", count=self.n * self.low_bits).reshape(self.n, self.low_bits)
-        return high | (bits.astype(np.int64) << np.arange(self.low_bits)).sum(1)
+        return self.run(0, self.n)
 
 
 def pack(doc_ids: np.ndarray, lengths: np.ndarray, ids: bytes, width: int) -> bytes:
@@ -115,6 +132,12 @@ class TokenFile:
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
 
+@lru_cache(maxsize=2)
+def word_ids(path: str, width: int) -> WordIds:
+    """One for all tasks of a Python worker, which meet the same words."""
+    return WordIds(path, width)
+
+
 @lru_cache(maxsize=2)
 def library(path: str):
     """The library's tokenizer, once in each Python worker."""
@@ -156,42 +179,55 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
 
     Returns a row for each file: ``file`` (its name), ``documents``, ``tokens``, ``first_doc``.
     Null texts count as empty and hold the end id only; rows without an id are left out, as they
-    have no place in the order; repeated ids follow one another. An empty table writes no file.
-    A task that is run again writes the same file anew; it takes its final name when complete.
+    have no place in the order; repeated ids follow one another. The size of all texts gives the
+    number of ranges (or ``files`` does), and a range that grows beyond ``FILE_BYTES`` goes on in a further
+    file, so a task never holds more. An empty table leaves an empty folder.
+    A task that is run again writes the same files anew; each takes its final name when complete.
     """
-    width = id_width(vocabulary)
+    width, spark = id_width(vocabulary), docs.sparkSession
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    spark.createDataFrame([], "nothing int").write.mode("append").parquet(path)  # the folder is there, whatever comes
     schema = pa.schema([("file", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64()), ("first_doc", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = WordIds(vocabulary, width), np.array([end_id], f"<u{width}").tobytes()
-        doc_ids, lengths, parts = [], [], []
+        words, end = word_ids(vocabulary, width), np.array([end_id], f"<u{width}").tobytes()
+        doc_ids, lengths, parts, held, files = [], [], [], 0, 0
+
+        def save() -> pa.RecordBatch:
+            nonlocal held, files
+            store, folder = fs.FileSystem.from_uri(path)
+            name = f"ids-{doc_ids[0] + (1 << 63):020d}-{doc_ids[-1] + (1 << 63):020d}-{files:06d}.bin"
+            partial = f"{folder}/_{name}.{uuid.uuid4().hex}"
+            with store.open_output_stream(partial) as out:
+                out.write(pack(np.array(doc_ids), np.array(lengths), b"".join(parts), width))
+            store.move(partial, f"{folder}/{name}")
+            made = pa.RecordBatch.from_pydict({"file": [name], "documents": [len(doc_ids)], "tokens": [int(sum(lengths))], "first_doc": [doc_ids[0]]}, schema=schema)
+            for held_list in (doc_ids, lengths, parts):
+                held_list.clear()
+            held, files = 0, files + 1
+            return made
+
         for batch in batches:
-            doc_ids.extend(batch.column(0).to_pylist())
-            for ids in words.batch(batch.column(1).to_pylist()):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), words.batch(batch.column(1).to_pylist()), strict=True):
+                doc_ids.append(doc_id)
                 parts += [ids, end]
                 lengths.append(len(ids) // width + 1)
-        if not doc_ids:
-            return
-        store, folder = fs.FileSystem.from_uri(path)
-        store.create_dir(folder, recursive=True)
-        name = f"ids-{doc_ids[0] + (1 << 63):020d}-{doc_ids[-1] + (1 << 63):020d}.bin"
-        data = pack(np.array(doc_ids), np.array(lengths), b"".join(parts), width)
-        partial = f"{folder}/_{name}.{os.getpid()}"
-        with store.open_output_stream(partial) as out:
-            out.write(data)
-        store.move(partial, f"{folder}/{name}")
-        yield pa.RecordBatch.from_pydict({"file": [name], "documents": [len(doc_ids)], "tokens": [int(sum(lengths))], "first_doc": [doc_ids[0]]}, schema=schema)
+                held += len(ids) + width
+                if held >= FILE_BYTES:
+                    yield save()
+        if doc_ids:
+            yield save()
 
     return arrow_batches(ordered).mapInArrow(run, "file string, documents bigint, tokens bigint, first_doc bigint")
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """Reads the files of a folder: ``doc_id``, ``start`` (ids before it in all files), ``n_tokens``, ``ids_crc32`` and ``ids``.
+def read_token_files(spark: SparkSession, path: str, block: int = 1000) -> DataFrame:
+    """Reads the files of a folder: ``file``, ``doc_id``, ``local_start`` (ids before it in its file), ``n_tokens``, ``ids`` and ``ids_crc32``.
 
-    Ranges of the files do not overlap, so their names sort them; only their sizes are added up in order.
+    The boundaries of ``block`` documents at a time come from the select structure.
     """
     schema = pa.schema([("file", pa.string()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64())])
 
@@ -199,19 +235,22 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 file = TokenFile(data.as_py())
-                ends, docs = file.ends.all(), file.docs.all() + file.first
-                starts = np.concatenate(([0], ends[:-1]))
-                for at in range(0, len(docs), 1000):
-                    cut = slice(at, at + 1000)
-                    ids = [file.ids[a:b].astype("<u4").tobytes() for a, b in zip(starts[cut], ends[cut], strict=True)]
-                    yield pa.RecordBatch.from_pydict({"file": [name] * len(ids), "doc_id": docs[cut], "local_start": starts[cut], "n_tokens": ends[cut] - starts[cut], "ids": ids, "ids_crc32": [zlib.crc32(x) for x in ids]}, schema=schema)
+                for at in range(0, file.docs.n, block):
+                    stop = min(at + block, file.docs.n)
+                    ends = file.ends.run(at, stop)
+                    starts = np.concatenate(([file.ends.select(at - 1) if at else 0], ends[:-1]))
+                    ids = [file.ids[a:b].astype("<u4").tobytes() for a, b in zip(starts, ends, strict=True)]
+                    yield pa.RecordBatch.from_pydict({"file": [name] * len(ids), "doc_id": file.docs.run(at, stop) + file.first, "local_start": starts, "n_tokens": ends - starts, "ids": ids, "ids_crc32": [zlib.crc32(x) for x in ids]}, schema=schema)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "ids-*.bin").load(path)
-    docs = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(run, "file string, doc_id bigint, local_start bigint, n_tokens bigint, ids binary, ids_crc32 bigint")
-    return docs
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(run, "file string, doc_id bigint, local_start bigint, n_tokens bigint, ids binary, ids_crc32 bigint")
 
 
 def with_starts(docs: DataFrame, files: DataFrame) -> DataFrame:
-    """Adds to each document the ids in the files before its own. ``files`` has one row for each file."""
-    before = files.alias("a").join(files.alias("b"), F.col("b.file") < F.col("a.file"), "left").groupBy(F.col("a.file").alias("file")).agg(F.coalesce(F.sum("b.tokens"), F.lit(0)).cast("long").alias("before"))
-    return docs.join(before, "file").withColumn("start", F.col("before") + F.col("local_start"))
+    """Adds to each document ``start``, the ids of all documents before it. ``files`` has one row for each file.
+
+    Ranges of the files do not overlap, so their names sort them; a running sum over that short list is all.
+    """
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("file", F.coalesce(F.sum("tokens").over(before), F.lit(0)).cast("long").alias("before"))
+    return docs.join(starts, "file").withColumn("start", F.col("before") + F.col("local_start"))
