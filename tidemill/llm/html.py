@@ -24,12 +24,12 @@ from tidemill.llm.urlrules import host_of
 
 #: Weight of a node's own contents against its parent's layout; a node of less importance than LEAST is dropped.
 GAMMA, LEAST = 0.9, 0.2
-#: Parts into which the pages of each host are dealt.
-SALTS = 64
+#: Parts into which the pages of a host are dealt at most.
+SALTS = 1024
 #: The style node of a whole page. Others are numbered by a hash of their path, which does not grow with its depth.
 ROOT = 0
 
-RAW = "script|style|noscript|template|svg|iframe|textarea|title|math|object|canvas"
+RAW = "script|style|noscript|template|svg|iframe|textarea|title"
 TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<[!?][^>]*>""", re.S | re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 BLOCKS = frozenset("html head body p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tfoot tr td th caption section article main header footer nav aside form blockquote pre figure figcaption address fieldset details summary hr dialog menu".split())
@@ -118,10 +118,14 @@ def walk(html: str) -> tuple[list[tuple[int, int, bool, str]], dict[int, list[st
     return blocks, children
 
 
+def unmarked(html: str | None) -> list[tuple[int, str]]:
+    """The blocks of a page that nothing marks as boilerplate: style node and text."""
+    return [(path, text) for path, _, boiler, text in walk(html or "")[0] if not boiler]
+
+
 def main_text(html: str | None, dropped: frozenset[int] = frozenset()) -> str:
     """The main text of a page, without blocks at the ``dropped`` style nodes; blocks are joined by line ends."""
-    blocks, _ = walk(html or "")
-    return "\n".join(text for path, _, boiler, text in blocks if not boiler and path not in dropped)
+    return "\n".join(text for path, text in unmarked(html) if path not in dropped)
 
 
 FEATURE = {"path": pa.int64(), "parent": pa.int64(), "kind": pa.int32(), "feature": pa.int64()}
@@ -186,17 +190,20 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     low = style_nodes(pages, url_col, html_col).where(F.col("importance") < least)
     dropped = low.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("dropped"))
-    rows = pages.select(F.col(id_col), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     id_type = pages.schema[id_col].dataType.simpleString()
+    block = pa.list_(pa.struct([("path", pa.int64()), ("text", pa.string())]))
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [main_text(html, frozenset(paths or ())) for html, paths in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_col, "url", "text", "n_chars"])
+            blocks = [[{"path": path, "text": text} for path, text in unmarked(html)] for html in batch.column(4).to_pylist()]
+            return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(blocks, block)], [id_col, "url", "host", "salt", "blocks"])
 
         return each
 
-    # a hot host goes to as many tasks as there are salts; what it drops is sent to each of them
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(id_col, "url"), F.lit(SALTS)))
-    dropped = dropped.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    return map_rows(salted.join(dropped, ["host", "salt"], "left").select(id_col, "url", "html", "dropped"), make, f"{id_col} {id_type}, url string, text string, n_chars bigint")
+    # a hot host goes to as many tasks as it has salts; what it drops is sent to those only, and no HTML is shuffled
+    salted = pages.select(F.col(id_col), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.pmod(F.xxhash64(id_col, url_col), F.lit(SALTS)).alias("salt"), F.col(html_col).alias("html"))
+    parts = salted.select("host", "salt").distinct().join(dropped, "host")
+    rows = map_rows(salted, make, f"{id_col} {id_type}, url string, host string, salt bigint, blocks array<struct<path:bigint,text:string>>").join(parts, ["host", "salt"], "left")
+    kept = F.when(F.col("dropped").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.array_contains("dropped", b["path"])))
+    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
+    return rows.select(id_col, "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
