@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Parts into which the pages of one host and path are dealt at most.
+SALTS = 1024
 #: Rules of the registered query: (action, rule); a rule's host ends at its first slash.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -48,17 +50,18 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
 
     ``rules`` is what ``rule_table`` returns. A null URL or one without ``://`` has an empty host and
     path, which no rule fits. Where no rule fits, ``default`` is the verdict. Of rules of equal length
-    the one that sorts last wins. Equal hosts and paths are judged once, so a hot host costs a row
-    for each of its different paths; repeated rows of ``pages`` give one row each.
+    the one that sorts last wins. Equal hosts and paths are judged once in each of
+    ``SALTS`` parts, so neither a hot page nor the pages without a URL meet in one task; repeated rows of
+    ``pages`` give one row each.
     """
-    urls = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    urls = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.pmod(F.xxhash64(id_col), F.lit(SALTS)).alias("salt"))
     kinds = sorted({(r.labels, r.chars) for r in rules.select("labels", "chars").distinct().collect()})  # one for each length, not for each rule
     shapes = F.array(*[F.struct(F.lit(n).alias("labels"), F.lit(m).alias("chars")) for n, m in kinds or [(0, 0)]])
     labels = F.split("host", r"\.")
-    expanded = urls.select("host", "path").distinct().select("host", "path", F.explode(shapes).alias("s"), labels.alias("l")).where((F.col("s.labels") <= F.size("l")) & (F.col("s.chars") <= F.length("path")))
+    expanded = urls.select("host", "path", "salt").distinct().select("host", "path", "salt", F.explode(shapes).alias("s"), labels.alias("l")).where((F.col("s.labels") <= F.size("l")) & (F.col("s.chars") <= F.length("path")))
     suffix = F.array_join(F.slice("l", F.size("l") - F.col("s.labels") + 1, F.col("s.labels")), ".")
     prefix = F.substring(F.col("path"), F.lit(1), F.col("s.chars"))
-    asked = with_digest(expanded.select("host", "path", suffix.alias("suffix"), prefix.alias("prefix")), F.concat("suffix", F.lit("\n"), "prefix")).alias("u")
+    asked = with_digest(expanded.select("host", "path", "salt", suffix.alias("suffix"), prefix.alias("prefix")), F.concat("suffix", F.lit("\n"), "prefix")).alias("u")
     found = asked.join(rules.alias("r"), "short").where(F.col("u.digest") == F.col("r.digest"))
-    best = found.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "action")).alias("best"))
-    return urls.join(best, ["host", "path"], "left").select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    best = found.groupBy("host", "path", "salt").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "action")).alias("best"))
+    return urls.join(best, ["host", "path", "salt"], "left").select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
