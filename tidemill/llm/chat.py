@@ -84,8 +84,8 @@ def levels(calls: DataFrame) -> DataFrame:
     A round settles the calls whose own uses are all settled; there are as many rounds as the
     longest chain has calls. The driver gets one count a round.
     """
-    known = calls.select("conv_id", "call_id")
-    uses = calls.select("conv_id", "call_id", F.explode(F.array_distinct("uses")).alias("used"))
+    known = calls.select("conv_id", "call_id").distinct()  # of a repeated id all rows count as one call
+    uses = calls.select("conv_id", "call_id", F.explode(F.array_distinct("uses")).alias("used")).distinct()
     edges = written(uses.join(known.withColumnRenamed("call_id", "used"), ["conv_id", "used"]), "uses")
     open_ = edges.select("conv_id", "call_id").distinct()
     found, level, done = open_.withColumn("level", F.lit(0)).limit(0), 0, None
@@ -93,7 +93,7 @@ def levels(calls: DataFrame) -> DataFrame:
         level, done = level + 1, left
         blocked = edges.join(open_.withColumnRenamed("call_id", "used"), ["conv_id", "used"], "left_semi").select("conv_id", "call_id").distinct()
         still = written(open_.join(blocked, ["conv_id", "call_id"], "left_semi"), "open")
-        settled = open_.join(still, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level))
+        settled = written(open_.join(still, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)), "settled")
         found, open_ = found.unionByName(settled), still
     return found.unionByName(open_.withColumn("level", F.lit(-1)))
 
@@ -131,7 +131,7 @@ def linked(tool_messages: DataFrame, parameters: DataFrame) -> tuple[DataFrame,
     each = tool_messages.where("tool_kind = 'call'").select("conv_id", "turn", "role", F.posexplode(F.try_variant_get("v", "$.tool_calls", "array<variant>")).alias("part", "c"))
     args = F.to_json(F.try_variant_get("c", "$.arguments", "variant"))
     calls = written(
-        each.select("conv_id", "turn", "role", "part", F.try_variant_get("c", "$.id", "string").alias("call_id"), F.try_variant_get("c", "$.name", "string").alias("tool"), args.alias("args"), F.regexp_extract_all(F.coalesce(args, F.lit("")), F.lit(r'[:\[,]"\$([^"\\]+)"'), 1).alias("uses")),
+        each.select("conv_id", "turn", "role", "part", F.try_variant_get("c", "$.id", "string").alias("call_id"), F.try_variant_get("c", "$.name", "string").alias("tool"), args.alias("args"), F.regexp_extract_all(F.coalesce(args, F.lit("")), F.lit(r'[:\[,]"\$([^"\\]+)"(?!:)'), 1).alias("uses")),
         "calls",
     )
     answers = written(
