@@ -107,6 +107,15 @@ def test_chat_links_orders_and_validates(spark):
     assert sum(r.kind == "message" for r in rows) == 6
 
 
+def test_repeated_calls_and_keys_that_look_like_uses(spark):
+    """Calls given many times stay one call; ``$`` opens a use in values only; chains of any order get their levels."""
+    call = lambda i, args: '{"tool_calls":[{"id":"%s","name":"search","arguments":%s}]}' % (i, args)
+    rows = [(1, 0, "assistant", call("a", '{"query":"x","$b":"y"}'))] * 300 + [(1, 1, "assistant", call("b", '{"query":"$a"}'))] * 300
+    rows += [(2, k, "assistant", call(f"c{k}", '{"query":"$c%d"}' % (k - 1))) for k in range(1, 6)] + [(2, 9, "assistant", call("c0", '{"query":"x"}'))]
+    out = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"), chat.tool_parameters(spark)).where("kind = 'call'").collect()
+    assert {(r.call_id, r.level) for r in out} == {("a", 0), ("b", 1), *((f"c{k}", k) for k in range(6))} and len(out) == 606
+
+
 def test_chat_of_nothing(spark):
     assert chat.format_chat(conversation(spark).where("false"), chat.tool_parameters(spark, [])).count() == 0
 
@@ -265,6 +274,8 @@ def test_elias_fano():
         values = np.sort(rng.integers(0, 10**6, n))
         seq, _ = tokenfile.EliasFano.from_bytes(memoryview(tokenfile.EliasFano.of(values).to_bytes()))
         assert list(seq.all()) == list(values) and [seq.select(i) for i in range(n)] == list(values)
+        for start, stop in ((0, 0), (0, n), (n // 3, n), (n // 2, n - n // 4), (n - 1, n)):
+            assert list(seq.run(max(start, 0), stop)) == list(values[max(start, 0) : stop])
 
 
 def test_token_files(spark, odd, none, tmp_path):
@@ -280,6 +291,21 @@ def test_token_files(spark, odd, none, tmp_path):
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert tokenfile.write_token_files(none, str(tmp_path / "empty"), queries.vocabulary("word_bpe_49k.json")).count() == 0
+    assert tokenfile.read_token_files(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_token_files_of_odd_ids(spark, odd, none, tmp_path, monkeypatch):
+    """Null ids have no place, repeated ids follow one another, in files of bounded size; an empty table gives nothing."""
+    monkeypatch.setattr(tokenfile, "FILE_BYTES", 16)
+    rows = spark.createDataFrame([(3, "a b c"), (None, "x"), (3, "d e f g h i j"), (1, "k"), (3, None), (2, "l m " * 30)], "doc_id long, text string")
+    rows.write.parquet(str(tmp_path / "t/documents.parquet"))
+    got = queries.op8_token_files(spark, str(tmp_path / "t")).orderBy("start").collect()
+    t = library("word_bpe_49k.json")
+    sizes = {text: len(t.encode(text, add_special_tokens=False).ids) + 1 for text in ("k", "l m " * 30, "a b c", "d e f g h i j", "")}
+    assert [r.doc_id for r in got] == [1, 2, 3, 3, 3] and [r.start for r in got][:3] == [0, sizes["k"], sizes["k"] + sizes["l m " * 30]]
+    assert sorted(r.n_tokens for r in got) == sorted(sizes.values())
+    none.write.parquet(str(tmp_path / "none/documents.parquet"))
+    assert queries.op8_token_files(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_leaks(spark, none):
@@ -322,6 +348,14 @@ def test_items_of_many_numbers_are_found_whole(spark):
     assert leaked(spark, items, docs) == [(0, 0, "template"), (1, 0, "template"), (3, 1, "template"), (4, 2, "template"), (6, 3, "template")]
 
 
+def test_short_items_inside_long_texts(spark):
+    """A short item with words enough is found anywhere, with other numbers too; one of a few words only as a whole text."""
+    items = spark.createDataFrame([(1, "What is 12 times 7 minus 3"), (2, "who wrote the red book"), (3, "Tom has 5 apples")], "item_id long, text string")
+    docs = [(1, "so then what is 40 times 9 minus 5 he said and left the room"), (2, "they asked who wrote the red book and why"), (3, "we know that Ann has 7 apples and more"), (4, "Ann has 7 apples"), (5, "what is a minus sign " * 9)]
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert sorted((r.doc_id, r.item_id, r.kind) for r in got) == [(1, 1, "template"), (2, 2, "exact"), (4, 3, "template")]
+
+
 def test_leaks_are_those_of_brute_force(spark, sf_dir, texts):
     norm = lambda t: " " + " ".join(re.findall(r"\w+", (t or "").lower())) + " "
     items = [(r.item_id, norm(r.text)) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]

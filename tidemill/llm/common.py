@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share. On one machine, where none is configured, a temporary one; a cluster must name it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = tempfile.mkdtemp(prefix="tidemill-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -111,9 +113,10 @@ def held_out(id_col: str, parts: int, remainder: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == remainder, F.lit(False))
 
 
-def prefixed(df: DataFrame, names: list[str]) -> DataFrame:
-    """Only the named columns: further columns of an input, however they are called, play no part."""
-    return df.select(*names)
+def drawn_by_hash(id_col, part):
+    """Whether an id is in a sample of this part of all; the hash tells as many ids apart as any table has."""
+    wide = 1 << 52
+    return F.pmod(F.xxhash64(id_col), F.lit(wide)) < part * float(wide)
 
 
 # --- hashing of words in a buffer of UTF-8 ---------------------------------------------------

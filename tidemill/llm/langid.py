@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import arrow_batches, map_rows
+from tidemill.llm.common import arrow_batches, drawn_by_hash, map_rows
 
 SLOT_BITS = 15
 SLOTS = 1 << SLOT_BITS
@@ -113,7 +113,7 @@ def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str
         return LanguageModel([], np.zeros((SLOTS, 0)))
     languages = sorted(sizes)
     part = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(per_language / sizes[lang]))])
-    chosen = usable.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) < part[F.col(lang_col)] * (1 << 20))
+    chosen = usable.where(drawn_by_hash(F.col(id_col), part[F.col(lang_col)]))
     place = {lang: i for i, lang in enumerate(languages)}
     total = np.zeros((len(languages), SLOTS))
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import map_rows
+from tidemill.llm.common import drawn_by_hash, map_rows
 
 WIDTH, FILTERS = 5, 10
 #: A chunk in filter positions, and how many positions lie between the starts of two chunks.
@@ -124,18 +124,17 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     if not n:
         return ByteNet.fresh(7)
     part = rows / n
-    place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20))
 
     def drawn() -> DataFrame:
-        texts = docs.select(id_col, text_col).where(F.col(text_col).isNotNull() & (place < part * (1 << 20)))
-        return texts.join(usable, id_col).select(F.col(text_col).alias("t"), F.col("__label").alias("y"), F.col(id_col).alias("i"))
+        texts = docs.select(id_col, text_col).where(F.col(text_col).isNotNull() & drawn_by_hash(F.col(id_col), part)).join(usable.where(drawn_by_hash(F.col(id_col), part)), id_col)
+        # of an id with several texts the least counts, so the sample is as bounded as the labels drawn
+        return texts.groupBy(F.col(id_col).alias("i")).agg(F.min(text_col).alias("t"), F.max("__label").alias("y"))
 
     size = drawn().agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
     if size > SAMPLE_BYTES:
         part = min(part, 1.0) * SAMPLE_BYTES / size
     sample = drawn().collect()
     sample.sort(key=lambda row: (row.i, row.t))
-    assert len({row.i for row in sample}) <= max(2 * rows, 100)
     return fit([row.t for row in sample], np.array([float(row.y) for row in sample]))
 
 
