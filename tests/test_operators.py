@@ -1,12 +1,16 @@
 """Operators on small rows of their own."""
 
 import datetime as dt
+import itertools
+import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemill.functions import dates, scoring, text
-from tidemill.operators import content, links, recommend, traffic, upserts
+from tidemill.operators import content, landed, links, recommend, traffic, upserts
 from tidemill.sources import tables
 from tidemill.streaming import counters
 
@@ -54,9 +58,6 @@ def posts(spark, rows):
 
 
 def test_links_top_k_is_that_of_all_pairs(spark):
-    import itertools
-    import math
-    import random
 
     rng = random.Random(5)
     rows = [(f"p{i:02d}", i, rng.sample("abcdefghij", rng.randint(0, 3)), rng.choice(["x", "y", ""]), rng.choice(["n", "s", None]), rng.choice(["", "k"])) for i in range(40)]
@@ -87,6 +88,85 @@ def test_greedy_assignment_uses_each_post_once_and_prefers_later_ties(spark):
     assert {(r.slot, r.post) for r in links.assign_greedily(slots, items).collect()} == {("s1", "p2"), ("s2", "p1")}
 
 
+def test_greedy_assignment_is_that_of_taking_turns(spark):
+    """Slots one after the other, each with its best free post of the same category, where both have one."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(9)]
+    some = lambda n: [(i, rng.choice(["x", " X", "y", "", None]), " ".join(rng.sample(words, rng.randint(1, 4)))) for i in range(n)]
+    slots, items = some(30), some(25)
+    norm = lambda c: (c or "").strip().lower()
+    want, used = {}, set()
+    for slot, cat, kw in slots:
+        best, top = None, 0.34
+        for post, c, text in items:
+            if post in used or (norm(c) and norm(cat) and norm(c) != norm(cat)):
+                continue
+            a, b = set(kw.split()), set(text.split())
+            score = round(len(a & b) / math.sqrt(len(a) * len(b)), 9)
+            if score >= top and a & b:
+                best, top = post, score
+        if best is not None:
+            want[slot] = best
+            used.add(best)
+    s = spark.createDataFrame([(i, i, c, k) for i, c, k in slots], "slot int, ord int, cat string, kw string")
+    p = spark.createDataFrame([(i, i, c, k) for i, c, k in items], "post int, ord int, cat string, text string")
+    assert {r.slot: r.post for r in links.assign_greedily(s, p).collect()} == want
+    assert links.assign_greedily(s.where("false"), p).count() == 0
+
+
+def test_published_and_indexable(spark):
+    rows = [("draft", None, False, False), ("Draft live", None, True, False), ("hidden", None, False, False), ("under review", None, True, False), ("검수", None, True, False), ("done", False, False, False), (None, None, True, True), ("", True, True, True)]
+    df = spark.createDataFrame([(s, p) for s, p, _, _ in rows], "s string, p boolean")
+    got = df.select(links.is_published(F.col("s"), F.col("p")).alias("a"), links.is_indexable(F.col("s"), F.col("p")).alias("b")).collect()
+    assert [tuple(r) for r in got] == [(a, b) for _, _, a, b in rows]
+
+
+def test_related_rows_are_others_of_the_category(spark):
+    rows = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(20)] + [(99, "c")], "id int, cat string")
+    cats = {r.id: r.cat for r in rows.collect()}
+    got = {}
+    for r in landed.related_rows(rows, "id", "cat", 1).collect():
+        got.setdefault(r.id, []).append(r.other)
+    assert 99 not in got and all(len(set(o)) == 3 and k not in o and {cats[x] for x in o} == {cats[k]} for k, o in got.items()) and len(got) == 20
+
+
+def test_ranks_over_many_partitions(spark):
+    rows = spark.range(500).select(F.pmod(F.xxhash64("id"), F.lit(40)).alias("v"), "id")
+    got = [(r.v, r.id) for r in upserts.ranked(rows, [F.desc("v"), "id"]).orderBy("rank").collect()]
+    assert got == sorted(((r.v, r.id) for r in rows.collect()), key=lambda x: (-x[0], x[1]))
+
+
+def test_random_numbers_and_hashes_of_code_units(spark):
+    assert one(spark, text.mulberry32(F.col("v").cast("bigint"), F.lit(1)), v="1") == pytest.approx(0.6270739405881613)
+    assert one(spark, text.fnv1a(F.col("v")), v="ab") == 1294271946
+    pair = "😀"  # two code units
+    units = [0xD83D, 0xDE00]
+    h = 5381
+    for u in units:
+        h = (h * 33 + u) % 2**32
+    assert one(spark, text.djb2(F.col("v")), v=pair) == h
+
+
+def test_robots(spark):
+    allows = lambda robots, agent: one(spark, content.robots_allows(F.col("v"), agent), v=robots)
+    assert allows(None, "Yeti") and allows("Disallow: /", "Yeti")  # a rule before any group is none
+    both = "User-agent: a\nUser-agent: Yeti\nDisallow: /\n\nUser-agent: *\nDisallow: /\nAllow: /"
+    assert not allows(both, "Yeti") and allows(both, "other")
+
+
+def test_cleaning_is_that_of_plain_patterns(spark):
+    """The rules over a page, once more with the patterns of another engine."""
+    html = "<<<HTML>>><p><em> </em></p>\n\n\n\n<script src='x'>1</script><script type='application/ld+json'>{}</script>a��b  c Tel: 02-123-4567 / 1588-1234 전화: <b>x</b> <a href='tel now'>in</a> <a class='k' href=\"https://else.example\">우리 <b>카톡</b></a>"
+    want = re.sub(r"(?i)<{2,3}\s*(?:TITLE|SEO|META|KEYWORDS|HTML|END)\s*>{2,3}", "", html)
+    want = re.sub(r"(?is)<script\b(?![^>]*application/ld\+json)[^>]*>.*?</script>", "", want).replace("�", "")
+    for _ in range(3):
+        want = re.sub(r"(?i)<(p|h1|h2|h3|h4|li|strong|em|span)>\s*</\1>", "", want)
+    want = want.replace("Tel: 02-123-4567", "카카오 상담").replace("1588-1234", "").replace("전화: <b>", "<b>").replace("<a href='tel now'>in</a>", "in")
+    want = re.sub(r"<a class='k'[^>]*>(.*)</a>", rf'<a href="{content.CONTACT_URL}" target="_blank" rel="noopener">\1</a>', want)
+    want = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]{2,}", " ", want)).strip()
+    assert one(spark, content.clean(F.col("v")), v=html) == want
+
+
 def test_upserts(spark):
     base = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "id int, v string")
@@ -108,7 +188,8 @@ def test_clean_and_errors(spark):
 def test_headings_and_faq(spark):
     html = "<h2>FAQ</h2><h3>Why so?</h3><p>Because it is so.</p><h3>How long?</h3><p>Until it is done.</p><h2>Next</h2>"
     assert [h.level for h in one(spark, content.headings(F.col("v")), v=html)] == [2, 3, 3, 2]
-    assert [x.q for x in one(spark, content.faq(F.col("v")), v=html)] == ["Why so?", "How long?"]
+    assert [x.q for x in one(spark, content.faq_pairs(F.col("v")), v=html)] == ["Why so?", "How long?"]
+    assert one(spark, content.faq(F.col("v")), v="<h2>FAQ</h2><h3>Only one?</h3><p>It is not enough.</p>") is None
 
 
 def test_recommendation_by_hand(spark):
@@ -140,6 +221,14 @@ def test_streamed_counts_are_those_of_the_batch(spark, sf_dir, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_publishing_reads_the_partitions_of_a_batch_and_keeps_to_what_is_due(spark, tmp_path):
+    spark.createDataFrame([("d1", "09:00"), ("d1", "23:00"), ("d2", "10:00")], "day string, slot string").write.parquet(str(tmp_path / "in"))
+    for n in range(2):
+        stream = spark.readStream.schema("day string, slot string").parquet(str(tmp_path / "in"))
+        counters.publish_due(stream, str(tmp_path / "out"), str(tmp_path / f"cp{n}"), ("day", "slot"), part="day", now="12:00").awaitTermination()
+    assert sorted((str(r.day), r.slot) for r in spark.read.schema("slot string, day string").parquet(str(tmp_path / "out")).collect()) == [("d1", "09:00"), ("d2", "10:00")]
+
+
 def test_publishing_twice_adds_nothing(spark, tmp_path):
     spark.createDataFrame([("s1",), ("s2",)], "slot string").write.parquet(str(tmp_path / "in"))
     for n in range(2):

@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from tidemill.plans import registry
@@ -12,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def plain(value):
     if isinstance(value, (list, np.ndarray)):
         return [plain(v) for v in value]
-    if value is None or value != value:
+    if value is None or pd.isna(value):
         return "null"
     if isinstance(value, (bool, np.bool_)):
         return str(bool(value))

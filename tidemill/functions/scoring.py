@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,8 +45,30 @@ def unit_price(price: Column, count: Column, amount: Column | None = None) -> Co
     return F.when((price > 0) & (per > 0), F.try_divide(price.cast("double"), per.cast("double")))
 
 
+#: Pieces in a title, first with a number of packs, then plain.
+PACKS = r"(?i)(\d+)\s*(?:정|캡슐|구미|포|일분|개월|박스)?\s*x?\s*(\d+)?\s*(?:정|캡슐)"
+PIECES = r"(?i)(\d+)\s*(?:정|캡슐|구미|포)"
+
+
 def pack_count(title: Column) -> Column:
-    """Pieces by a title: a number before a counting word, times a number of packs if one follows; else null."""
-    n = F.regexp_extract(title, r"(\d+)\s*(?i:tablets?|capsules?|pcs|ct)\b", 1).try_cast("int")
-    packs = F.regexp_extract(title, r"(?i)\bx\s*(\d+)\b", 1).try_cast("int")
-    return n * F.coalesce(packs, F.lit(1))
+    """Pieces by a title, times the packs if it has both; else null."""
+    found = lambda pattern, group: F.regexp_extract(title, pattern, group).try_cast("int")
+    packs = F.when(title.rlike(PACKS), found(PACKS, 1) * F.coalesce(found(PACKS, 2), F.lit(1)))
+    return F.coalesce(packs, found(PIECES, 1))
+
+
+def polar(i: Column, of: Column, share: Column, centre: float = 0.0, radius: float = 1.0) -> tuple[Column, Column]:
+    """The i-th (from 0) of ``of`` points around a centre, starting at the top."""
+    angle = F.lit(2 * math.pi) * i / of - F.lit(math.pi / 2)
+    return centre + radius * share * F.cos(angle), centre + radius * share * F.sin(angle)
+
+
+def scaled(v: Column, low: float, high: float, most: Column) -> Column:
+    """A value from 0 to ``most`` on a line from ``high`` (0) to ``low``."""
+    return F.lit(high) - (high - low) * F.try_divide(v.cast("double"), most.cast("double"))
+
+
+def weighted_mean(parts: list[tuple[Column, float]]) -> Column:
+    """The mean of those values that are there, by their weights; null if none is."""
+    total = sum((F.coalesce(v * w, F.lit(0.0)) for v, w in parts), F.lit(0.0))
+    return F.try_divide(total, sum((F.when(v.isNotNull(), F.lit(w)).otherwise(0.0) for v, w in parts), F.lit(0.0)))

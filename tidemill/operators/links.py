@@ -8,12 +8,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.text import norm, tokens
+from tidemill.sources.tables import kept
+
+
+#: Words of a state that publish a post, that hide it, and that also hold back its indexing.
+PUBLISHED, HIDDEN, IN_REVIEW = "publish|발행|live|done", "draft|임시|hidden|trash|삭제", "review|검수"
 
 
 def is_published(status: Column, publishable: Column) -> Column:
-    """Not marked unpublishable; a draft-like status counts only if nothing publish-like is in it."""
-    s = norm(status)
-    return F.coalesce(publishable, F.lit(True)) & ~(s.rlike("draft|review|hold|private|trash") & ~s.rlike("publish|live"))
+    """Not marked unpublishable; a hidden state counts only if nothing in it publishes."""
+    s = F.coalesce(status, F.lit(""))
+    return F.coalesce(publishable, F.lit(True)) & ~(s.rlike(f"(?i){HIDDEN}") & ~s.rlike(f"(?i){PUBLISHED}"))
+
+
+def is_indexable(status: Column, publishable: Column) -> Column:
+    """Not marked unpublishable, and in no hidden state or review."""
+    return F.coalesce(publishable, F.lit(True)) & ~F.coalesce(status, F.lit("")).rlike(f"(?i){HIDDEN}|{IN_REVIEW}")
+
+
+def readiness(posts: DataFrame) -> DataFrame:
+    """One row of counts over indexable posts: published, missing_slug, no_image, no_meta, ready. ``posts``: status, publishable, slug, images, html, meta."""
+    lacks = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    bare = (F.coalesce(F.size("images"), F.lit(0)) <= 0) & ~F.coalesce(F.col("html"), F.lit("")).rlike("(?i)<img")
+    there = posts.where(is_indexable(F.col("status"), F.col("publishable")))
+    return there.agg(F.count("*").alias("published"), F.count_if(lacks("slug")).alias("missing_slug"), F.count_if(bare).alias("no_image"), F.count_if(lacks("meta")).alias("no_meta"), F.count_if(~lacks("slug") & ~lacks("meta")).alias("ready"))
+
+
+def has_link(html: Column, slug: Column, post_id: Column) -> Column:
+    """Whether a page already names the slug of a post, as it is or percent-encoded, or its id."""
+    low = F.lower(F.coalesce(html, F.lit("")))
+    holds = lambda c: (c != "") & F.contains(low, c)
+    name = norm(slug)
+    return holds(F.lower(F.replace(F.url_encode(name), F.lit("+"), F.lit("%20")))) | holds(name) | holds(norm(post_id.cast("string")))
 
 
 def overlap_pairs(posts: DataFrame) -> DataFrame:
@@ -96,8 +122,9 @@ def dangling(refs: DataFrame, ref: str, targets: DataFrame, target: str) -> Data
 
 
 def completeness(slots: DataFrame, cluster: str, filled: Column) -> DataFrame:
-    """Slots and filled slots of each cluster, with their ratio to 3 digits."""
-    return slots.groupBy(cluster).agg(F.count("*").alias("slots"), F.count_if(F.coalesce(filled, F.lit(False))).alias("filled")).withColumn("ratio", F.round(F.col("filled").cast("double") / F.col("slots"), 3))
+    """Slots and filled slots of each cluster and, under null, of all, with their ratio to 3 digits."""
+    sums = slots.rollup(cluster).agg(F.count("*").alias("slots"), F.count_if(F.coalesce(filled, F.lit(False))).alias("filled"))
+    return sums.withColumn("ratio", F.round(F.coalesce(F.try_divide(F.col("filled").cast("double"), F.col("slots").cast("double")), F.lit(0.0)), 3))
 
 
 def first_gap(slots: DataFrame, group: str, is_open: Column, order: Sequence[str], value: str) -> DataFrame:
@@ -105,30 +132,40 @@ def first_gap(slots: DataFrame, group: str, is_open: Column, order: Sequence[str
     return slots.where(is_open).groupBy(group).agg(F.min_by(value, F.struct(*order)).alias(value))
 
 
+def candidates(slots: DataFrame, posts: DataFrame, least: float = 0.34) -> DataFrame:
+    """(slot, s_ord, post, score, rank): the posts that fit a slot, best first; of equal scores the later post.
+
+    ``slots``: slot, ord, cat, kw; ``posts``: post, ord, cat, text. Categories must be equal, whatever their case, where both
+    sides have one. Candidates share a token, so they come from an inverted index.
+    """
+    s = slots.select("slot", F.col("ord").alias("s_ord"), norm(F.col("cat")).alias("s_cat"), tokens(F.col("kw")).alias("st"))
+    p = posts.select("post", F.col("ord").alias("p_ord"), norm(F.col("cat")).alias("p_cat"), tokens(F.col("text")).alias("pt"))
+    a = s.select("slot", "s_ord", "s_cat", F.size("st").alias("sn"), F.explode("st").alias("tok"))
+    b = p.select("post", "p_ord", "p_cat", F.size("pt").alias("pn"), F.explode("pt").alias("tok"))
+    met = a.join(b, "tok").where((F.col("s_cat") == "") | (F.col("p_cat") == "") | (F.col("s_cat") == F.col("p_cat")))
+    scored = met.groupBy("slot", "s_ord", "sn", "post", "p_ord", "pn").agg(F.count("*").alias("common")).withColumn("score", F.round(F.col("common") / F.sqrt((F.col("sn") * F.col("pn")).cast("double")), 9))
+    rank = F.row_number().over(Window.partitionBy("slot").orderBy(F.desc("score"), F.desc("p_ord")))
+    return scored.where(F.col("score") >= least).select("slot", "s_ord", "post", "score", rank.alias("rank"))
+
+
 def assign_greedily(slots: DataFrame, posts: DataFrame, least: float = 0.34) -> DataFrame:
-    """Gives each open slot, in order, the best post not yet used: slot, post, score.
+    """Gives each slot, in order, the best post that no earlier slot has taken: slot, post, score.
 
-    ``slots``: slot, ord, cat, kw; ``posts``: post, ord, cat, text. Both need a category, which makes
-    categories independent; a group holds the candidates of one category. Candidates share a token, so they come from an
-    inverted index. Of equal scores the later post wins.
+    In rounds every slot asks for its best post that no earlier slot holds, and every post goes to the
+    earliest slot that asks. A post only ever moves to an earlier slot, so this ends where taking turns would.
     """
-    s = slots.select("slot", F.col("ord").alias("s_ord"), "cat", tokens("kw").alias("st"))
-    p = posts.select("post", F.col("ord").alias("p_ord"), "cat", tokens("text").alias("pt"))
-    hits = s.select("slot", "cat", F.explode("st").alias("tok")).join(p.select("post", "cat", F.explode("pt").alias("tok")), ["cat", "tok"]).groupBy("cat", "slot", "post").agg(F.count("*").alias("common"))
-    scored = hits.join(s.select("slot", "s_ord", F.size("st").alias("sn")), "slot").join(p.select("post", "p_ord", F.size("pt").alias("pn")), "post")
-    scored = scored.withColumn("score", F.round(F.col("common") / F.sqrt((F.col("sn") * F.col("pn")).cast("double")), 9)).where(F.col("score") >= least)
-    schema = f"cat string, slot {dict(slots.dtypes)['slot']}, post {dict(posts.dtypes)['post']}, score double"
-
-    def resolve(rows):
-        used, out, done = set(), [], set()
-        for r in rows.sort_values(["s_ord", "score", "p_ord"], ascending=[True, False, False]).itertuples():
-            if r.slot not in done and r.post not in used:
-                done.add(r.slot)
-                used.add(r.post)
-                out.append((r.cat, r.slot, r.post, r.score))
-        return type(rows)(out, columns=["cat", "slot", "post", "score"])
-
-    return scored.groupBy("cat").applyInPandas(resolve, schema)
+    ranked = kept(candidates(slots, posts, least), "candidates")
+    held = ranked.select("post", "s_ord").limit(0)
+    last = None
+    while True:
+        open_ = ranked.join(held.select("post", F.col("s_ord").alias("by")), "post", "left").where(F.col("by").isNull() | (F.col("by") >= F.col("s_ord")))
+        asked = open_.groupBy("slot", "s_ord").agg(F.min_by(F.struct("post", "score"), "rank").alias("best"))
+        taken = kept(asked.groupBy("best.post").agg(F.min_by(F.struct("slot", "s_ord", "best.score"), "s_ord").alias("t")).select("post", "t.slot", "t.s_ord", "t.score"), "assigned")
+        held = taken.select("post", "s_ord")
+        state = taken.agg(F.count("*"), F.sum(F.xxhash64("post", "slot").cast("decimal(38,0)"))).first()
+        if state == last:
+            return taken.select("slot", "post", "score")
+        last = state
 
 
 def ordered_distinct(words: DataFrame, word: str, order: Sequence[str]) -> DataFrame:

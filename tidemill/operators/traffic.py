@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemill.functions.dates import iso_week_key, local_day, month_key
 from tidemill.functions.scoring import round_half_up
 
-#: Channels by a pattern of the host, first match wins.
+#: Channels by a pattern of the host, first match wins.
 CHANNELS: list[tuple[str, str]] = [
     ("naver", r"naver\."),
     ("google", r"google\."),
@@ -56,17 +56,29 @@ def trailing_sums(daily: DataFrame, as_of: str, spans: Sequence[int] = (1, 7, 30
 
 
 def counted(df: DataFrame, key: Column, name: str) -> DataFrame:
-    """Rows of each key that occurs."""
-    return df.groupBy(key.alias(name)).agg(F.count("*").alias("n"))
+    """Rows of each key that occurs, most first."""
+    return df.groupBy(key.alias(name)).agg(F.count("*").alias("n")).orderBy(F.desc("n"), name)
 
 
 def leaderboard(scores: DataFrame, ts: str, member: str, score: Column, hours: int = 9) -> DataFrame:
-    """The best score of each member for all time, each month and each ISO week. Scores are whole, within 0 and 100; a score of 0 is no score."""
+    """The best score of each member for all time, each month and each ISO week, with ``score_rows``."""
+    return score_rows(scores, ts, member, score, hours).groupBy("period", "member").agg(F.max("score").alias("score"))
+
+
+def score_rows(scores: DataFrame, ts: str, member: str, score: Column, hours: int = 9) -> DataFrame:
+    """(member, score, period): a row for each period of a score. Scores are cut to whole ones within 0 and 100; 0 is no score."""
     day = local_day(F.col(ts), hours)
-    value = F.floor(F.greatest(F.lit(0), F.least(F.lit(100), score)) + 0.5).cast("bigint")
+    value = F.floor(F.greatest(F.lit(0), F.least(F.lit(100), score))).cast("bigint")
     periods = F.array(F.lit("all"), month_key(day), iso_week_key(day))
-    rows = scores.select(F.col(member).alias("member"), value.alias("score"), F.explode(periods).alias("period")).where("score > 0")
-    return rows.groupBy("period", "member").agg(F.max("score").alias("score"))
+    return scores.select(F.col(member).alias("member"), value.alias("score"), F.explode(periods).alias("period")).where("score > 0")
+
+
+def within_days(events: DataFrame, first: str, last: str, ts: str = "ts", hours: int = 9) -> DataFrame:
+    """Events of the local days from ``first`` to ``last``, as bounds on ``ts`` that the scan can use."""
+    start = f"TIMESTAMP_NTZ '{first} 00:00:00' - INTERVAL {hours} HOURS"
+    end = f"TIMESTAMP_NTZ '{last} 00:00:00' + INTERVAL 1 DAY - INTERVAL {hours} HOURS"
+    kind = dict(events.dtypes)[ts]
+    return events.where((F.col(ts) >= F.expr(start).cast(kind)) & (F.col(ts) < F.expr(end).cast(kind)))
 
 
 def top_members(board: DataFrame, period: str, k: int = 5) -> DataFrame:

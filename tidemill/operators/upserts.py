@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.sources.tables import kept
+
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of each key by ``order``; an aggregate, so nothing is sorted and hot keys combine early."""
@@ -60,3 +62,22 @@ def review_due(items: DataFrame, kind: Column, since: str, as_of: str, after: di
     days = F.create_map(*[F.lit(x) for pair in after.items() for x in pair])
     waited = F.datediff(F.lit(as_of).cast("date"), F.col(since))
     return items.withColumn("days_since", waited).where(F.col("days_since") >= F.try_element_at(days, kind))
+
+
+def delete_reporting(base: DataFrame, gone: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """What stays, and the rows that were there and are removed."""
+    return delete(base, gone, keys), base.join(gone.select(*keys), list(keys), "left_semi")
+
+
+def ranked(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """Rows with their place in one order of all.
+
+    The place within each range of a range partitioning is added to the number of rows in the ranges before, so no task sees all rows.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = [F.col(c) if isinstance(c, str) else c for c in order]
+    placed = df.repartitionByRange(parts, *columns).withColumn("__part", F.spark_partition_id())
+    placed = kept(placed.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(*columns))), "ranges")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return placed.join(F.broadcast(starts), "__part").withColumn("rank", (F.col("__start") + F.col("__in")).cast("int")).drop("__part", "__in", "__start")

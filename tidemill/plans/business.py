@@ -23,10 +23,11 @@ def status_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parquet(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(*counts, F.count("*").alias("total"))
 
 
-@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS due_on FROM orders WHERE o_orderstatus <> 'F' AND CAST(o_orderdate AS DATE) <= DATE '1996-06-30'")
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS due_on, CAST(row_number() OVER (ORDER BY CAST(o_orderdate AS DATE), o_orderkey) AS INTEGER) AS rank FROM orders WHERE o_orderstatus <> 'F' AND CAST(o_orderdate AS DATE) <= DATE '1996-06-30'")
 def due_reminders(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = parquet(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("due_on"), "o_orderstatus")
-    return upserts.due(rows, "due_on", "1996-06-30", F.col("o_orderstatus") != "F").select("o_orderkey", "due_on")
+    due = upserts.due(rows, "due_on", "1996-06-30", F.col("o_orderstatus") != "F")
+    return upserts.ranked(due, ["due_on", "o_orderkey"]).select("o_orderkey", "due_on", "rank")
 
 
 @query("SELECT o_orderkey, CAST(DATE '1998-08-01' - CAST(o_orderdate AS DATE) AS INTEGER) AS days_since FROM orders WHERE DATE '1998-08-01' - CAST(o_orderdate AS DATE) >= CASE o_orderstatus WHEN 'F' THEN 90 WHEN 'P' THEN 56 END")
@@ -48,9 +49,9 @@ def depletion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _depletion(spark, sf_dir)
 
 
-@query(f"SELECT * FROM ({_DEPLETION}) WHERE days_left BETWEEN 0 AND 7")
+@query(f"SELECT *, CAST(row_number() OVER (ORDER BY days_left, l_orderkey, l_linenumber) AS INTEGER) AS rank FROM ({_DEPLETION}) WHERE days_left <= 7")
 def restock_due(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _depletion(spark, sf_dir).where("days_left between 0 and 7")
+    return upserts.ranked(_depletion(spark, sf_dir).where("days_left <= 7"), ["days_left", "l_orderkey", "l_linenumber"])
 
 
 @query(
@@ -93,28 +94,29 @@ def dangling_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dangling(parquet(spark, sf_dir, "lineitem"), "l_partkey", parquet(spark, sf_dir, "part"), "p_partkey").select("l_orderkey", "l_linenumber")
 
 
-_TIMES = "(VALUES (1, '09:00', '18:00', false), (2, '22:00', '02:00', false), (3, NULL, NULL, true), (4, NULL, NULL, false), (5, '12:30', '13:00', false)) t(id, o, c, always)"
+_HOURS = "SELECT c_custkey, lpad(CAST(6 + c_custkey % 9 AS VARCHAR), 2, '0') || ':30' AS o, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE lpad(CAST(9 + c_custkey % 14 AS VARCHAR), 2, '0') || ':00' END AS c, c_custkey % 11 = 0 AS always FROM customer"
 
 
-@query(f"SELECT id, CASE WHEN always THEN true ELSE 765 >= CAST(left(o, 2) AS INTEGER) * 60 + CAST(right(o, 2) AS INTEGER) AND 765 < CAST(left(c, 2) AS INTEGER) * 60 + CAST(right(c, 2) AS INTEGER) END AS is_open FROM {_TIMES}")
+@query(f"SELECT c_custkey, CASE WHEN always THEN true ELSE 765 >= CAST(left(o, 2) AS INTEGER) * 60 + CAST(right(o, 2) AS INTEGER) AND 765 < CAST(left(c, 2) AS INTEGER) * 60 + CAST(right(c, 2) AS INTEGER) END AS is_open FROM ({_HOURS})")
 def open_now(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "09:00", "18:00", False), (2, "22:00", "02:00", False), (3, None, None, True), (4, None, None, False), (5, "12:30", "13:00", False)], "id int, o string, c string, always boolean")
-    return rows.select("id", dates.open_now(F.col("o"), F.col("c"), F.col("always"), F.lit(765)).alias("is_open"))
+    k = F.col("c_custkey")
+    opens = F.concat(F.lpad((k % 9 + 6).cast("string"), 2, "0"), F.lit(":30"))
+    closes = F.when(k % 5 != 0, F.concat(F.lpad((k % 14 + 9).cast("string"), 2, "0"), F.lit(":00")))
+    return parquet(spark, sf_dir, "customer").select(k, dates.open_now(opens, closes, k % 11 == 0, F.lit(765)).alias("is_open"))
 
 
-@query("SELECT * FROM (VALUES (1, 2), (2, 0), (3, 1)) t(id, due)")
+@query("SELECT c_custkey, count(*) FILTER ((480 + c_custkey % 600 + i * 90) % 1440 <= 660) AS due FROM customer, range(0, 5) g(i) WHERE i < 1 + c_custkey % 4 GROUP BY 1")
 def slot_due(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "09:00", 3, 90), (2, "13:00", 1, 60), (3, "23:30", 2, 60)], "id int, start string, n int, step int")
-    slots = dates.publish_slots(F.col("start"), F.col("n"), F.col("step"))
-    return rows.select("id", dates.due_slots(slots, F.lit(11 * 60)).alias("due"))
+    k = F.col("c_custkey")
+    slots = dates.publish_slots(dates.hhmm(k % 600 + 480), (k % 4 + 1).cast("int"), F.lit(90))
+    return parquet(spark, sf_dir, "customer").select(k, dates.due_slots(slots, F.lit(660)).cast("bigint").alias("due"))
 
 
-@query("SELECT * FROM (VALUES (1, 120), (2, NULL), (3, 60)) t(id, pieces)")
-def pack_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "Fish oil 60 capsules x 2"), (2, "Fish oil 1000"), (3, "Vitamin 60tablets")], "id int, title string")
-    return rows.select("id", scoring.pack_count(F.col("title")).alias("pieces"))
+_PIECES = ["{n}정 x 2캡슐", "{n}캡슐", "오메가3 {n}포", "비타민 {n}mg", "{n} 정"]
 
 
-@query()
-def name_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parquet(spark, sf_dir, "customer").select("c_custkey", text.fnv1a(F.col("c_name")).alias("fnv1a"), text.poly31(F.col("c_name")).alias("poly31"))
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_size * 2 WHEN 3 THEN NULL ELSE p_size END AS pieces FROM part")
+def pack_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_size").cast("string")
+    titles = F.array(*[F.replace(F.lit(t), F.lit("{n}"), n) for t in _PIECES])
+    return parquet(spark, sf_dir, "part").select("p_partkey", scoring.pack_count(F.element_at(titles, (F.col("p_partkey") % 5 + 1).cast("int"))).alias("pieces"))

@@ -9,7 +9,7 @@ from tidemill.functions import text
 from tidemill.functions.scoring import grade
 from tidemill.operators import content as ops
 from tidemill.operators import links
-from tidemill.plans.book import Book
+from tidemill.plans.book import Book, pick, pick_sql
 from tidemill.sources.tables import parquet
 
 _book = Book()
@@ -17,18 +17,53 @@ query = _book.query
 QUERIES, ORACLES = _book.queries, _book.oracles
 
 
+STATES = ["published", "", "draft", "Draft, live", "임시저장", "발행", "in review", "hidden", "DONE"]
+_TITLE = "coalesce(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '')"
+
+
+def _all_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as posts: their title, slug, the language in the path as category, the end of the host as region, some in one of three clusters; states in turn."""
+    i, url = F.col("page_id"), F.coalesce(F.col("url"), F.lit(""))
+    title = F.trim(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1))
+    cat, region = F.regexp_extract(url, r"^[a-z]+://[^/?#]*/([a-z]+)/", 1), F.regexp_extract(url, r"^[a-z]+://[^/?#]*\.([a-z]+)(?:[/?#:]|$)", 1)
+    cluster = F.when(i % 11 == 0, (i % 3).cast("string")).otherwise("")
+    return parquet(spark, sf_dir, "pages").select(i.alias("id"), i.alias("ord"), title.alias("title"), text.tokens(title).alias("toks"), cat.alias("cat"), region.alias("region"), cluster.alias("cluster"), pick(i, STATES).alias("status"), F.when(i % 17 == 0, False).alias("publishable"), "html")
+
+
 def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items as posts: a category of five, a region of seven and a cluster of three by their id."""
-    i = F.col("item_id")
-    return parquet(spark, sf_dir, "benchmark").select(i.alias("id"), i.alias("ord"), text.tokens(F.col("text")).alias("toks"), (i % 5).cast("string").alias("cat"), (i % 7).cast("string").alias("region"), F.when(i % 11 == 0, (i % 3).cast("string")).otherwise("").alias("cluster"))
+    """The published posts."""
+    return _all_posts(spark, sf_dir).where(links.is_published(F.col("status"), F.col("publishable")))
 
 
-_TOKS = "list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda w: length(w) >= 2))"
-_POSTS = f"SELECT item_id AS id, {_TOKS} AS toks, item_id % 5 AS cat, item_id % 7 AS region, CASE WHEN item_id % 11 = 0 THEN item_id % 3 END AS cluster FROM benchmark"
-_SCORED = f"""WITH p AS ({_POSTS}), s AS (SELECT a.id AS src, b.id AS dst, round(len(list_intersect(a.toks, b.toks)) / sqrt(len(a.toks) * len(b.toks)) + CASE WHEN a.cat = b.cat THEN .15 ELSE 0 END + CASE WHEN a.region = b.region THEN .10 ELSE 0 END + CASE WHEN a.cluster = b.cluster THEN .25 ELSE 0 END, 9) AS score FROM p a JOIN p b ON a.id <> b.id),
+_STATE = pick_sql("page_id", STATES)
+_LIVE = f"coalesce(page_id % 17 <> 0, true) AND NOT (regexp_matches({_STATE}, '(?i){links.HIDDEN}') AND NOT regexp_matches({_STATE}, '(?i){links.PUBLISHED}'))"
+_TOKS = f"list_distinct(list_filter(string_split(trim(regexp_replace(lower({_TITLE}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda w: length(w) >= 2))"
+_POSTS = f"SELECT page_id AS id, {_TITLE} AS title, {_TOKS} AS toks, regexp_extract(coalesce(url, ''), '^[a-z]+://[^/?#]*/([a-z]+)/', 1) AS cat, regexp_extract(coalesce(url, ''), '^[a-z]+://[^/?#]*\\.([a-z]+)(?:[/?#:]|$)', 1) AS region, CASE WHEN page_id % 11 = 0 THEN page_id % 3 END AS cluster, html FROM pages WHERE {_LIVE}"
+_SCORED = f"""WITH p AS ({_POSTS}), s AS (SELECT a.id AS src, b.id AS dst, round(CASE WHEN len(a.toks) * len(b.toks) = 0 THEN 0 ELSE len(list_intersect(a.toks, b.toks)) / sqrt(len(a.toks) * len(b.toks)) END + CASE WHEN a.cat = b.cat AND a.cat <> '' THEN .15 ELSE 0 END + CASE WHEN a.region = b.region AND a.region <> '' THEN .10 ELSE 0 END + CASE WHEN a.cluster = b.cluster THEN .25 ELSE 0 END, 9) AS score FROM p a JOIN p b ON a.id <> b.id),
 k AS (SELECT src, dst, CAST(rn AS INTEGER) AS rank, score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rn FROM s WHERE score >= .12) WHERE rn <= 4)"""
 
 
+@query(f"SELECT page_id AS id FROM pages WHERE {_LIVE}")
+def published_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _posts(spark, sf_dir).select("id")
+
+
+@query(f"SELECT count(*) AS published, count(*) FILTER (page_id % 5 = 0) AS missing_slug, count(*) FILTER (NOT regexp_matches(html, '(?i)<img')) AS no_image, count(*) FILTER (page_id % 3 = 0) AS no_meta, count(*) FILTER (page_id % 5 <> 0 AND page_id % 3 <> 0) AS ready FROM pages WHERE page_id % 17 <> 0 AND NOT regexp_matches({_STATE}, '(?i){links.HIDDEN}|{links.IN_REVIEW}')")
+def indexing_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = {"slug": F.when(F.col("id") % 5 != 0, text.slug(F.col("title"))), "meta": F.when(F.col("id") % 3 != 0, "said"), "images": F.array().cast("array<string>")}
+    return links.readiness(_all_posts(spark, sf_dir).withColumn("title", F.lit("t")).withColumns(fields))
+
+
+_SLUG = "left(regexp_replace(regexp_replace(lower(trim(d.title)), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), 8)"
+
+
+@query(f"{_SCORED} SELECT k.src, k.dst, {_SLUG} <> '' AND (contains(lower(s.html), {_SLUG}) OR contains(lower(s.html), lower(url_encode({_SLUG})))) AS existing FROM k JOIN p s ON s.id = k.src JOIN p d ON d.id = k.dst")
+def link_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = _posts(spark, sf_dir)
+    met = links.top_links(posts).join(posts.select(F.col("id").alias("src"), "html"), "src").join(posts.select(F.col("id").alias("dst"), "title"), "dst")
+    return met.select("src", "dst", links.has_link(F.col("html"), text.slug(F.col("title"), 8), F.lit("")).alias("existing"))
+
+
 @query(f"{_SCORED} SELECT * FROM k")
 def link_top4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.top_links(_posts(spark, sf_dir))
@@ -54,18 +89,26 @@ def pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def link_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = _posts(spark, sf_dir)
-    return links.with_anchors(links.top_links(posts), posts.select(F.col("id").alias("dst"), F.slice("toks", 1, 2).alias("anchors")))
+    anchors = F.array_distinct(F.array_compact(F.array(F.nullif("title", F.lit("")), F.get("toks", F.lit(0)), F.col("id").cast("string"))))
+    return links.with_anchors(links.top_links(posts), posts.select(F.col("id").alias("dst"), anchors.alias("anchors")))
 
 
 @query()
 def cluster_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items are the slots, whole documents the posts; items have no category, so any document may fit."""
     items = parquet(spark, sf_dir, "benchmark")
-    cat = (F.col("item_id") % 5).cast("string").alias("cat")
-    slots = items.select(F.col("item_id").alias("slot"), F.col("item_id").alias("ord"), cat, F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("kw"))
-    return links.assign_greedily(slots, items.select(F.col("item_id").alias("post"), F.col("item_id").alias("ord"), cat, "text"))
+    slots = items.select(F.col("item_id").alias("slot"), F.col("item_id").alias("ord"), F.lit("").alias("cat"), F.col("text").alias("kw"))
+    docs = parquet(spark, sf_dir, "documents").select(F.col("doc_id").alias("post"), F.col("doc_id").alias("ord"), F.col("lang").alias("cat"), "text")
+    return links.assign_greedily(slots, docs)
+
+
+@query("SELECT l_partkey, 'c' || l_suppkey AS cluster FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)")
+def cluster_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = parquet(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.collect_set("l_partkey").alias("posts"))
+    return members.select(F.explode("posts").alias("l_partkey"), F.concat(F.lit("c"), F.col("l_suppkey").cast("string")).alias("cluster"))
 
 
-@query("SELECT source, count(*) AS slots, count(l.doc_id) AS filled, round(count(l.doc_id)::DOUBLE / count(*), 3) AS ratio FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
+@query("SELECT source, count(*) AS slots, count(l.doc_id) AS filled, round(count(l.doc_id)::DOUBLE / count(*), 3) AS ratio FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY ROLLUP (source)")
 def cluster_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = parquet(spark, sf_dir, "documents").select("doc_id", "source").join(parquet(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("there")), "doc_id", "left")
     return links.completeness(docs, "source", F.col("there"))
@@ -103,6 +146,7 @@ def question_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FORBIDDEN = ["the best", "la la", "in in", "de de", "free"]
 FIXES = [("the best", "a good"), ("la la", "la"), ("in in", "in"), ("de de", "de")]
+AFTER = [("a good", "good"), ("in in", "in")]
 
 
 @query("SELECT doc_id, list_filter(['the best', 'la la', 'in in', 'de de', 'free'], lambda p: contains(lower(coalesce(text, '')), p)) AS phrases FROM documents")
@@ -110,14 +154,17 @@ def phrase_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parquet(spark, sf_dir, "documents").select("doc_id", text.contains_any(F.col("text"), FORBIDDEN).alias("phrases"))
 
 
-@query("SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'the best', 'a good', 'gi'), 'la la', 'la', 'gi'), 'in in', 'in', 'gi'), 'de de', 'de', 'gi')) AS fixed_md5 FROM documents")
+@query("SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'the best', 'a good', 'gi'), 'la la', 'la', 'gi'), 'in in', 'in', 'gi'), 'de de', 'de', 'gi'), 'a good', 'good', 'gi'), 'in in', 'in', 'gi')) AS fixed_md5 FROM documents")
 def phrase_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parquet(spark, sf_dir, "documents").select("doc_id", F.md5(text.substitute(F.col("text"), FIXES).cast("binary")).alias("fixed_md5"))
+    """Two passes: the second removes what the first has made."""
+    fixed = text.substitute(text.substitute(F.col("text"), FIXES), AFTER)
+    return parquet(spark, sf_dir, "documents").select("doc_id", F.md5(fixed.cast("binary")).alias("fixed_md5"))
 
 
-@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\b(?:tel|phone|call)\.?[ ]*:?[ ]*(?:\+?82[- ]?)?0[0-9]{1,2}[- .][0-9]{3,4}[- .][0-9]{4}', 'contact form', 'g'), '(?:\+?82[- ]?)?0[0-9]{1,2}[- .][0-9]{3,4}[- .][0-9]{4}', '', 'g'), '\b1[5-9][0-9]{2}[- .]?[0-9]{4}\b', '', 'g'), '(?i)\b(?:tel|phone)\.?[ ]*:[ ]*(<)', '\1', 'g')) AS text_md5 FROM documents")
+@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace('Tel. 010-12' || lpad(CAST(doc_id % 97 AS VARCHAR), 2, '0') || '-5678, 전화: ' || chr(10) || text, '(전화|연락처|문의(?:전화)?|상담전화|대표번호|고객센터|Tel\.?|TEL\.?|tel\.?)\s*[:：]?\s*(?:\+?82[-\s]?)?(?:0\d{1,2}|01\d)[-\s.]?\d{3,4}[-\s.]?\d{4}', '카카오 상담', 'g'), '(?:\+?82[-\s]?)?0\d{1,2}[-\s.]\d{3,4}[-\s.]\d{4}', '', 'g'), '\b1[5-9]\d{2}[-\s.]?\d{4}\b', '', 'g'), '(?:전화|연락처|Tel\.?|TEL)\s*[:：]\s*([<\s])', '\1', 'g')) AS text_md5 FROM documents")
 def phone_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parquet(spark, sf_dir, "documents").select("doc_id", F.md5(ops.redact_phones(F.col("text")).cast("binary")).alias("text_md5"))
+    number = F.concat(F.lit("Tel. 010-12"), F.lpad((F.col("doc_id") % 97).cast("string"), 2, "0"), F.lit("-5678, 전화: \n"))
+    return parquet(spark, sf_dir, "documents").select("doc_id", F.md5(ops.redact_phones(F.concat(number, "text")).cast("binary")).alias("text_md5"))
 
 
 @query()
@@ -144,58 +191,122 @@ def content_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parquet(spark, sf_dir, "pages").select("page_id", ops.content_errors(F.col("html")).alias("errors"))
 
 
-_CHECKS = r"""WITH f AS (SELECT page_id, url, html, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, len(regexp_extract_all(html, '(?i)<title\b')) AS titles,
- len(regexp_extract_all(html, '(?i)<meta\s[^>]*name=["'']?description')) AS descs, len(regexp_extract_all(html, '(?i)<h1\b')) AS h1s, len(regexp_extract_all(html, '(?i)<img\s[^>]*src')) AS imgs,
- len(regexp_extract_all(html, '(?i)<img\s[^>]*\balt\s*=')) AS alts, len(regexp_extract_all(html, '(?i)<script\s[^>]*src')) AS scripts, regexp_matches(html, '(?i)application/ld\+json') AS ld,
- regexp_matches(html, '(?i)property=["'']?og:title') AND regexp_matches(html, '(?i)property=["'']?og:description') AS og,
- length(trim(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))) AS body,
- coalesce(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '') AS path, coalesce(regexp_extract(url, '(\?[^#]*)', 1), '') AS q FROM pages),
-g AS (SELECT *, (scripts >= 4 AND NOT ld AND NOT og) OR (titles = 0 AND body < 400) AS r FROM f),
-c AS (SELECT page_id, CASE WHEN title <> '' AND titles <= 1 AND length(title) BETWEEN 10 AND 60 THEN true WHEN r THEN NULL ELSE false END AS title, CASE WHEN descs = 1 THEN true WHEN r THEN NULL ELSE false END AS description,
- CASE WHEN h1s = 1 THEN true WHEN r THEN NULL ELSE false END AS h1, imgs = 0 OR (imgs - alts) * 10 <= imgs AS image_alt,
- NOT regexp_matches(q, '(?i)[?&](sessionid|sid|phpsessid|jsessionid)=') AND (path IN ('', '/') OR (regexp_matches(path, '(?i)[a-z\x{AC00}-\x{D7A3}]{2,}') AND NOT regexp_matches(path, '/\d{6,}(/|$)') AND NOT regexp_matches(path, '(?i)[0-9a-f]{16,}'))) AS url_ok,
- starts_with(url, 'https://') AS https, NOT regexp_matches(html, '(?i)<meta\s[^>]*name=["'']?robots[^>]*noindex') AS indexable, regexp_matches(html, '(?i)<link\s[^>]*rel=["'']?canonical') AS canonical,
- regexp_matches(html, '(?i)<meta\s[^>]*name=["'']?viewport') AS viewport, regexp_matches(html, '(?i)<html\s[^>]*\blang=["'']?[a-z]') AS lang,
- CASE WHEN ld THEN true WHEN r THEN NULL ELSE false END AS structured_data, CASE WHEN og THEN true WHEN r THEN NULL ELSE false END AS open_graph,
- regexp_matches(html, '(?i)<link\s[^>]*rel=["'']?(?:shortcut )?icon') AS favicon FROM g)"""
-_NAMES = ["title", "description", "h1", "image_alt", "url_ok", "https", "indexable", "canonical", "viewport", "lang", "structured_data", "open_graph", "favicon"]
-_ITEMS = " UNION ALL ".join(
-    f"SELECT page_id, '{c}' AS category, {p} AS points, {'CAST(NULL AS BOOLEAN)' if c == 'speed' else 'url_ok' if n == 'url' else n} AS pass FROM c" for c, n, p in ops.CHECKS
-)
-_AUDIT = f"""{_CHECKS}, i AS ({_ITEMS}), a AS (SELECT page_id, category, CAST(coalesce(sum(points) FILTER (pass), 0) AS BIGINT) AS score, CAST(sum(points) AS BIGINT) AS max, bool_or(pass IS NULL) AS pending,
- count(*) FILTER (pass) AS passed, count(*) FILTER (NOT pass) AS failed, CAST(coalesce(sum(points) FILTER (NOT pass), 0) AS BIGINT) AS improvable FROM i GROUP BY 1, 2),
-s AS (SELECT *, CAST(CASE WHEN pending THEN 0 ELSE floor(score * 100.0 / max + 0.5) END AS BIGINT) AS pct FROM a)"""
-_TOTALS = f"""{_AUDIT}, t AS (SELECT page_id, CAST(coalesce(sum(score) FILTER (NOT pending AND category <> 'speed'), 0) AS BIGINT) AS total, CAST(coalesce(sum(max) FILTER (NOT pending AND category <> 'speed'), 0) AS BIGINT) AS max,
- CAST(sum(passed) AS BIGINT) AS passed, CAST(sum(failed) AS BIGINT) AS failed, CAST(sum(improvable) AS BIGINT) AS improvable FROM s GROUP BY 1)"""
+#: Robots files that the pages get in turn: the table has none.
+ROBOTS = [
+    "",
+    "User-agent: *\nDisallow:\nSitemap: https://x.example/sitemap.xml",
+    "# all\nUser-agent: Googlebot\nUser-agent: Yeti\nAllow: /\n\nUser-agent: *\nDisallow: /private",
+    "User-agent: Yeti\nDisallow: /\nUser-agent: *\nAllow: /",
+    "Disallow: /\nUser-agent: *\nDisallow: /*  # nobody\nAllow: /$\nsitemap: x",
+    "User-agent: *\nDisallow: /",
+]
+
+
+def _page_attr(tag: str, name: str) -> str:
+    """SQL for the value of an attribute of a tag."""
+    return rf"""regexp_replace(regexp_extract({tag}, '(?i)\s{name}\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '^["'']|["'']$', '', 'g')"""
+
 
+def _meta(kind: str, name: str) -> str:
+    return f"list_filter(metas, lambda m: lower(trim({_page_attr('m', kind)})) = '{name}')"
 
-def _categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.audit(ops.page_checks(parquet(spark, sf_dir, "pages")), "page_id")
 
+def _content(kind: str, name: str) -> str:
+    return f"trim(coalesce({_page_attr(_meta(kind, name) + '[1]', 'content')}, ''))"
 
-@query(f"{_CHECKS} SELECT page_id, {', '.join(_NAMES)} FROM c")
+
+def _allows(agent: str) -> str:
+    first = lambda name: f"list_filter(groups, lambda g: contains(g, chr(10) || 'U:{name}' || chr(10)))[1]"
+    group = f"coalesce({first(agent)}, {first('*')}, '')"
+    return f"NOT (contains({group}, chr(10) || 'D' || chr(10)) AND NOT contains({group}, chr(10) || 'A' || chr(10)))"
+
+
+_SIZE = lambda name: f"TRY_CAST(regexp_extract({_page_attr('t', name)}, '^\\s*(\\d+)', 1) AS INTEGER)"
+_SAID = "regexp_replace(regexp_replace(inners[i], '<[^>]*>', '', 'g'), '\\s+', '', 'g')"
+_CHECKS = rf"""WITH p AS (SELECT page_id, url, html, [{", ".join("'" + x + "'" for x in ROBOTS)}][CAST(page_id % {len(ROBOTS)} AS INTEGER) + 1] AS robots FROM pages),
+l AS (SELECT *, list_filter(list_transform(string_split_regex(robots, '\r?\n'), lambda x: trim(regexp_replace(x, '#.*$', ''))), lambda x: x <> '') AS lines FROM p),
+k AS (SELECT *, list_transform(lines, lambda x: CASE WHEN regexp_matches(x, '(?i)^User-agent\s*:\s*(.+)$') THEN 'U:' || lower(trim(regexp_extract(x, '(?i)^User-agent\s*:\s*(.+)$', 1))) WHEN regexp_matches(x, '(?i)^Allow\s*:\s*/(\*|\$)?\s*$') THEN 'A' WHEN regexp_matches(x, '(?i)^Disallow\s*:\s*/(\*|\$)?\s*$') THEN 'D' ELSE 'x' END) AS kinds FROM l),
+o AS (SELECT *, list_transform(string_split(array_to_string(list_transform(kinds, lambda x, i: CASE WHEN starts_with(x, 'U:') AND NOT coalesce(starts_with(kinds[i - 1], 'U:'), false) THEN chr(12) || x ELSE x END), chr(10)), chr(12))[2:], lambda g: chr(10) || g || chr(10)) AS groups FROM k),
+f AS (SELECT *, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS t, len(regexp_extract_all(html, '(?i)<title\b')) AS titles, regexp_extract_all(html, '(?i)<meta\s[^>]*>') AS metas, len(regexp_extract_all(html, '(?i)<h1\b')) AS h1s,
+ list_filter(regexp_extract_all(html, '(?i)<img\s[^>]*>'), lambda t: regexp_matches(t, '(?i)\s(src|data-src|srcset)\s*=\s*["'']?[^"''>\s]') AND NOT (coalesce({_SIZE("width")} = 1 AND {_SIZE("height")} = 1, false) OR coalesce({_SIZE("width")} = 0, false) OR coalesce({_SIZE("height")} = 0, false))) AS images,
+ regexp_extract_all(html, '(?is)<a(\s[^>]*)>(.*?)</a>', 1) AS tags, regexp_extract_all(html, '(?is)<a(\s[^>]*)>(.*?)</a>', 2) AS inners, regexp_extract_all(html, '(?i)<link\s[^>]*>') AS links,
+ len(regexp_extract_all(html, '(?i)<script\s[^>]*src')) AS scripts, regexp_matches(html, '(?i)application/ld\+json') AS ld, length(trim(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))) AS body,
+ coalesce(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '') AS path, coalesce(regexp_extract(url, '(\?[^#]*)', 1), '') AS q FROM o),
+m AS (SELECT *, list_filter(range(1, len(tags) + 1), lambda i: NOT regexp_matches(trim({_page_attr("tags[i]", "href")}), '(?i)^($|#|javascript:|mailto:|tel:)')) AS real, {_content("property", "og:title")} <> '' AND {_content("property", "og:description")} <> '' AS og FROM f),
+g AS (SELECT *, list_filter(real, lambda i: NOT regexp_matches(inners[i], '(?i)<img\b') AND ({_SAID} = '' OR regexp_matches({_SAID}, '{ops.GENERIC_LINK}') OR regexp_matches({_SAID}, '(?i)^https?://'))) AS bad,
+ (body < 150 AND scripts >= 2 AND t = '' AND h1s = 0) OR (scripts >= 4 AND NOT ld AND NOT og) OR (titles = 0 AND body < 400) AS r FROM m),
+c AS (SELECT page_id, CASE WHEN t <> '' AND titles <= 1 AND length(t) BETWEEN 10 AND 60 THEN true WHEN r THEN NULL ELSE false END AS title, CASE WHEN {_content("name", "description")} <> '' AND len({_meta("name", "description")}) <= 1 THEN true WHEN r THEN NULL ELSE false END AS description,
+ CASE WHEN h1s = 1 THEN true WHEN r THEN NULL ELSE false END AS h1, len(list_filter(images, lambda t: NOT regexp_matches(t, '(?i)\salt(\s|=|/|>)'))) * 10 <= len(images) AS image_alt, len(bad) * 5 <= len(real) AS link_text,
+ NOT regexp_matches(q, '(?i)[?&](sessionid|sid|phpsessid|jsessionid)=') AND (path IN ('', '/') OR (regexp_matches(path, '(?i)[a-z\x{{AC00}}-\x{{D7A3}}]{{2,}}') AND NOT regexp_matches(path, '/\d{{6,}}(/|$)') AND NOT regexp_matches(path, '(?i)[0-9a-f]{{16,}}'))) AS url_ok,
+ starts_with(lower(coalesce(url, '')), 'https:') AS https, {_allows("googlebot")} AND {_allows("yeti")} AND {_allows("*")} AS crawlable, NOT regexp_matches(CASE WHEN {_content("name", "robots")} = '' THEN {_content("name", "googlebot")} ELSE {_content("name", "robots")} END, '(?i)noindex') AS indexable,
+ len(list_filter(links, lambda t: lower({_page_attr("t", "rel")}) = 'canonical' AND {_page_attr("t", "href")} <> '')) > 0 AS canonical, {_content("name", "viewport")} <> '' AS viewport, trim({_page_attr("regexp_extract(html, '(?i)<html[ ][^>]*>', 0)", "lang")}) <> '' AS lang,
+ CASE WHEN ld THEN true WHEN r THEN NULL ELSE false END AS structured_data, CASE WHEN og THEN true WHEN r THEN NULL ELSE false END AS open_graph, regexp_matches(robots, '(?im)^\s*sitemap\s*:') AS sitemap,
+ len(list_filter(links, lambda t: regexp_matches(lower({_page_attr("t", "rel")}), '(^|\s)icon(\s|$)|^apple-touch-icon$'))) > 0 AS favicon, trim(robots) <> '' AS robots_txt,
+ CAST(NULL AS BOOLEAN) AS performance, CAST(NULL AS BOOLEAN) AS compression, CAST(NULL AS BOOLEAN) AS images, CAST(NULL AS BOOLEAN) AS rendering FROM g)"""
+_NAMES = [n for _, n, _ in ops.CHECKS]
+
+
+def _audit(source: str) -> str:
+    """SQL for the categories s of the checks in ``source``."""
+    items = " UNION ALL ".join(f"SELECT page_id, '{c}' AS category, {p} AS points, {n} AS pass FROM {source}" for c, n, p in ops.CHECKS)
+    return f"""i AS ({items}), s AS (SELECT *, CAST(CASE WHEN pending THEN 0 ELSE floor(score * 100.0 / max + 0.5) END AS BIGINT) AS pct FROM (SELECT page_id, category, CAST(coalesce(sum(points) FILTER (pass), 0) AS BIGINT) AS score, CAST(sum(points) AS BIGINT) AS max, bool_or(pass IS NULL) AS pending,
+count(*) FILTER (pass) AS passed, count(*) FILTER (NOT pass) AS failed, count(*) FILTER (pass IS NULL) AS open, CAST(coalesce(sum(points) FILTER (NOT pass), 0) AS BIGINT) AS improvable FROM i GROUP BY 1, 2))"""
+
+
+def _totals(measured: str) -> str:
+    """SQL for totals and grades from s; ``measured`` says for which pages pending categories count."""
+    return f"""t AS (SELECT page_id, CAST(coalesce(sum(score) FILTER ((NOT pending OR {measured}) AND category <> 'speed'), 0) AS BIGINT) AS total, CAST(coalesce(sum(max) FILTER ((NOT pending OR {measured}) AND category <> 'speed'), 0) AS BIGINT) AS max,
+CAST(sum(passed) AS BIGINT) AS passed, CAST(sum(failed) AS BIGINT) AS failed, CAST(sum(open) AS BIGINT) AS open, CAST(sum(improvable) AS BIGINT) AS improvable FROM s GROUP BY 1)
+SELECT *, CAST(floor(CASE WHEN passed + failed = 0 THEN 0 ELSE passed * 100.0 / (passed + failed) END + 0.5) AS BIGINT) AS pass_rate, CASE WHEN max = 0 THEN 'to improve' WHEN total / max >= .9 THEN 'platinum' WHEN total / max >= .8 THEN 'gold' WHEN total / max >= .7 THEN 'silver' WHEN total / max >= .6 THEN 'bronze' ELSE 'to improve' END AS grade FROM t"""
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = parquet(spark, sf_dir, "pages")
+    robots = F.element_at(F.array(*map(F.lit, ROBOTS)), (F.col("page_id") % len(ROBOTS) + 1).cast("int"))
+    return ops.page_checks(pages.withColumn("robots", robots), robots="robots")
+
+
+def _graded(checked: DataFrame) -> DataFrame:
+    return ops.audit_totals(checked, "page_id").withColumn("grade", grade(F.coalesce(F.try_divide(F.col("total").cast("double"), F.col("max").cast("double")), F.lit(0.0))))
+
+
+@query(f"{_CHECKS} SELECT * FROM c")
 def page_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.page_checks(parquet(spark, sf_dir, "pages")).select("page_id", *_NAMES)
+    return _checked(spark, sf_dir).select("page_id", *_NAMES)
 
 
-@query(f"{_AUDIT} SELECT * FROM s")
+@query(f"{_CHECKS}, {_audit('c')} SELECT * FROM s")
 def audit_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _categories(spark, sf_dir)
+    return ops.audit(_checked(spark, sf_dir), "page_id")
 
 
-@query(f"{_TOTALS} SELECT *, CAST(floor(CASE WHEN passed + failed = 0 THEN 0 ELSE passed * 100.0 / (passed + failed) END + 0.5) AS BIGINT) AS pass_rate, CASE WHEN max = 0 THEN 'to improve' WHEN total / max >= .9 THEN 'platinum' WHEN total / max >= .8 THEN 'gold' WHEN total / max >= .7 THEN 'silver' WHEN total / max >= .6 THEN 'bronze' ELSE 'to improve' END AS grade FROM t")
+@query(f"{_CHECKS}, {_audit('c')}, {_totals('false')}")
 def audit_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = ops.audit_totals(_categories(spark, sf_dir), "page_id")
-    return totals.withColumn("grade", grade(F.coalesce(F.try_divide(F.col("total").cast("double"), F.col("max").cast("double")), F.lit(0.0))))
+    return _graded(_checked(spark, sf_dir))
+
+
+#: Which remainder of the page's id each measured audit follows: scores are 0, a half or 1.
+_REMAINDERS = {"document-title": 3, "meta-description": 5, "image-alt": 7, "link-text": 4, "is-crawlable": 6, "robots-txt": 8, "canonical": 9, "viewport": 10, "uses-text-compression": 2, "render-blocking-resources": 3}
+_OVERRULED = ", ".join(
+    f"CASE WHEN page_id % 2 = 0 THEN CASE least(page_id % {_REMAINDERS[ops.OVERRULES[n]]}, 2) WHEN 2 THEN true WHEN 0 THEN false ELSE {n} END ELSE {n} END AS {n}" if n in ops.OVERRULES else f"CASE WHEN page_id % 2 = 0 THEN page_id % 101 >= 90 END AS {n}" if n == "performance" else f"CASE WHEN page_id % 2 = 0 THEN {'false' if n == 'images' else 'page_id % ' + str(_REMAINDERS[ops.SPEED[n]]) + ' >= 2'} END AS {n}" if n in ops.SPEED else n
+    for n in _NAMES
+)
+
+
+@query(f"{_CHECKS}, v AS (SELECT page_id, {_OVERRULED} FROM c), {_audit('v')}, {_totals('page_id % 2 = 0')}")
+def audit_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = parquet(spark, sf_dir, "pages").where("page_id % 2 = 0").select("page_id", ((F.col("page_id") % 101) / 100.0).alias("performance"))
+    audits = F.create_map(*[x for name, by in _REMAINDERS.items() for x in (F.lit(name), F.least(F.col("page_id") % by, F.lit(2)) / 2.0)])
+    return _graded(ops.measured_checks(_checked(spark, sf_dir), pages.withColumn("audits", audits), "page_id"))
 
 
-_DOMAIN = r"regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^[a-z]+://', ''), '^www\.', ''), '[/?#:].*$', '')"
+_DOMAIN = r"regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^https?://', ''), '^www\.', ''), '[/?:].*$', '')"
 
 
-@query(f"SELECT page_id, d AS domain, left(d, 2) || '***.' || string_split(d, '.')[-1] AS masked FROM (SELECT page_id, CASE WHEN regexp_matches({_DOMAIN}, '^[a-z0-9.-]+\\.[a-z]{{2,}}$') THEN {_DOMAIN} ELSE '' END AS d FROM pages)")
+@query(f"SELECT page_id, d AS domain, left(string_split(d, '.')[1], 2) || '***.' || string_split(d, '.')[-1] AS masked, CAST(NULL AS VARCHAR) AS curated, d AS open FROM (SELECT page_id, CASE WHEN regexp_matches({_DOMAIN}, '^[a-z0-9.-]+\\.[a-z]{{2,}}$') THEN {_DOMAIN} ELSE '' END AS d FROM pages)")
 def url_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = ops.domain(F.col("url"))
-    return parquet(spark, sf_dir, "pages").select("page_id", d.alias("domain"), ops.masked(d).alias("masked"))
+    return parquet(spark, sf_dir, "pages").select("page_id", d.alias("domain"), ops.disclosed(d, "mask").alias("masked"), ops.disclosed(d, "curated").alias("curated"), ops.disclosed(d, "open").alias("open"))
 
 
 @query()
@@ -205,4 +316,4 @@ def heading_toc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def faq_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parquet(spark, sf_dir, "pages").select("page_id", F.to_json(ops.faq(F.col("html"))).alias("faq"))
+    return parquet(spark, sf_dir, "pages").select("page_id", ops.faq(F.col("html")).alias("faq"))

@@ -15,13 +15,13 @@ _book = Book()
 query = _book.query
 QUERIES, ORACLES = _book.queries, _book.oracles
 
-AS_OF, DAYS = "2024-01-30", 30
+FIRST, AS_OF, DAYS = "2024-01-01", "2024-01-30", 30
 _SPINE = f"SELECT CAST(d AS DATE) AS day FROM generate_series(DATE '{AS_OF}' - INTERVAL {DAYS - 1} DAY, TIMESTAMP '{AS_OF}', INTERVAL 1 DAY) g(d)"
 _DAILY = "SELECT CAST(ts + INTERVAL 9 HOUR AS DATE) AS day, count(*) AS pv, count(*) FILTER (event_type = 'signup') AS uv FROM events GROUP BY 1"
 
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.daily_views(parquet(spark, sf_dir, "events"), is_new=F.col("event_type") == "signup")
+    return ops.daily_views(ops.within_days(parquet(spark, sf_dir, "events"), FIRST, AS_OF), is_new=F.col("event_type") == "signup")
 
 
 @query(f"SELECT s.day, coalesce(pv, 0) AS pv, coalesce(uv, 0) AS uv FROM ({_SPINE}) s LEFT JOIN ({_DAILY}) e USING (day)")
@@ -55,14 +55,17 @@ def traffic_event_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.counted(parquet(spark, sf_dir, "events"), F.col("event_type"), "event_type")
 
 
-_SCORES = "SELECT user_id AS member, CAST(floor(greatest(0, least(100, value)) + 0.5) AS BIGINT) AS score, CAST(ts + INTERVAL 9 HOUR AS DATE) AS d FROM events"
+_SCORES = "SELECT user_id AS member, CAST(floor(greatest(0, least(100, value))) AS BIGINT) AS score, CAST(ts + INTERVAL 9 HOUR AS DATE) AS d FROM events"
 _BOARD = f"""SELECT period, member, max(score) AS score FROM (
   SELECT member, score, 'all' AS period FROM ({_SCORES}) UNION ALL SELECT member, score, strftime(d, '%Y-%m') FROM ({_SCORES})
   UNION ALL SELECT member, score, isoyear(d) || '-W' || lpad(CAST(weekofyear(d) AS VARCHAR), 2, '0') FROM ({_SCORES})) WHERE score > 0 GROUP BY 1, 2"""
 
+BOARD_SQL = _BOARD
 
-def _board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.leaderboard(parquet(spark, sf_dir, "events"), "ts", "user_id", F.col("value"))
+
+def _board(spark: SparkSession, sf_dir: str, *days: str) -> DataFrame:
+    events = parquet(spark, sf_dir, "events")
+    return ops.leaderboard(ops.within_days(events, *days) if days else events, "ts", "user_id", F.col("value"))
 
 
 @query(_BOARD)
@@ -77,12 +80,12 @@ def leaderboard_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT * FROM ({_BOARD}) WHERE period = '2024-01' ORDER BY score DESC, member DESC LIMIT 5")
 def leaderboard_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.top_members(_board(spark, sf_dir), "2024-01")
+    return ops.top_members(_board(spark, sf_dir, "2024-01-01", "2024-01-31"), "2024-01")
 
 
 @query(f"SELECT * FROM ({_BOARD}) WHERE period = '2024-W03' ORDER BY score DESC, member DESC LIMIT 5")
 def leaderboard_week(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.top_members(_board(spark, sf_dir), "2024-W03")
+    return ops.top_members(_board(spark, sf_dir, "2024-01-15", "2024-01-21"), "2024-W03")
 
 
 _USAGE = "SELECT CAST(ts AS DATE) AS day, count(*) AS posts, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS prompt_tokens, CAST(sum(CAST(floor(value) AS BIGINT) * 2) AS BIGINT) AS completion_tokens, count(*) FILTER (event_id % 3 = 0) AS images FROM events WHERE event_type = 'purchase' GROUP BY 1"
@@ -143,7 +146,7 @@ def streak(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recent_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = parquet(spark, sf_dir, "events")
     spine = events.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.date_sub(F.lit(AS_OF).cast("date"), 13), F.lit(AS_OF).cast("date"))).alias("day"))
-    best = events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.round(F.max("value"), 6).alias("best"))
+    best = ops.within_days(events, "2024-01-17", AS_OF, hours=0).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.round(F.max("value"), 6).alias("best"))
     return spine.join(best, ["user_id", "day"], "left")
 
 
@@ -152,7 +155,7 @@ def json_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parquet(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").try_cast("bigint")).alias("k"))
 
 
-@query("SELECT CAST(ts AS DATE) AS date, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1")
+@query("SELECT CAST(ts AS DATE) AS date, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1 ORDER BY date DESC LIMIT 400")
 def snapshot_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = parquet(spark, sf_dir, "events").select(F.to_date("ts").alias("date"), "event_id", "value")
-    return upserts.latest(rows.withColumn("seq", F.col("event_id")), ["date"], ["seq"]).select("date", "event_id", "value")
+    return upserts.latest(rows.withColumn("seq", F.col("event_id")), ["date"], ["seq"]).select("date", "event_id", "value").orderBy(F.desc("date")).limit(400)

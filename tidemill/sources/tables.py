@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -66,10 +68,14 @@ def matching(df: DataFrame, wanted: dict[str, object], at_least: int = 1) -> Dat
 
 
 def sitemap(posts: DataFrame, base: str, as_of: str) -> DataFrame:
-    """One ``<url>`` line a published post with a slug or an id whose time has come."""
+    """One ``<url>`` element a published post with a slug or an id whose time has come: place, last change, priority.
+
+    ``posts``: published, slug, id, publish_at, updated_at.
+    """
     ready = posts.where(F.col("published") & (F.col("publish_at").isNull() | (F.col("publish_at") <= F.lit(as_of).cast("timestamp"))))
     name, _ = first_of(("slug", F.col("slug")), ("id", F.col("id")))
-    line = F.concat(F.lit(f"<url><loc>{base}"), F.replace(F.url_encode(name), F.lit("+"), F.lit("%20")), F.lit("</loc></url>"))
+    place = F.replace(F.url_encode(name), F.lit("+"), F.lit("%20"))
+    line = F.concat(F.lit(f"<url><loc>{base}"), place, F.lit("</loc><lastmod>"), F.coalesce(F.date_format("updated_at", "yyyy-MM-dd"), F.lit(as_of[:10])), F.lit("</lastmod><changefreq>monthly</changefreq><priority>0.7</priority></url>"))
     return ready.where(name.isNotNull()).select(line.alias("line"))
 
 
@@ -77,3 +83,29 @@ def overwrite(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     """Replaces a table; with ``by`` only the partitions that ``df`` has."""
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     (writer.partitionBy(*by) if by else writer).parquet(path)
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A path that nothing has used in the folder in ``spark.checkpoint.dir``.
+
+    On one machine a temporary folder serves where none is named; a cluster must name one that all machines share.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        root = tempfile.mkdtemp(prefix="tidemill-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """Writes an intermediate table to the shared folder and reads it again, which cuts its lineage."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A broadcast of a table that has ``most`` rows at most; a larger one as it is, for Spark to shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
