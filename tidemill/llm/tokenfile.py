@@ -14,8 +14,10 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from tidemill.llm.common import arrow_batches
 
 MAGIC = b"TIDEIDS1"
 SELECT_STEP = 256
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 #: Bytes of text that a range of documents has, about, and bytes of ids at which a file is closed.
 RANGE_BYTES, FILE_BYTES = 64 << 20, 64 << 20
 
@@ -148,22 +150,32 @@ def library(path: str):
 
 
 class WordIds:
-    """Ids of whole texts. The library encodes each new word; ASCII white space always separates words, and is dropped."""
+    """Ids of whole texts. The library encodes each new word; ASCII white space always separates words, and is dropped.
+
+    Words are kept in two generations: those met again move to the recent one, so common words are never encoded twice.
+    """
 
     def __init__(self, vocabulary: str, width: int) -> None:
-        self.encode, self.kind, self.known = library(vocabulary).encode_batch, f"<u{width}", {}
+        self.encode, self.kind, self.recent, self.older = library(vocabulary).encode_batch_fast, "H" if width == 2 else "I", {}, {}
+
+    def learn(self, words: set[bytes]) -> None:
+        """Has ids for these words in ``recent``."""
+        new = words.difference(self.recent)
+        if len(self.recent) + len(new) > CACHE_WORDS:
+            self.older, self.recent = self.recent, {}
+            new = words
+        kept = new.intersection(self.older)
+        self.recent.update((w, self.older[w]) for w in kept)
+        rest = list(new.difference(kept))
+        for at in range(0, len(rest), 20_000):
+            some = rest[at : at + 20_000]
+            found = self.encode([w.decode() for w in some], add_special_tokens=False)
+            self.recent.update((w, array(self.kind, e.ids).tobytes()) for w, e in zip(some, found, strict=True))
 
     def batch(self, texts: list[str]) -> list[bytes]:
         words = [text.encode().split() for text in texts]
-        new = list(set().union(*words).difference(self.known))
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {}
-            new = list(set().union(*words))
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            found = self.encode([w.decode() for w in some], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(some, found, strict=True))
-        return [b"".join(map(self.known.__getitem__, w)) for w in words]
+        self.learn(set(chain.from_iterable(words)))
+        return [b"".join(map(self.recent.__getitem__, w)) for w in words]
 
 
 def id_width(vocabulary: str) -> int:
