@@ -23,32 +23,52 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents of no determined language and those that no language dominates."""
+    """Rejects documents of no determined language and those that no language dominates.
+
+    So null and empty texts and texts without letters go; repeated rows, null ids and rows with nulls elsewhere are judged by their
+    texts like all others. An empty table stays empty.
+    """
     model = langid.train(docs, ~held_out("doc_id", 4, 2))
     named = langid.identify(docs.select(*COLUMNS), model, keep=COLUMNS)
     return named.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE)).select(*COLUMNS)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that the classifier predicts to be of label 0."""
+    """Rejects documents that the classifier predicts to be of label 0.
+
+    A null text counts as empty and gets a score like all others; repeated rows and null ids are judged by their texts. Without
+    labels the net is untrained. An empty table stays empty.
+    """
     net = quality.train(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 5, 0))
     return quality.score(docs.select(*COLUMNS), net, keep=COLUMNS).where("predicted = 1").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 0.8) the document with the smallest id stays; so do rows without an id."""
-    groups = jaccard.near_duplicates(docs.select("doc_id", "text"), width=5, num=80, den=100)
+    """Of each group of near duplicates (five words, 0.8) the document with the smallest id stays.
+
+    Texts that are null or without words are like nothing and stay. Of rows that repeat an id and its text one stays. Rows
+    without an id have no place in a group: those with one text count as one, which stays. An empty table stays empty.
+    """
+    rows = docs.select(*COLUMNS)
+    groups = written(jaccard.near_duplicates(rows.select("doc_id", "text"), width=5, num=80, den=100), "groups")
     removed = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(removed, "doc_id", "left_anti").select(*COLUMNS)
+    kept = rows.join(removed, "doc_id", "left_anti").select(*COLUMNS)
+    again = groups.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("again"))
+    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents into which a benchmark item has leaked."""
+    """Rejects documents into which a benchmark item has leaked.
+
+    Null and empty texts and rows without an id stay; of an id with several rows all go if one holds a leak. Without items
+    nothing goes.
+    """
     return decontam.without_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the hashes of the ids and of the decoded text."""
+    """doc_id, n_tokens, ids and the hashes of the ids and of the decoded text; one row each, a null text counting as empty."""
     return bpe.encode_documents(docs, vocabulary("byte_bpe_50k.json"), keep_ids=True, keep_decoded=False)
 
 

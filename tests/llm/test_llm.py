@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import json
+import math
 import random
 import re
 import zlib
@@ -61,6 +62,41 @@ def test_language_of_odd_texts(texts, odd, none):
     assert langid.identify(odd, langid.train(none, ~held_out("doc_id", 4, 2))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_proportions_are_those_of_plain_expectation_maximisation(spark):
+    """Sets of languages of every size, largest first, each fitted on its own in plain loops."""
+    rng = np.random.default_rng(5)
+    model = langid.LanguageModel(["a", "b", "c"], np.log(rng.dirichlet(np.full(60, 0.15), 3).T + 1e-9))
+    docs = []
+    for mix in ([1, 0, 0], [0.5, 0.5, 0], [0.2, 0, 0.8], [0.34, 0.33, 0.33], [0.03, 0.97, 0]):
+        slots, counts = np.unique(rng.choice(60, 900, p=np.exp(model.log_p) @ np.array(mix) / (np.exp(model.log_p) @ np.array(mix)).sum()), return_counts=True)
+        docs.append((slots, counts.astype(float)))
+
+    def fit(slots, counts, some):
+        share = [1 / len(some)] * len(some)
+        for _ in range(langid.ROUNDS):
+            new = [0.0] * len(some)
+            for slot, n in zip(slots, counts, strict=True):
+                parts = [w * np.exp(model.log_p[slot, k]) for w, k in zip(share, some, strict=True)]
+                for i, part in enumerate(parts):
+                    new[i] += n * part / sum(parts)
+            share = [x / counts.sum() for x in new]
+        return share, sum(n * np.log(sum(w * np.exp(model.log_p[slot, k]) for w, k in zip(share, some, strict=True))) for slot, n in zip(slots, counts, strict=True))
+
+    for (slots, counts), got in zip(docs, model.infer(docs), strict=True):
+        order = np.argsort([-x for x in fit(slots, counts, [0, 1, 2])[0]], kind="stable")
+        alone = [(counts * model.log_p[slots, k]).sum() for k in range(3)]
+        want, score = np.eye(3)[int(np.argmax(alone))], max(alone)
+        for size in (2, 3):
+            some = [int(k) for k in order[:size]]
+            share, value = fit(slots, counts, some)
+            value -= (size - 1) * (langid.PENALTY + langid.PENALTY_PER_GRAM * counts.sum())
+            if value <= score:
+                break
+            want, score = np.zeros(3), value
+            want[some] = share
+        assert np.allclose(got, want, atol=1e-6)
+
+
 def test_mixtures_are_seen(spark, texts):
     model = langid.train(texts, F.lit(True))
     some = {r.lang: r.text for r in texts.where("lang in ('de', 'fr') and length(text) > 800").collect()}
@@ -187,6 +223,31 @@ def test_repeated_branches_inside_article_go(spark):
     assert main_texts(spark, pages + pages[:1] * 40) == own + own[:1] * 40
 
 
+def test_importance_is_that_of_the_entropies(spark):
+    """Nodes of a small site weighed in plain Python, and a page far longer than others."""
+    pages = [f"<div class=intro><p>Same words.</p></div><div class=w{'' if i % 3 else 'x'}><p>Own {i * 7919}.</p><p>Half {i % 2}</p></div>" for i in range(8)] + ["<p>" + "very long " * 200_000 + "</p>"]
+    table = spark.createDataFrame([(i, "http://h/x", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    contents, layouts = {}, {}
+    for page in pages:
+        for kind, (node, parent), value in {(f["kind"], (f["path"], f["parent"]), f["feature"]) for f in html.page_features(page)[1]}:
+            if kind == 0:
+                contents.setdefault((node, parent), []).append(value)
+            elif kind == 1:
+                layouts.setdefault(node, []).append(value)
+    log = lambda values: [math.log(values.count(v)) for v in set(values)]
+    m = math.log(len(pages))
+    want = {}
+    for (node, parent), values in contents.items():
+        content = 1 - sum(log(values)) / len(set(values)) / m
+        own = layouts.get(parent, [])
+        layout = -sum(own.count(v) / len(own) * math.log(own.count(v) / len(own)) for v in set(own)) / m if own else 0
+        want[node] = 1 - (1 - 1 / len(pages)) * (1 - (1 - html.GAMMA) * layout - html.GAMMA * content)
+    got = {r.path: r.importance for r in html.style_nodes(table).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    texts = html.extract(table).orderBy("page_id").collect()
+    assert texts[8].n_chars == 2_000_000 - 1 and texts[0].text == "Own 0.\nHalf 0"
+
+
 def test_copies_keep_their_text(spark):
     pages = [f"<div class=intro><p>First words of {k}.</p></div><div class=words><p>Own words of {k}.</p></div>" for k in "ab"]
     want = [f"First words of {k}.\nOwn words of {k}." for k in "ab"]
@@ -379,6 +440,22 @@ def test_neighbours(spark, sf_dir):
     assert got.query_id.nunique() == (ids % 100 == 0).sum() and hits / total >= 0.9
 
 
+def test_neighbours_of_many_queries(spark, monkeypatch):
+    """250 queries in clustered data, with groups so small that leaves and queries are dealt."""
+    monkeypatch.setattr(neighbours, "BLOCK", 40)
+    rng = np.random.default_rng(4)
+    v = rng.normal(0, 1, (25, 12))[rng.integers(0, 25, 2500)] + rng.normal(0, 0.4, (2500, 12))
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = neighbours.search(table, F.col("vec_id") % 10 == 0).toPandas()
+    recall = []
+    for q, mine in got.groupby("query_id"):
+        d = np.sqrt(((v - v[q]) ** 2).sum(1))
+        d[q] = np.inf
+        assert len(mine) == 10 and np.allclose(d[mine.vec_id], mine.score)
+        recall.append((mine.score <= np.sort(d)[9] + 1e-9).mean())
+    assert len(recall) == 250 and np.mean(recall) >= 0.9
+
+
 def test_neighbours_of_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (100, [1.5, 0.0]), (None, [1.0, 1.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
@@ -387,6 +464,21 @@ def test_neighbours_of_odd_vectors(spark):
     assert neighbours.search(table.where("false"), F.lit(True)).count() == 0
 
 
+def test_odd_rows_in_every_stage(spark, sf_dir, odd, none):
+    """Nulls, empty and very long texts, repeated rows and clashing columns pass every stage; so does an empty table."""
+    lost = spark.createDataFrame([(None, "no id but words of its own here"), (None, "no id but words of its own here")], "doc_id long, text string")
+    rows = odd.unionByName(lost, allowMissingColumns=True)
+    counts = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, rows, sf_dir)
+        counts[name] = [r.doc_id for r in out.select("doc_id").collect()]
+        assert out.columns == corpus_pipeline.COLUMNS or name == "token_ids"
+        assert stage(spark, none, sf_dir).count() == 0
+    assert sorted(x for x in counts["near_duplicates"] if x is not None) == [0, 1, 2, 3, 4, 5, 6] and counts["near_duplicates"].count(None) == 1
+    assert len(counts["decontaminated"]) == len(counts["token_ids"]) == len(ODD) + 3
+    assert not {0, 1, 2} & set(counts["language"])
+
+
 def test_pipeline(spark, sf_dir, texts):
     docs = texts
     for name, stage in corpus_pipeline.STAGES[:-1]:
