@@ -62,7 +62,7 @@ def related_rows(rows: DataFrame, key: str, category: str, seed: int, k: int = 3
 
     Members of a category stand on a ring in hash order and everyone takes those behind, so no pairs are made.
     """
-    placed = rows.select(key, category, F.xxhash64(F.col(key), F.lit(seed)).alias("h"))
+    placed = rows.select(key, category, F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")).alias("h"))
     ring = Window.partitionBy(category).orderBy("h", key)
     whole = Window.partitionBy(category)
     first = F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("n") <= k, F.struct("n", key)))), 1, k), lambda x: x[key])
@@ -72,3 +72,26 @@ def related_rows(rows: DataFrame, key: str, category: str, seed: int, k: int = 3
     behind = F.array_compact(F.array(*[F.col(f"a{i}") for i in range(1, k + 1)]))
     others = F.slice(F.filter(F.array_distinct(F.concat(behind, "heads")), lambda x: x != F.col(key)), 1, k)
     return ahead.join(heads, category).select(key, F.posexplode(others).alias("pos", "other")).select(key, "other", (F.col("pos") + 1).alias("rank"))
+
+
+#: Kinds of documents a store takes, and where each goes.
+STORES = {"posts": "content/posts.json", "clusters": "content/clusters.json", "outreach": "content/outreach.json"}
+
+
+def store_path(kind: Column) -> Column:
+    """The path of a kind of document; null for kinds that are not taken."""
+    known = F.create_map(*[F.lit(x) for pair in STORES.items() for x in pair])
+    return F.try_element_at(known, F.lower(F.trim(kind)))
+
+
+def search_rows_of(doc: Column) -> Column:
+    """Rows of a search answer in JSON, missing numbers as 0: an array of key, clicks, impressions."""
+    parsed = F.from_json(doc, "rows array<struct<keys:array<string>,clicks:bigint,impressions:bigint>>")["rows"]
+    rows = F.coalesce(parsed, F.array().cast("array<struct<keys:array<string>,clicks:bigint,impressions:bigint>>"))
+    number = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    return F.transform(rows, lambda r: F.struct(F.coalesce(F.get(r["keys"], F.lit(0)), F.lit("")).alias("key"), number(r["clicks"]).alias("clicks"), number(r["impressions"]).alias("impressions")))
+
+
+def mapped_only(rows: DataFrame, key: str, names: DataFrame) -> DataFrame:
+    """Rows whose key has a name in another service, with it. ``names``: ``key``, name."""
+    return rows.join(names, key, "left").where(F.col("name").isNotNull())

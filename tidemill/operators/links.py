@@ -42,11 +42,19 @@ def has_link(html: Column, slug: Column, post_id: Column) -> Column:
     return holds(F.lower(F.replace(F.url_encode(name), F.lit("+"), F.lit("%20")))) | holds(name) | holds(norm(post_id.cast("string")))
 
 
+#: Posts of one token that a task pairs with all others, about.
+SHARE = 2000
+
+
 def overlap_pairs(posts: DataFrame) -> DataFrame:
-    """(src, dst, common) of posts that share a token: an inverted index joined with itself on the token."""
-    index = posts.select("id", F.explode("toks").alias("tok"))
-    a, b = index.alias("a"), index.alias("b")
-    return a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.id") != F.col("b.id"))).groupBy(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).agg(F.count("*").alias("common"))
+    """(src, dst, common) of posts that share a token: an inverted index joined with itself on the token.
+
+    A token of many posts is dealt: one side goes to one of its parts, the other to each of them.
+    """
+    index = posts.select("id", F.explode("toks").alias("tok")).withColumn("parts", (1 + F.floor(F.count("*").over(Window.partitionBy("tok")) / SHARE)).cast("int"))
+    a = index.select("tok", F.col("id").alias("src"), F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"))
+    b = index.select("tok", F.col("id").alias("dst"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return a.join(b, ["tok", "part"]).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("common"))
 
 
 def bonus_heads(posts: DataFrame, k: int) -> DataFrame:

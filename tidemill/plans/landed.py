@@ -132,7 +132,10 @@ def offers_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.live_or_sample(part, part.where("p_partkey % 3 = 0").withColumn("price", F.col("price") * 2), "p_partkey", "price")
 
 
-@query()
+_RING = "SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id || '|7'), doc_id) AS n, count(*) OVER (PARTITION BY source) AS size FROM documents"
+
+
+@query(f"WITH r AS ({_RING}) SELECT a.doc_id, b.doc_id AS other, CAST(i AS INTEGER) AS rank FROM r a, range(1, 4) g(i), r b WHERE b.source = a.source AND i < a.size AND b.n = (a.n - 1 + i) % a.size + 1")
 def related_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.related_rows(parquet(spark, sf_dir, "documents"), "doc_id", "source", seed=7)
 
@@ -188,3 +191,47 @@ def file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     return ranked(parquet(spark, sf_dir, "customer").select(k, F.when(k % 6 != 0, (k * 7919) % 1000).alias("metres")), [F.asc_nulls_last("metres"), "c_custkey"])
+
+
+@query("SELECT p_partkey, p_brand, p_type FROM part WHERE p_type = 'ECONOMY' AND contains(lower(p_name), 'widget')")
+def contraindications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parquet(spark, sf_dir, "part").where((F.col("p_type") == "ECONOMY") & F.contains(F.lower("p_name"), F.lit("widget"))).select("p_partkey", "p_brand", "p_type")
+
+
+@query("SELECT c_custkey, CASE i WHEN 0 THEN c_name ELSE '' END AS key, CASE i WHEN 0 THEN c_custkey % 7 ELSE 0 END AS clicks, CASE i WHEN 0 THEN 0 ELSE c_custkey END AS impressions FROM customer, range(0, 2) g(i) WHERE c_custkey % 4 <> 0")
+def search_rows_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    doc = F.concat(F.lit('{"rows":[{"keys":["'), "c_name", F.lit('"],"clicks":'), (k % 7).cast("string"), F.lit('},{"impressions":'), k.cast("string"), F.lit("}]}"))
+    return parquet(spark, sf_dir, "customer").select(k, F.explode(ops.search_rows_of(F.when(k % 4 == 0, "{}").otherwise(doc))).alias("r")).select("c_custkey", "r.*")
+
+
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'content/posts.json' WHEN 1 THEN 'content/outreach.json' END AS path FROM customer")
+def store_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parquet(spark, sf_dir, "customer").select("c_custkey", ops.store_path(pick(F.col("c_custkey"), ["posts", " Outreach", "../secret", ""])).alias("path"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_nationkey % 3 = 0 THEN 'base,medical,law' ELSE 'base,market' END AS sources, CASE WHEN c_nationkey % 2 = 0 THEN 'm1,m2,m3' ELSE 'm2,m1,m3' END AS chain FROM customer")
+def source_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = lambda *values: F.array(*map(F.lit, values))
+    own = F.when(F.col("c_nationkey") % 3 == 0, names("medical", "law")).otherwise(names("market"))
+    chain = F.array_distinct(F.concat(F.array(F.when(F.col("c_nationkey") % 2 == 0, "m1").otherwise("m2")), names("m1", "m2", "m3")))
+    return parquet(spark, sf_dir, "customer").select("c_custkey", F.array_join(F.concat(names("base"), own), ",").alias("sources"), F.array_join(chain, ",").alias("chain"))
+
+
+_LENIENT = ["12abc", " -7", "abc", "", "3.9", "+5 x"]
+
+
+@query("SELECT c_custkey, CAST([12, -7, 0, 0, 3, 5][CAST(c_custkey % 6 AS INTEGER) + 1] AS BIGINT) AS n FROM customer")
+def lenient_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parquet(spark, sf_dir, "customer").select("c_custkey", text.first_int(pick(F.col("c_custkey"), _LENIENT)).alias("n"))
+
+
+@query("SELECT user_id, count(*) FILTER (CAST(ts AS DATE) = DATE '2024-01-30') AS today FROM events GROUP BY 1")
+def scheduled_today(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parquet(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.to_date("ts") == F.lit("2024-01-30").cast("date")).alias("today"))
+
+
+@query("SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'metformin' WHEN '2-HIGH' THEN 'warfarin' END AS name FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
+def medication_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = spark.createDataFrame([("1-URGENT", "metformin"), ("2-HIGH", "warfarin")], "o_orderpriority string, name string")
+    return ops.mapped_only(parquet(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", names).select("o_orderkey", "name")

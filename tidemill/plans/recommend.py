@@ -151,3 +151,11 @@ def concerns_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
 def static_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = F.array(F.lit("i1"), F.when(F.col("c_custkey") % 2 == 0, "i4").otherwise("i5"))
     return parquet(spark, sf_dir, "customer").select("c_custkey", F.array_join(ops.conflicts_with(F.lit("i1"), taken, {"i1": ["i4", "i5"], "i4": ["i1"]}), ",").alias("clashes"))
+
+
+@query("""SELECT "user", item, excluded, warnings FROM (SELECT c_custkey AS "user", 'i1' AS item, NULL AS excluded, 'take care' AS warnings FROM customer WHERE c_custkey % 7 = 0 UNION ALL SELECT c_custkey, 'i2', 'not with d2', 'again' FROM customer WHERE c_custkey % 11 = 0 AND c_custkey % 7 = 0 UNION ALL SELECT c_custkey, 'i2', 'not with d2', '' FROM customer WHERE c_custkey % 11 = 0 AND c_custkey % 7 <> 0
+UNION ALL SELECT c_custkey, 'i2', NULL, 'again' FROM customer WHERE c_custkey % 7 = 0 AND c_custkey % 11 <> 0 UNION ALL SELECT c_custkey, 'i4', NULL, 'ask first' FROM customer WHERE c_custkey % 11 = 0)""")
+def reco_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warnings behind an exclusion are not given, those before it are."""
+    rules = spark.createDataFrame([*RULES, (0, "d1", "warn", "again", ["i2"]), (9, "d2", "warn", "too late", ["i2"])], "ord int, drug string, action string, message string, items array<string>")
+    return ops.drug_actions(_users(spark, sf_dir), rules).select("user", "item", "excluded", F.array_join("warnings", ",").alias("warnings"))

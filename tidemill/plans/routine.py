@@ -142,3 +142,8 @@ def measure_next(spark: SparkSession, sf_dir: str) -> DataFrame:
 def name_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.col("c_name")
     return parquet(spark, sf_dir, "customer").select("c_custkey", text.fnv1a(name).alias("fnv1a"), text.poly31(name).alias("poly31"), text.djb2(name).alias("djb2"), F.concat(*text.mixed_radix(text.djb2(name), [["a", "b", "c"], ["x", "y"]], [1, 7])).alias("choice"))
+
+
+@query(f"""SELECT o_orderkey, list_contains({_SLOTS}, 'morning') AS morning, list_contains({_SLOTS}, 'evening') AS evening FROM orders""")
+def slot_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _items(spark, sf_dir).select(F.col("id").alias("o_orderkey"), *[F.array_contains("slots", s).alias(s) for s in ops.SLOTS])
