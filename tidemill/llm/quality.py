@@ -22,6 +22,8 @@ CHUNK, HOP = 256, 128
 #: Labelled rows that training reads at most, about, and bytes of all their texts; longer texts mean fewer rows, never parts of texts.
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 64 << 20
 EPOCHS, BATCH, RATE = 6, 48, 0.02
+#: Steps that training takes at least: few texts are gone over more often.
+STEPS = SAMPLE_ROWS // BATCH * EPOCHS
 
 
 @dataclass
@@ -83,9 +85,11 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> ByteNet:
     data = [padded(as_bytes(t)) for t in texts]
     rate = (labels.sum() + 1) / (len(labels) + 2)
     params[3][0] = np.log(rate / (1 - rate))
-    for epoch in range(EPOCHS):
-        speed = RATE * 0.6**epoch
-        for batch in np.array_split(rng.permutation(len(data)), max(1, len(data) // BATCH)):
+    batches = max(1, len(data) // BATCH)
+    epochs = max(EPOCHS, -(-STEPS // batches))
+    for epoch in range(epochs):
+        speed = RATE * 0.6 ** (epoch * EPOCHS / epochs)
+        for batch in np.array_split(rng.permutation(len(data)), batches):
             grads = [np.zeros_like(p) for p in params]
             for d in batch:
                 answers = net.answers(data[d])
