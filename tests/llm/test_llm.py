@@ -355,6 +355,16 @@ def test_token_files(spark, odd, none, tmp_path):
     assert tokenfile.read_token_files(spark, str(tmp_path / "empty")).count() == 0
 
 
+def test_word_ids_are_those_of_the_library(texts):
+    """Words cut into pieces: contractions in any case, marks, letters that change class or length, added tokens; then whole documents."""
+    t, path = library("word_bpe_49k.json"), queries.vocabulary("word_bpe_49k.json")
+    odd = ["DON'T 'Show they'LL x's'S 12a3 a_b-- ...'d", "W\u030a e\u0301 \u0130stanbul \u00c5\u00df\u01c4 \u212b \u03a3\u03a3 na\u00efve stra\u00dfe", "a\u00a0b \u2003c\u200bd \u0085x", "日本語 가나다 \U0001f600x", *[f"a{x}b {x}" for x in json.load(open(path))["added_tokens"] and [a["content"] for a in json.load(open(path))["added_tokens"]]]]
+    some = odd + [r.text or "" for r in texts.collect()]
+    words = tokenfile.WordIds(path, 4)
+    for text, got in zip(some, words.batch(some), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text[:80]
+
+
 def test_token_files_of_odd_ids(spark, odd, none, tmp_path, monkeypatch):
     """Null ids have no place, repeated ids follow one another, in files of bounded size; an empty table gives nothing."""
     monkeypatch.setattr(tokenfile, "FILE_BYTES", 16)
