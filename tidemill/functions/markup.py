@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.text import escape_html, strip_tags
 
-#: The marks around a block of related links, a row of a bar chart, and how a chart opens.
-REL_START, REL_END = "<!-- growthops:related:start -->", "<!-- growthops:related:end -->"
+#: The marks around a block of related links. A row of a bar chart, and how a chart opens.
+REL_START, REL_END = "<!-- related:start -->", "<!-- related:end -->"
 CHART_ROW = r"(?s)width:140px[^>]*>([^<]*)</span>.*?height:18px;width:(\d{1,3})%"
 CHART_OPEN = '<div style="margin:24px 0">'
 

@@ -18,8 +18,9 @@ PHONE = r"(?:\+?82[-\s]?)?0\d{1,2}[-\s.]\d{3,4}[-\s.]\d{4}"
 SERVICE_PHONE = r"\b1[5-9]\d{2}[-\s.]?\d{4}\b"
 BARE_LABEL = r"(?:전화|연락처|Tel\.?|TEL)\s*[:：]\s*(?=[<\s])"
 CONTACT_LABEL = "카카오 상담"
-#: Words of a contact link, the host it must have and where it goes else.
-CONTACT_WORDS, CONTACT_HOST, CONTACT_URL = "카카오|카톡", r"pf\.kakao\.com", "https://pf.kakao.com/_jxjxdcxj/chat"
+#: Words of a contact link and the host it must have. Where it goes else is a parameter.
+CONTACT_WORDS, CONTACT_HOST = "카카오|카톡", r"pf\.kakao\.com"
+CONTACT_URL = "https://pf.kakao.com/"
 #: Tags that must be closed as often as they are opened.
 BALANCED = ("h2", "h3", "table", "ul", "ol", "figure")
 
@@ -31,10 +32,10 @@ def redact_phones(c: Column, label: str = CONTACT_LABEL) -> Column:
     return c
 
 
-def sanitise_links(c: Column) -> Column:
-    """Contact links to another host go to the contact page; links to what is no URL become their text."""
+def sanitise_links(c: Column, contact_url: str = CONTACT_URL) -> Column:
+    """Contact links to another host go to ``contact_url``; links to what is no URL become their text."""
     inner = r"((?:(?!</a>).)*?(?:" + CONTACT_WORDS + r")(?:(?!</a>).)*?)"
-    c = F.regexp_replace(c, rf"""(?is)<a\b[^>]*?href=(["'])(?![^"']*{CONTACT_HOST})[^"']*\1[^>]*>{inner}</a>""", f'<a href="{CONTACT_URL}" target="_blank" rel="noopener">$2</a>')
+    c = F.regexp_replace(c, rf"""(?is)<a\b[^>]*?href=(["'])(?![^"']*{CONTACT_HOST})[^"']*\1[^>]*>{inner}</a>""", f'<a href="{contact_url}" target="_blank" rel="noopener">$2</a>')
     return F.regexp_replace(c, r"""(?is)<a\b[^>]*?href=(["'])(?!https?://|/|#|mailto:)[^"']*\1[^>]*>(.*?)</a>""", "$2")
 
 

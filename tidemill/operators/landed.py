@@ -74,8 +74,8 @@ def related_rows(rows: DataFrame, key: str, category: str, seed: int, k: int = 3
     return ahead.join(heads, category).select(key, F.posexplode(others).alias("pos", "other")).select(key, "other", (F.col("pos") + 1).alias("rank"))
 
 
-#: Kinds of documents a store takes, and where each goes.
-STORES = {"posts": "content/posts.json", "clusters": "content/clusters.json", "outreach": "content/outreach.json"}
+#: Kinds of documents a store takes, and where each goes.
+STORES = {"posts": "stores/posts.json", "clusters": "stores/clusters.json", "outreach": "stores/outreach.json"}
 
 
 def store_path(kind: Column) -> Column:

@@ -205,7 +205,7 @@ def search_rows_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parquet(spark, sf_dir, "customer").select(k, F.explode(ops.search_rows_of(F.when(k % 4 == 0, "{}").otherwise(doc))).alias("r")).select("c_custkey", "r.*")
 
 
-@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'content/posts.json' WHEN 1 THEN 'content/outreach.json' END AS path FROM customer")
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'stores/posts.json' WHEN 1 THEN 'stores/outreach.json' END AS path FROM customer")
 def store_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parquet(spark, sf_dir, "customer").select("c_custkey", ops.store_path(pick(F.col("c_custkey"), ["posts", " Outreach", "../secret", ""])).alias("path"))
 
