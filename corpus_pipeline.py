@@ -50,12 +50,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     without an id have no place in a group: those with one text count as one, which stays. An empty table stays empty.
     """
     rows = docs.select(*COLUMNS)
-    groups = written(jaccard.near_duplicates(rows.select("doc_id", "text"), width=5, num=80, den=100), "groups")
-    removed = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = rows.join(removed, "doc_id", "left_anti").select(*COLUMNS)
-    again = groups.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("again"))
-    same = F.col("doc_id").eqNullSafe(F.col("again"))
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    groups = jaccard.near_duplicates(rows.select("doc_id", "text"), width=5, num=80, den=100)
+    of_id = groups.groupBy(F.col("doc_id").alias("id")).agg(F.bool_or(F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(False))).alias("gone"), ((F.count("*") > 1) | F.col("doc_id").isNull()).alias("again"))
+    judged = rows.join(of_id.where("gone or again"), F.col("doc_id").eqNullSafe(F.col("id")), "left").where("gone is null or not gone")
+    once, again = judged.where("again is null or not again"), judged.where("again").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(again).select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
