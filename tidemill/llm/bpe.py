@@ -27,7 +27,7 @@ from tidemill.llm.common import map_rows
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = 1 << 40
 #: Entries of the per-task caches (words; pairs of tokens).
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 CACHE_PAIRS = 400_000
 
 
