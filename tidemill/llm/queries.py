@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, chat, decontam, html, jaccard, langid, neighbours, quality, tokenfile, urlrules
+from tidemill.llm import bpe, chat, decontam, html, jaccard, langid, neighbours, periodic, quality, secretscan, tokenfile, urlrules, vectorcode
 from tidemill.llm.common import fresh_path, held_out, table, written
+from tidemill.llm.sql import OP11_SQL, OP12_SQL
 
 
 def vocabulary(name: str) -> str:
@@ -93,6 +94,26 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.scan(table(spark, sf_dir, "documents"))
+    of = secretscan.of_kinds
+    counts = [F.size(of((kind,))).cast("long").alias(f"n_{kind}") for kind in secretscan.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(secretscan.listed(of(secretscan.BASE_KINDS)), 256).alias("base_sha256"), secretscan.listed(F.col("spans")).alias("spans"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcode.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapse(table(spark, sf_dir, "documents"), plant=True)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[name].cast("string") for name in ("start", "length", "period")]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
@@ -104,5 +125,8 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_decontaminate": op9_decontaminate,
     "op10_neighbours": op10_neighbours,
+    "op11_secrets": op11_secrets,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLES = {"op3_chat_format": OP3_SQL, "op5_url_rules": OP5_SQL}
+ORACLES = {"op3_chat_format": OP3_SQL, "op5_url_rules": OP5_SQL, "op11_secrets": OP11_SQL, "op12_vector_codes": OP12_SQL}
