@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch that goes to Python: very long texts must not meet in one batch by thousands.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch that goes to Python, and bytes that are unpacked at a time: very long texts must not meet in one batch by thousands.
+BATCH_ROWS, BATCH_BYTES, PIECE_BYTES = 1000, 16 << 20, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,16 +50,30 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def arrow_batches(df: DataFrame) -> DataFrame:
     """Sets the batch size with which ``df`` goes to Python."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in pieces of ``PIECE_BYTES`` at most, or one row; without empty ones."""
+    for batch in batches:
+        waiting = [batch]
+        while waiting:
+            part = waiting.pop()
+            if part.num_rows > 1 and part.nbytes > PIECE_BYTES:
+                half = part.num_rows // 2
+                waiting += [part.slice(half), part.slice(0, half)]
+            elif part.num_rows:
+                yield part
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """Maps Arrow batches. ``make`` runs once in each task and returns the function for its batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
-        for batch in batches:
-            if batch.num_rows and (out := each(batch)) is not None:
+        for batch in pieces(batches):
+            if (out := each(batch)) is not None:
                 yield out
 
     return arrow_batches(df).mapInArrow(run, schema)
@@ -89,7 +103,7 @@ def sum_arrays(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch, np.nd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, add = np.zeros(size, np.int64), make()
-        for batch in batches:
+        for batch in pieces(batches):
             add(batch, total)
         yield pa.RecordBatch.from_pydict({"block": list(range(blocks)), "data": [squeezed(total[i * step : (i + 1) * step]) for i in range(blocks)]}, schema=pa.schema([("block", pa.int32()), ("data", pa.binary())]))
 

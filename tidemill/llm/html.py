@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import arrow_batches, map_rows, written
+from tidemill.llm.common import arrow_batches, map_rows, pieces, written
 from tidemill.llm.urlrules import host_of
 
 #: Weight of a node's own contents against its parent's layout; a node of less importance than LEAST is dropped.
@@ -152,7 +152,7 @@ def style_nodes(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     schema = pa.schema([("host", pa.string()), ("copy", pa.int64()), ("features", pa.list_(feature))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             pages = [page_features(html) for html in batch.column(1).to_pylist()]
             if pages:
                 copy, features = zip(*pages, strict=True)

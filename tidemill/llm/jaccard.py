@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import arrow_batches, lower_bytes, map_rows, mix, shingle_hashes, sum_arrays, word_hashes, written
+from tidemill.llm.common import arrow_batches, lower_bytes, map_rows, mix, pieces, shingle_hashes, sum_arrays, word_hashes, written
 
 SKETCH = 1 << 21
 FILTER = 1 << 20
@@ -304,7 +304,7 @@ def verified(docs: DataFrame, owners: DataFrame, pairs: DataFrame, shared, width
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own = None, np.zeros(0, np.uint64)
-        for batch in batches:
+        for batch in pieces(batches):
             found = []
             for a, other, sig, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
                 hashes = unpacked(data.as_buffer())

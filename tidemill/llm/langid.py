@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import arrow_batches, drawn_by_hash, map_rows
+from tidemill.llm.common import arrow_batches, drawn_by_hash, map_rows, pieces
 
 SLOT_BITS = 15
 SLOTS = 1 << SLOT_BITS
@@ -119,7 +119,7 @@ def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in pieces(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 slots, counts = trigrams(text)
                 sums.setdefault(place[lang], np.zeros(SLOTS))[slots] += counts

@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import arrow_batches
+from tidemill.llm.common import arrow_batches, pieces
 
 MAGIC = b"TIDEIDS1"
 SELECT_STEP = 256
@@ -222,7 +222,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
             held, files = 0, files + 1
             return made
 
-        for batch in batches:
+        for batch in pieces(batches):
             for doc_id, ids in zip(batch.column(0).to_pylist(), words.batch(batch.column(1).to_pylist()), strict=True):
                 doc_ids.append(doc_id)
                 parts += [ids, end]
