@@ -242,12 +242,42 @@ def test_importance_is_that_of_the_entropies(spark):
         own = layouts.get(parent, [])
         layout = -sum(own.count(v) / len(own) * math.log(own.count(v) / len(own)) for v in set(own)) / m if own else 0
         want[node] = 1 - (1 - 1 / len(pages)) * (1 - (1 - html.GAMMA) * layout - html.GAMMA * content)
-    got = {r.path: r.importance for r in html.style_nodes(table).collect()}
+    got = {r.path: r.importance for r in html.style_nodes(table)[0].collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
     texts = html.extract(table).orderBy("page_id").collect()
     assert texts[8].n_chars == 2_000_000 - 1 and texts[0].text == "Own 0.\nHalf 0"
 
 
+def only(page):
+    return html.main_text(page).split("\n") if html.main_text(page) else []
+
+
+def test_names_of_wrappers_do_not_empty_a_page():
+    assert only('<div class="layout has-sidebar"><article><p>one</p></article><div class="sidebar">x</div></div>') == ["one"]
+    assert only('<div class="post no-comments"><p>one</p></div>') == ["one"]
+    assert only('<article class="post no-comments"><p>one</p><div class="post-comments">c</div></article>') == ["one"]
+    assert only('<form id=aspnet><div class=promo-page><p>' + "own words " * 9 + "</p></div><div class=login>in</div></form>") == [("own words " * 9).strip()]
+    assert only('<div class=sidebar-layout><main><p>one</p></main><aside><article>teaser, and far more text than the page itself has</article></aside></div>') == ["one"]
+    assert only("<main><p>one</p></main><section class=comments><article class=comment-body>c</article></section>") == ["one"]
+    assert only("<article><p>one <span class=ad>buy</span> two</p><p class=side-effects>three</p></article>") == ["one two", "three"]
+
+
+def test_attributes_end_where_html_ends_them():
+    assert only("<p class=it's>one two</p><p>that is it's end</p><p>three</p>") == ["one two", "that is it's end", "three"]
+    assert only('<p title="x>hello') == ["hello"]
+    assert only('<p title="a>b" class=\'c>d\'>one</p><p data-x=a/b/>two</p>a < b <p') == ["one", "two", "a < b"]
+    assert only('<p "odd" =x class = "y">one</p><svg/><p>two</p>') == ["one", "two"]
+    long = "<p class='a'>" + "word " * 300_000 + "</p>"
+    assert len(only(long)[0]) == 5 * 300_000 - 1 and only("<div>" * 50_000 + "deep") == ["deep"] and only("<" * 100_000 + "<p title='") == ["<" * 100_000]
+
+
+def test_branches_of_little_importance_go_whole(spark):
+    """What differs inside a branch that repeats goes with it; a branch that holds the page's text stays."""
+    box = "<div class=zz><p>Read all of this on every page of this site.</p><p>And this too, on every page of the site, with all that it says.</p><i class=q>Here {}.</i><h4>Now {}</h4></div>"
+    pages = [f"<div class=all>{box.format(i, i * 31)}<div class=words><p>Own words of page {i * 7919}, and far more of them than any box that all pages share has room for: what is said here is said once, on this page and on no other, at some length and with care.</p></div></div>" for i in range(12)]
+    assert main_texts(spark, pages) == [f"Own words of page {i * 7919}, and far more of them than any box that all pages share has room for: what is said here is said once, on this page and on no other, at some length and with care." for i in range(12)]
+
+
 def test_copies_keep_their_text(spark):
     pages = [f"<div class=intro><p>First words of {k}.</p></div><div class=words><p>Own words of {k}.</p></div>" for k in "ab"]
     want = [f"First words of {k}.\nOwn words of {k}." for k in "ab"]
