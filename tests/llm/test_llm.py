@@ -418,8 +418,8 @@ def test_leaks(spark, none):
         (6, "If a train leaves at 5 and another at 5 from the town of York how far apart are they after 3 hours?"), (None, "short one here"), (7, None), (8, ""), (9, "Every morning people like to walk to the market and buy apples"), (6, "repeated id"),
     ]
     table = spark.createDataFrame(docs, "doc_id long, text string").withColumn("hash", F.lit("clash"))
-    assert sorted((r.doc_id, r.item_id, r.kind) for r in decontam.leaks(table, items).collect()) == [(1, 1, "template"), (2, 1, "exact"), (4, 2, "exact"), (6, 4, "template")]
-    assert sorted(r.doc_id for r in decontam.without_leaks(table, items).where("doc_id is not null").collect()) == [3, 5, 7, 8, 9]
+    assert sorted((r.doc_id, r.item_id, r.kind) for r in decontam.leaks(table, items).collect()) == [(1, 1, "template"), (2, 1, "exact"), (3, 2, "exact"), (4, 2, "exact"), (6, 4, "template")]
+    assert sorted(r.doc_id for r in decontam.without_leaks(table, items).where("doc_id is not null").collect()) == [5, 7, 8, 9]
     assert decontam.leaks(none, items).count() == 0 and decontam.leaks(table, items.where("false")).count() == 0
 
 
@@ -446,15 +446,78 @@ def test_items_of_many_numbers_are_found_whole(spark):
         "Anna has 7 apples. Anna buys 2 more.", "So it goes: Anna has 7 apples. Anna buys 2 more. That is it.", "Anna has 7 apples. Carl buys 2 more.", "What is 8 times 8 minus 8", "Anna has 7 apples", "Anna has 7 pears",
         f"{rows} Add 3 4 5 6 7 8 9 1 2 33 and then 4 4 4 4 and {rows}", f"{rows} Add 3 4 5 6 7 8 9 1 2 33 and 4 4 4 4 and {rows}", "5 6",
     ]
-    assert leaked(spark, items, docs) == [(0, 0, "template"), (1, 0, "template"), (3, 1, "template"), (4, 2, "template"), (6, 3, "template")]
+    assert leaked(spark, items, docs) == [(0, 0, "template"), (0, 2, "template"), (1, 0, "template"), (1, 2, "template"), (2, 2, "template"), (3, 1, "template"), (4, 2, "template"), (6, 3, "template")]
 
 
 def test_short_items_inside_long_texts(spark):
-    """A short item with words enough is found anywhere, with other numbers too; one of a few words only as a whole text."""
+    """A short item that few documents hold is found anywhere, with other numbers too."""
     items = spark.createDataFrame([(1, "What is 12 times 7 minus 3"), (2, "who wrote the red book"), (3, "Tom has 5 apples")], "item_id long, text string")
     docs = [(1, "so then what is 40 times 9 minus 5 he said and left the room"), (2, "they asked who wrote the red book and why"), (3, "we know that Ann has 7 apples and more"), (4, "Ann has 7 apples"), (5, "what is a minus sign " * 9)]
     got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
-    assert sorted((r.doc_id, r.item_id, r.kind) for r in got) == [(1, 1, "template"), (2, 2, "exact"), (4, 3, "template")]
+    assert sorted((r.doc_id, r.item_id, r.kind) for r in got) == [(1, 1, "template"), (2, 2, "exact"), (3, 3, "template"), (4, 3, "template")]
+
+
+def test_short_items_with_few_words_inside_texts(spark):
+    items = ["What is 12 times 7?", "Tom has 5 apples."]
+    docs = ["A page says: What is 31 times 4? Answer below and more of it", "once more Anna has 9 apples. and so on it goes", "what is 5 plus 6? anna has 9 pears", "7 8 9 10"]
+    assert leaked(spark, items, docs) == [(0, 0, "template"), (1, 1, "template")]
+
+
+def test_turns_of_phrase_are_no_leaks(spark):
+    """What many documents say is found only where it is the whole text."""
+    items = ["in the end", "who wrote the red book"]
+    docs = [f"this is text {i} and in the end it stops there" for i in range(60)] + ["in the end", "he asked who wrote the red book once"]
+    assert leaked(spark, items, docs) == [(60, 0, "exact"), (61, 1, "exact")]
+
+
+def plain_template_leaks(items, docs):
+    """Items of lower-case words, numbers and names inside a sentence, laid over every place of every text."""
+    kind = lambda w: "number" if w[0].isdigit() else "name" if w[0].isupper() else w
+    found = set()
+    for d, text in enumerate(docs):
+        t = text.split()
+        for i, item in enumerate(items):
+            w = item.split()
+            for at in range(len(t) - len(w) + 1):
+                part = t[at : at + len(w)]
+                pairs = {(a, b) for a, b in zip(w, part, strict=True) if kind(a) in ("number", "name")}
+                if list(map(kind, part)) == list(map(kind, w)) and len({a for a, _ in pairs}) == len(pairs) and any(kind(a) == a for a in w):
+                    found.add((d, i))
+    return found
+
+
+def test_templates_are_those_of_plain_loops(spark):
+    rng = random.Random(12)
+    word, number, name = (lambda: rng.choice("red green house tree walks sees buys little old new".split())), (lambda: str(rng.randint(2, 99))), (lambda: rng.choice(["Ann", "Bo", "Cy", "Di"]))
+
+    def phrase(n):
+        out = [word()]
+        while len(out) < n:
+            out.append(rng.choice([word, word, number, name])())
+            if kinds(out[-2:]) == ["name", "name"]:
+                out.pop()
+        return out
+
+    kinds = lambda ws: ["number" if w[0].isdigit() else "name" if w[0].isupper() else "word" for w in ws]
+
+    def changed(ws):
+        other = {}
+        for w, k in zip(ws, kinds(ws), strict=True):
+            other.setdefault(w, {"number": number, "name": name}.get(k, lambda w=w: w)())
+        if rng.random() < 0.3:  # one slot gets a value of its own
+            return [({"number": number, "name": name}.get(k, lambda w=w: w)() if rng.random() < 0.3 else other[w]) for w, k in zip(ws, kinds(ws), strict=True)]
+        return [other[w] for w in ws]
+
+    items = [phrase(rng.choice([3, 4, 5, 6, 7])) for _ in range(40)]
+    docs = []
+    for _ in range(150):
+        inner = changed(rng.choice(items))
+        docs.append(["so"] + [word() for _ in range(rng.randint(0, 6))] + inner + ["then"] + [word() for _ in range(rng.randint(0, 6))])
+    items, docs = [" ".join(x) for x in items], [" ".join(x) for x in docs]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(decontam, "RARE", 1000)
+        got = {(d, i) for d, i, _ in leaked(spark, items, docs)}
+    assert got == plain_template_leaks(items, docs) and len(got) > 100
 
 
 def test_leaks_are_those_of_brute_force(spark, sf_dir, texts):
