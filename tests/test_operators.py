@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.functions import dates, scoring, text
-from tidemill.operators import content, landed, links, recommend, traffic, upserts
+from tidemill.operators import content, keywords, landed, links, recommend, traffic, upserts
 from tidemill.sources import tables
 from tidemill.streaming import counters
 
@@ -235,3 +235,37 @@ def test_publishing_twice_adds_nothing(spark, tmp_path):
         stream = spark.readStream.schema("slot string").parquet(str(tmp_path / "in"))
         counters.publish_due(stream, str(tmp_path / "out"), str(tmp_path / f"cp{n}")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_white_space_of_every_kind_is_trimmed(spark):
+    assert one(spark, text.norm(F.lit("\n Ab\t "))) == "ab" and one(spark, text.norm(F.lit("　﻿A b "))) == "a b" and one(spark, text.norm(F.lit(None).cast("string"))) == ""
+    assert one(spark, text.collapse_spaces(F.lit(" a  \n b　"))) == "a b"
+    short = "x" * 700 + "\n" * 200
+    assert "too-short" in one(spark, content.content_errors(F.lit(f"<p>{short}</p>"))) and "too-short" not in one(spark, content.content_errors(F.lit("<p>" + "x" * 800 + "\n</p>")))
+
+
+def test_only_the_label_makes_a_contact_link(spark):
+    def link(href, label):
+        return f'<a class="c" href="{href}">{label}</a>'
+
+    fixed = lambda html: one(spark, content.sanitise_links(F.lit(html), "https://pf.kakao.com/x"))
+    contact = lambda label: f'<a href="https://pf.kakao.com/x" target="_blank" rel="noopener">{label}</a>'
+    same = link("https://bad.example/x", '<img alt="카카오">더보기')
+    assert fixed(same) == same
+    assert fixed(link("https://bad.example/x", "<b>카</b>카오 1 < 2")) == contact("<b>카</b>카오 1 < 2")
+    assert fixed(link("https://pf.kakao.com/y", "카톡")) == link("https://pf.kakao.com/y", "카톡")
+    assert fixed(link("카카오 상담", "카톡") + link("nowhere", "<i>x</i>") + link("/here", "y")) == contact("카톡") + "<i>x</i>" + link("/here", "y")
+
+
+def test_region_and_keyword_are_no_find(spark):
+    words = spark.createDataFrame([("g", w, w.lower(), i) for i, w in enumerate(["Seoul clinic", "clinic", "best clinic", "clinic seoul"])], "g string, word string, key string, ord int")
+    found = lambda **more: [r.word for r in keywords.research(words, "g", F.lit("Clinic"), **more).orderBy("rank").collect()]
+    assert found(region=F.lit(" SEOUL\t")) == ["best clinic", "clinic seoul"] and found() == found(region=F.lit("")) == ["Seoul clinic", "best clinic", "clinic seoul"]
+
+
+def test_links_that_exist_make_no_post_less_of_an_orphan(spark):
+    posts = spark.createDataFrame([(101, "a-b", "<a href='/C%20d'>"), (102, "c d", "no"), (103, "e", "101")], "id long, slug string, html string")
+    new = spark.createDataFrame([(101, 102), (102, 103), (103, 101)], "src long, dst long")
+    there = links.existing_links(new, posts)
+    assert sorted(tuple(r) for r in there.collect()) == [(101, 102), (103, 101)]
+    assert tuple(links.link_stats(posts, new, there).first()) == (3, 3, 1.0, 2, 0.667) and tuple(links.link_stats(posts, new).first())[3] == 0

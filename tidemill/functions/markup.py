@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemill.functions.text import escape_html, strip_tags
+from tidemill.functions.text import escape_html, strip_tags, trimmed
 
 #: The marks around a block of related links. A row of a bar chart, and how a chart opens.
 REL_START, REL_END = "<!-- related:start -->", "<!-- related:end -->"
@@ -18,7 +18,7 @@ CHART_OPEN = '<div style="margin:24px 0">'
 def chart_rows(html: Column) -> Column:
     """Labels and values of the bars of a chart."""
     at = lambda group: F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(CHART_ROW), F.lit(group))
-    rows = F.transform(F.arrays_zip(at(1).alias("label"), at(2).alias("value")), lambda r: F.struct(F.trim(F.replace(r["label"], F.lit("&amp;"), F.lit("&"))).alias("label"), r["value"].cast("int").alias("value")))
+    rows = F.transform(F.arrays_zip(at(1).alias("label"), at(2).alias("value")), lambda r: F.struct(trimmed(F.replace(r["label"], F.lit("&amp;"), F.lit("&"))).alias("label"), r["value"].cast("int").alias("value")))
     return F.filter(rows, lambda r: r["label"] != "")
 
 
@@ -82,7 +82,7 @@ def article_json(headline: Column, description: Column, keywords: Column, publis
 def faq_rows(questions: Column, answers: Column) -> Column:
     """Pairs of which both sides say something."""
     pairs = F.arrays_zip(questions.alias("question"), answers.alias("answer"))
-    return F.filter(pairs, lambda p: (F.trim(F.coalesce(p["question"], F.lit(""))) != "") & (F.trim(F.coalesce(p["answer"], F.lit(""))) != ""))
+    return F.filter(pairs, lambda p: (trimmed(F.coalesce(p["question"], F.lit(""))) != "") & (trimmed(F.coalesce(p["answer"], F.lit(""))) != ""))
 
 
 def breadcrumb(*steps: Column, home: str = "Home", by: str = " › ") -> Column:

@@ -10,18 +10,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The characters that count as white space, beside ASCII's the Unicode spaces, line and paragraph separators and the mark of byte order.
+WHITE = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def trimmed(c: Column | str) -> Column:
+    """Without white space at both ends."""
+    return F.btrim(c, F.lit(WHITE))
+
+
 def norm(c: Column) -> Column:
     """Null as empty, lower case, trimmed."""
-    return F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    return F.lower(trimmed(F.coalesce(c, F.lit(""))))
 
 
 def collapse_spaces(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    return trimmed(F.regexp_replace(F.coalesce(c, F.lit("")), f"[{WHITE}]+", " "))
 
 
 def tokens(c: Column, stop: Sequence[str] = (), least: int = 2) -> Column:
     """Distinct words of letters and digits with at least ``least`` characters that are no stop word."""
-    words = F.split(F.trim(F.regexp_replace(norm(c), r"[^\p{L}\p{N}]+", " ")), " ")
+    words = F.split(trimmed(F.regexp_replace(norm(c), r"[^\p{L}\p{N}]+", " ")), " ")
     kept = F.filter(words, lambda w: (F.length(w) >= least) & ~w.isin(list(stop)) if stop else F.length(w) >= least)
     return F.array_distinct(kept)
 
@@ -33,7 +42,7 @@ def slug(c: Column, most: int = 48) -> Column:
 
 def page_slug(c: Column, post_id: Column, most: int = 24) -> Column:
     """Hangul, ASCII letters and digits, cut, then trimmed, with the last five digits of an id."""
-    words = F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^가-힣a-zA-Z0-9\s]", " ")), r"\s+", "-")
+    words = F.regexp_replace(trimmed(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^가-힣a-zA-Z0-9\s]", " ")), r"\s+", "-")
     base = F.regexp_replace(F.left(words, F.lit(most)), r"^-+|-+$", "")
     digits = F.right(F.regexp_replace(post_id.cast("string"), r"\D", ""), F.lit(5))
     return F.concat(F.when(base == "", F.lit("post-")).otherwise(F.concat(base, F.lit("-"))), F.when(digits == "", F.lit("0")).otherwise(digits))
@@ -85,7 +94,7 @@ def imprint_tokens(c: Column, most: int = 6) -> Column:
 
 def mentions(c: Column, name: Column) -> Column:
     """Whether a text names it, whatever the case; null without a name."""
-    return F.when(F.trim(name) != "", F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lower(F.trim(name))))
+    return F.when(trimmed(name) != "", F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lower(trimmed(name))))
 
 
 def strip_tags(c: Column) -> Column:

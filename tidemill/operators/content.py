@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.functions.text import contains_any, slug, strip_tags, substitute
+from tidemill.functions.text import contains_any, slug, strip_tags, substitute, trimmed
 
 #: Names of the output markers that may be left in a text.
 MARKERS = "TITLE|SEO|META|KEYWORDS|HTML|END"
@@ -33,8 +33,11 @@ def redact_phones(c: Column, label: str = CONTACT_LABEL) -> Column:
 
 
 def sanitise_links(c: Column, contact_url: str = CONTACT_URL) -> Column:
-    """Contact links to another host go to ``contact_url``; links to what is no URL become their text."""
-    inner = r"((?:(?!</a>).)*?(?:" + CONTACT_WORDS + r")(?:(?!</a>).)*?)"
+    """Links whose label, without its tags, has a contact word go to ``contact_url`` if their host is another; links to what is no URL become their label."""
+    tag = r"<(?!/a>)(?:(?!</a>)[^>])+>"  # inside the label
+    rest = rf"(?:{tag}|[^<]|(?!{tag}|</a>)<)*?"
+    words = "|".join(f"(?:{tag})*".join(word) for word in CONTACT_WORDS.split("|"))
+    inner = rf"({rest}(?:{words}){rest})"
     c = F.regexp_replace(c, rf"""(?is)<a\b[^>]*?href=(["'])(?![^"']*{CONTACT_HOST})[^"']*\1[^>]*>{inner}</a>""", f'<a href="{contact_url}" target="_blank" rel="noopener">$2</a>')
     return F.regexp_replace(c, r"""(?is)<a\b[^>]*?href=(["'])(?!https?://|/|#|mailto:)[^"']*\1[^>]*>(.*?)</a>""", "$2")
 
@@ -53,7 +56,7 @@ def clean(c: Column) -> Column:
 def content_errors(c: Column, least_chars: int = 800) -> Column:
     """Names of what is wrong with a text, sorted: encoding, delimiter, too-short, truncated, broken-html:tag."""
     c = F.coalesce(c, F.lit(""))
-    plain = F.trim(F.regexp_replace(c, r"<[^>]+>", ""))
+    plain = trimmed(F.regexp_replace(c, r"<[^>]+>", ""))
     found = [
         F.when(F.contains(c, F.lit("�")), F.lit("encoding")),
         F.when(c.rlike(rf"(?i)<{{2,3}}\s*(?:{MARKERS})\s*>{{2,3}}"), F.lit("delimiter")),
@@ -83,7 +86,7 @@ def url_ok(url: Column) -> Column:
 
 def domain(url: Column) -> Column:
     """Host without scheme, ``www.``, port and path, if it looks like a domain of 80 characters at most; else empty."""
-    d = F.lower(F.trim(F.coalesce(url, F.lit(""))))
+    d = F.lower(trimmed(F.coalesce(url, F.lit(""))))
     d = F.regexp_replace(F.regexp_replace(d, "^https?://", ""), r"^www\.", "")
     d = F.regexp_replace(d, r"[/?:].*$", "")
     return F.when(d.rlike(r"^[a-z0-9.-]+\.[a-z]{2,}$") & (F.length(d) <= 80), d).otherwise(F.lit(""))
@@ -118,10 +121,10 @@ SPEED = {"compression": "uses-text-compression", "images": "uses-webp-images", "
 
 def robots_groups(robots: Column) -> Column:
     """Groups of a robots.txt, each as lines ``U:agent``, ``A`` or ``D`` (root allowed or not) and ``x`` for all other rules."""
-    lines = F.transform(F.split(F.coalesce(robots, F.lit("")), r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, "#.*$", "")))
+    lines = F.transform(F.split(F.coalesce(robots, F.lit("")), r"\r?\n"), lambda x: trimmed(F.regexp_replace(x, "#.*$", "")))
     root = r"^(?i){0}\s*:\s*/(\*|\$)?\s*$"
     agent = r"(?i)^User-agent\s*:\s*(.+)$"
-    kind = lambda x: F.when(x.rlike(agent), F.concat(F.lit("U:"), F.lower(F.trim(F.regexp_extract(x, agent, 1))))).when(x.rlike(root.format("Allow")), "A").when(x.rlike(root.format("Disallow")), "D").otherwise("x")
+    kind = lambda x: F.when(x.rlike(agent), F.concat(F.lit("U:"), F.lower(trimmed(F.regexp_extract(x, agent, 1))))).when(x.rlike(root.format("Allow")), "A").when(x.rlike(root.format("Disallow")), "D").otherwise("x")
     kinds = F.transform(F.filter(lines, lambda x: x != ""), kind)
     agents = lambda i: F.coalesce(F.get(kinds, i).startswith("U:"), F.lit(False))
     opened = F.transform(kinds, lambda x, i: F.when(agents(i) & ~agents(i - 1), F.concat(F.lit("\f"), x)).otherwise(x))
@@ -153,20 +156,20 @@ def page_checks(pages: DataFrame, url: str = "url", html: str = "html", robots:
     n = lambda pattern: F.regexp_count(h, F.lit(pattern))
     every = lambda pattern, group=0: F.regexp_extract_all(h, F.lit(pattern), F.lit(group))
     metas = every(r"(?i)<meta\s[^>]*>")
-    named = lambda kind, name: F.filter(metas, lambda m: F.lower(F.trim(_attribute(m, kind))) == name)
-    content = lambda kind, name: F.trim(F.coalesce(_attribute(F.get(named(kind, name), F.lit(0)), "content"), F.lit("")))
-    title, titles = F.trim(F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1)), n(r"(?i)<title\b")
+    named = lambda kind, name: F.filter(metas, lambda m: F.lower(trimmed(_attribute(m, kind))) == name)
+    content = lambda kind, name: trimmed(F.coalesce(_attribute(F.get(named(kind, name), F.lit(0)), "content"), F.lit("")))
+    title, titles = trimmed(F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1)), n(r"(?i)<title\b")
     size = lambda tag, name: F.regexp_extract(_attribute(tag, name), r"^\s*(\d+)", 1).try_cast("int")
     pixel = lambda t: F.coalesce((size(t, "width") == 1) & (size(t, "height") == 1), F.lit(False)) | F.coalesce(size(t, "width") == 0, F.lit(False)) | F.coalesce(size(t, "height") == 0, F.lit(False))
     images = F.filter(every(r"(?i)<img\s[^>]*>"), lambda t: t.rlike(r"""(?i)\s(src|data-src|srcset)\s*=\s*["']?[^"'>\s]""") & ~pixel(t))
     without_alt = F.size(F.filter(images, lambda t: ~t.rlike(r"(?i)\salt(\s|=|/|>)")))
     link = r"(?is)<a(\s[^>]*)>(.*?)</a>"
-    links = F.filter(F.arrays_zip(every(link, 1).alias("tag"), every(link, 2).alias("inner")), lambda a: ~F.trim(_attribute(a["tag"], "href")).rlike(r"(?i)^($|#|javascript:|mailto:|tel:)"))
+    links = F.filter(F.arrays_zip(every(link, 1).alias("tag"), every(link, 2).alias("inner")), lambda a: ~trimmed(_attribute(a["tag"], "href")).rlike(r"(?i)^($|#|javascript:|mailto:|tel:)"))
     said = lambda a: F.regexp_replace(F.regexp_replace(a["inner"], "<[^>]*>", ""), r"\s+", "")
     bad = F.size(F.filter(links, lambda a: ~a["inner"].rlike(r"(?i)<img\b") & ((said(a) == "") | said(a).rlike(GENERIC_LINK) | said(a).rlike("(?i)^https?://"))))
     scripts, ld = n(r"(?i)<script\s[^>]*src"), h.rlike(r"(?i)application/ld\+json")
     og = (content("property", "og:title") != "") & (content("property", "og:description") != "")
-    body = F.length(F.trim(F.regexp_replace(F.regexp_replace(h, r"<[^>]*>", ""), r"\s+", " ")))
+    body = F.length(trimmed(F.regexp_replace(F.regexp_replace(h, r"<[^>]*>", ""), r"\s+", " ")))
     h1s = n(r"(?i)<h1\b")
     suspect = ((body < 150) & (scripts >= 2) & (title == "") & (h1s == 0)) | ((scripts >= 4) & ~ld & ~og) | ((titles == 0) & (body < 400))
     js = lambda ok: F.when(ok, True).when(suspect, F.lit(None).cast("boolean")).otherwise(False)
@@ -185,12 +188,12 @@ def page_checks(pages: DataFrame, url: str = "url", html: str = "html", robots:
             "indexable": ~robots_meta.rlike("(?i)noindex"),
             "canonical": F.exists(every(r"(?i)<link\s[^>]*>"), lambda t: (F.lower(_attribute(t, "rel")) == "canonical") & (_attribute(t, "href") != "")),
             "viewport": content("name", "viewport") != "",
-            "lang": F.trim(_attribute(F.regexp_extract(h, r"(?i)<html\s[^>]*>", 0), "lang")) != "",
+            "lang": trimmed(_attribute(F.regexp_extract(h, r"(?i)<html\s[^>]*>", 0), "lang")) != "",
             "structured_data": js(ld),
             "open_graph": js(og),
             "sitemap": rules.rlike(r"(?im)^\s*sitemap\s*:"),
             "favicon": F.exists(every(r"(?i)<link\s[^>]*>"), lambda t: F.lower(_attribute(t, "rel")).rlike(r"(^|\s)icon(\s|$)|^apple-touch-icon$")),
-            "robots_txt": F.trim(rules) != "",
+            "robots_txt": trimmed(rules) != "",
             **{name: pending for category, name, _ in CHECKS if category == "speed"},
         }
     )
@@ -242,7 +245,7 @@ def headings(html: Column) -> Column:
     h = F.coalesce(html, F.lit(""))
     pattern = F.lit(r"(?is)<h([2-4])\b([^>]*)>(.*?)</h\1>")
     parts = F.arrays_zip(*[F.regexp_extract_all(h, pattern, F.lit(i)).alias(n) for i, n in enumerate(("level", "tag", "text"), 1)])
-    plain = lambda x: F.trim(F.regexp_replace(x["text"], r"<[^>]+>", ""))
+    plain = lambda x: trimmed(F.regexp_replace(x["text"], r"<[^>]+>", ""))
     own = lambda x: F.coalesce(F.nullif(_attribute(x["tag"], "id"), F.lit("")), slug(plain(x)))
     return F.transform(parts, lambda x: F.struct(x["level"].cast("int").alias("level"), plain(x).alias("text"), own(x).alias("id")))
 
@@ -262,8 +265,8 @@ def faq_pairs(html: Column, most: int = 10) -> Column:
     body = F.coalesce(F.get(F.filter(heads, lambda x: strip_tags(x["head"]).rlike(FAQ_HEADING)), F.lit(0))["body"], F.lit(""))
     pair = F.lit(r"(?is)<h[34]\b[^>]*>(.*?)</h[34]>\s*(?:<p\b[^>]*>(.*?)</p>)?")
     found = F.arrays_zip(F.regexp_extract_all(body, pair, F.lit(1)).alias("q"), F.regexp_extract_all(body, pair, F.lit(2)).alias("a"))
-    question = lambda x: F.trim(F.regexp_replace(strip_tags(x["q"]), r"(?i)^\s*(?:Q[.):]\s*)?(?:\d{1,2}[.):]\s*)?", ""))
-    plain = F.transform(found, lambda x: F.struct(question(x).alias("q"), F.trim(F.regexp_replace(strip_tags(x["a"]), r"^\s*A[.):]\s+", "")).alias("a")))
+    question = lambda x: trimmed(F.regexp_replace(strip_tags(x["q"]), r"(?i)^\s*(?:Q[.):]\s*)?(?:\d{1,2}[.):]\s*)?", ""))
+    plain = F.transform(found, lambda x: F.struct(question(x).alias("q"), trimmed(F.regexp_replace(strip_tags(x["a"]), r"^\s*A[.):]\s+", "")).alias("a")))
     good = F.filter(plain, lambda x: (F.length(x["q"]) >= 4) & (F.length(x["a"]) >= 10))
     asked = F.transform(good, lambda x: F.struct(F.when(x["q"].rlike("[?？]$"), x["q"]).otherwise(F.concat(x["q"], F.lit("?"))).alias("q"), x["a"].alias("a")))
     return F.when(F.size(asked) >= 2, F.slice(asked, 1, most))

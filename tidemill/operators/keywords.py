@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.functions.text import collapse_spaces, is_question
+from tidemill.functions.text import collapse_spaces, is_question, trimmed
 
 
 def ordered_union(sources: list[tuple[str, DataFrame]], group: str, word: str, pos: str) -> DataFrame:
@@ -18,12 +18,14 @@ def ordered_union(sources: list[tuple[str, DataFrame]], group: str, word: str, p
     return keyed.groupBy(group, "key").agg(F.min_by("word", "ord").alias("word"), F.min("ord").alias("ord"))
 
 
-def research(words: DataFrame, group: str, base: Column, questions: int = 8, related: int = 14) -> DataFrame:
+def research(words: DataFrame, group: str, base: Column, questions: int = 8, related: int = 14, region: Column | None = None) -> DataFrame:
     """(group, kind, rank, word): the first ``questions`` questions, then the first ``related`` of all others, in order.
 
-    Questions beyond the limit count as related. Words of 2 to 40 characters other than ``base`` take part.
+    Questions beyond the limit count as related. Words of 2 to 40 characters other than ``base``, alone or behind the ``region``, take part.
     """
-    usable = words.where(F.length("word").between(2, 40) & (F.col("key") != F.lower(collapse_spaces(base)))).withColumn("asks", is_question(F.col("word")))
+    own = F.lower(collapse_spaces(base))
+    asked = own if region is None else F.when(trimmed(region) == "", own).otherwise(F.concat(F.lower(trimmed(region)), F.lit(" "), own))
+    usable = words.where(F.length("word").between(2, 40) & (F.col("key") != own) & F.coalesce(F.col("key") != asked, F.lit(True))).withColumn("asks", is_question(F.col("word")))
     nth = F.row_number().over(Window.partitionBy(group, "asks").orderBy("ord"))
     dealt = usable.withColumn("nth", nth).withColumn("kind", F.when(F.col("asks") & (F.col("nth") <= questions), "question").otherwise("related"))
     ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy(group, "kind").orderBy("ord")))
@@ -48,13 +50,13 @@ def research_block(related: Column, questions: Column, volumes: Column, most: in
 
 def subtopics(words: DataFrame, group: str, size: int = 6) -> DataFrame:
     """(group, slot, word): the first words of a cluster, its own name left out. ``words``: group, name, word, key, ord."""
-    others = words.where(F.col("key") != F.lower(F.trim("name")))
+    others = words.where(F.col("key") != F.lower(trimmed("name")))
     return others.withColumn("slot", F.row_number().over(Window.partitionBy(group).orderBy("ord"))).where(F.col("slot") <= size).select(group, "slot", "word")
 
 
 def merge_prior(new: DataFrame, prior: DataFrame, keys: list[str], word: str, values: list[str]) -> DataFrame:
     """New rows with what an earlier build knew of the same word, whatever its case."""
-    norm = lambda c: F.lower(F.trim(F.col(c)))
+    norm = lambda c: F.lower(trimmed(F.col(c)))
     known = prior.select(*keys, norm(word).alias("__key"), *[F.col(v).alias(f"__{v}") for v in values])
     joined = new.withColumn("__key", norm(word)).join(known, [*keys, "__key"], "left")
     return joined.select(*new.columns, *[F.col(f"__{v}").alias(v) for v in values])

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.functions.text import trimmed
 from tidemill.sources.tables import first_of
 
 
@@ -81,7 +82,7 @@ STORES = {"posts": "stores/posts.json", "clusters": "stores/clusters.json", "out
 def store_path(kind: Column) -> Column:
     """The path of a kind of document; null for kinds that are not taken."""
     known = F.create_map(*[F.lit(x) for pair in STORES.items() for x in pair])
-    return F.try_element_at(known, F.lower(F.trim(kind)))
+    return F.try_element_at(known, F.lower(trimmed(kind)))
 
 
 def search_rows_of(doc: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.functions.text import norm, tokens
+from tidemill.functions.text import norm, tokens, trimmed
 from tidemill.sources.tables import kept
 
 
@@ -98,28 +98,34 @@ def with_anchors(links: DataFrame, candidates: DataFrame) -> DataFrame:
     ``candidates``: dst, anchors (array). Links of a source are few, so they are folded in rank order.
     """
     rows = links.join(candidates, "dst").groupBy("src").agg(F.array_sort(F.collect_list(F.struct("rank", "dst", "score", "anchors"))).alias("ls"))
-    first = lambda acc, x: F.coalesce(F.get(F.filter(x["anchors"], lambda a: ~F.array_contains(acc["used"], F.lower(F.trim(a)))), F.lit(0)), F.get(x["anchors"], F.lit(0)))
+    first = lambda acc, x: F.coalesce(F.get(F.filter(x["anchors"], lambda a: ~F.array_contains(acc["used"], F.lower(trimmed(a)))), F.lit(0)), F.get(x["anchors"], F.lit(0)))
 
     def add(acc: Column, x: Column) -> Column:
         anchor = first(acc, x)
         made = F.struct(x["rank"].alias("rank"), x["dst"].alias("dst"), x["score"].alias("score"), anchor.alias("anchor"))
-        return F.struct(F.array_append(acc["used"], F.lower(F.trim(anchor))).alias("used"), F.array_append(acc["out"], made).alias("out"))
+        return F.struct(F.array_append(acc["used"], F.lower(trimmed(anchor))).alias("used"), F.array_append(acc["out"], made).alias("out"))
 
     kind = dict(links.dtypes)
     start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast(f"array<struct<rank:{kind['rank']},dst:{kind['dst']},score:double,anchor:string>>").alias("out"))
     return rows.select("src", F.explode(F.aggregate("ls", start, add)["out"]).alias("l")).select("src", "l.*")
 
 
+def existing_links(links: DataFrame, posts: DataFrame) -> DataFrame:
+    """(src, dst) of the links that the page of their source already holds. ``posts``: id, slug, html."""
+    met = links.select("src", "dst").join(posts.select(F.col("id").alias("src"), "html"), "src").join(posts.select(F.col("id").alias("dst"), "slug"), "dst")
+    return met.where(has_link(F.col("html"), F.col("slug"), F.col("dst"))).select("src", "dst")
+
+
 def orphans(posts: DataFrame, links: DataFrame, linked: DataFrame | None = None) -> DataFrame:
     """Posts that no new link points to; ``linked`` (src, dst) already exist and do not count."""
     new = links if linked is None else links.join(linked, ["src", "dst"], "left_anti")
     return posts.join(new.select(F.col("dst").alias("id")), "id", "left_anti")
 
 
-def link_stats(posts: DataFrame, links: DataFrame) -> DataFrame:
-    """posts, links, avg_links (2 digits), orphans, orphan_rate (3 digits) in one row."""
+def link_stats(posts: DataFrame, links: DataFrame, linked: DataFrame | None = None) -> DataFrame:
+    """posts, links, avg_links (2 digits), orphans, orphan_rate (3 digits) in one row; ``linked`` exist already and make no post less of an orphan."""
     marks = lambda df, kind: df.select(F.lit(kind).alias("kind"))
-    rows = marks(posts, "post").unionByName(marks(links, "link")).unionByName(marks(orphans(posts, links), "orphan"))
+    rows = marks(posts, "post").unionByName(marks(links, "link")).unionByName(marks(orphans(posts, links, linked), "orphan"))
     one = rows.agg(*[F.count_if(F.col("kind") == kind).alias(f"{kind}s") for kind in ("post", "link", "orphan")])
     return one.select("posts", "links", F.round(F.coalesce(F.try_divide(F.col("links").cast("double"), F.col("posts").cast("double")), F.lit(0.0)), 2).alias("avg_links"), "orphans", F.round(F.coalesce(F.try_divide(F.col("orphans").cast("double"), F.col("posts").cast("double")), F.lit(0.0)), 3).alias("orphan_rate"))
 
@@ -178,5 +184,5 @@ def assign_greedily(slots: DataFrame, posts: DataFrame, least: float = 0.34) ->
 
 def ordered_distinct(words: DataFrame, word: str, order: Sequence[str]) -> DataFrame:
     """The first spelling of each word, whatever case and spaces."""
-    key = F.lower(F.trim(F.regexp_replace(word, r"\s+", " ")))
+    key = F.lower(trimmed(F.regexp_replace(word, r"\s+", " ")))
     return words.withColumn("key", key).where(F.col("key") != "").groupBy("key").agg(F.min_by(word, F.struct(*order)).alias(word))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.functions.text import contact_id
+from tidemill.functions.text import contact_id, trimmed
 
 #: States and kinds of a contact, and states that end or secure it.
 STATUSES = ("lead", "contacted", "replied", "published", "maintained", "declined", "archived")
@@ -23,7 +23,7 @@ def contact_errors(name: Column, kind: Column, status: Column, site: Column, nex
     given = lambda c: F.coalesce(c, F.lit("")) != ""
     return F.array_compact(
         F.array(
-            F.when(F.trim(F.coalesce(name, F.lit(""))) == "", F.lit("name")),
+            F.when(trimmed(F.coalesce(name, F.lit(""))) == "", F.lit("name")),
             F.when(given(kind) & ~kind.isin(*TYPES), F.lit("type")),
             F.when(given(status) & ~status.isin(*STATUSES), F.lit("status")),
             F.when(~is_http_url(site), F.lit("site")),
@@ -36,7 +36,7 @@ def normal_contacts(contacts: DataFrame, at: str) -> DataFrame:
     """Valid contacts with defaults: id, name, type, status, site, next_at. ``contacts``: id, name, type, status, site, next_at."""
     filled = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(other))
     valid = contacts.where(F.size(contact_errors(*[F.col(c) for c in ("name", "type", "status", "site", "next_at")])) == 0)
-    name = F.trim("name")
+    name = trimmed("name")
     return valid.select(F.coalesce(F.nullif(F.col("id"), F.lit("")), contact_id(name, F.lit(at))).alias("id"), name.alias("name"), filled("type", "guestpost").alias("type"), filled("status", "lead").alias("status"), filled("site", "").alias("site"), F.left(filled("next_at", ""), F.lit(10)).alias("next_at"))
 
 

@@ -10,7 +10,7 @@ from tidemill.functions.scoring import grade
 from tidemill.operators import content as ops
 from tidemill.operators import links
 from tidemill.plans.book import Book, pick, pick_sql
-from tidemill.sources.tables import parquet
+from tidemill.sources.tables import kept, parquet
 
 _book = Book()
 query = _book.query
@@ -24,7 +24,7 @@ _TITLE = "coalesce(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1
 def _all_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as posts: their title, slug, the language in the path as category, the end of the host as region, some in one of three clusters; states in turn."""
     i, url = F.col("page_id"), F.coalesce(F.col("url"), F.lit(""))
-    title = F.trim(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1))
+    title = text.trimmed(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1))
     cat, region = F.regexp_extract(url, r"^[a-z]+://[^/?#]*/([a-z]+)/", 1), F.regexp_extract(url, r"^[a-z]+://[^/?#]*\.([a-z]+)(?:[/?#:]|$)", 1)
     cluster = F.when(i % 11 == 0, (i % 3).cast("string")).otherwise("")
     return parquet(spark, sf_dir, "pages").select(i.alias("id"), i.alias("ord"), title.alias("title"), text.tokens(title).alias("toks"), cat.alias("cat"), region.alias("region"), cluster.alias("cluster"), pick(i, STATES).alias("status"), F.when(i % 17 == 0, False).alias("publishable"), "html")
@@ -54,14 +54,17 @@ def indexing_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.readiness(_all_posts(spark, sf_dir).withColumn("title", F.lit("t")).withColumns(fields))
 
 
-_SLUG = "left(regexp_replace(regexp_replace(lower(trim(d.title)), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), 8)"
+_SLUG = "left(regexp_replace(regexp_replace(lower(trim(d.title)), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), 48)"
+_EXISTING = f"(({_SLUG} <> '' AND (contains(lower(s.html), {_SLUG}) OR contains(lower(s.html), lower(url_encode({_SLUG}))))) OR contains(lower(s.html), CAST(d.id AS VARCHAR)))"
+_LINKED = f"{_SCORED}, x AS (SELECT k.src, k.dst, {_EXISTING} AS existing FROM k JOIN p s ON s.id = k.src JOIN p d ON d.id = k.dst)"
 
 
-@query(f"{_SCORED} SELECT k.src, k.dst, {_SLUG} <> '' AND (contains(lower(s.html), {_SLUG}) OR contains(lower(s.html), lower(url_encode({_SLUG})))) AS existing FROM k JOIN p s ON s.id = k.src JOIN p d ON d.id = k.dst")
+@query(f"{_LINKED} SELECT * FROM x")
 def link_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = _posts(spark, sf_dir)
-    met = links.top_links(posts).join(posts.select(F.col("id").alias("src"), "html"), "src").join(posts.select(F.col("id").alias("dst"), "title"), "dst")
-    return met.select("src", "dst", links.has_link(F.col("html"), text.slug(F.col("title"), 8), F.lit("")).alias("existing"))
+    top = kept(links.top_links(posts), "top-links")
+    there = links.existing_links(top, posts.withColumn("slug", text.slug(F.col("title"))))
+    return top.select("src", "dst").join(there.withColumn("existing", F.lit(True)), ["src", "dst"], "left").select("src", "dst", F.coalesce("existing", F.lit(False)).alias("existing"))
 
 
 @query(f"{_SCORED} SELECT * FROM k")
@@ -69,16 +72,21 @@ def link_top4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.top_links(_posts(spark, sf_dir))
 
 
-@query(f"{_SCORED} SELECT p.id FROM p WHERE p.id NOT IN (SELECT dst FROM k)")
+def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Posts, their best links, and those of them that exist already."""
+    posts = _posts(spark, sf_dir).withColumn("slug", text.slug(F.col("title")))
+    top = kept(links.top_links(posts), "top-links")
+    return posts, top, links.existing_links(top, posts)
+
+
+@query(f"{_LINKED} SELECT p.id FROM p WHERE p.id NOT IN (SELECT dst FROM x WHERE NOT existing)")
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = _posts(spark, sf_dir)
-    return links.orphans(posts, links.top_links(posts)).select("id")
+    return links.orphans(*_links(spark, sf_dir)).select("id")
 
 
-@query(f"{_SCORED}, o AS (SELECT count(*) AS orphans FROM p WHERE p.id NOT IN (SELECT dst FROM k)) SELECT (SELECT count(*) FROM p) AS posts, (SELECT count(*) FROM k) AS links, round((SELECT count(*) FROM k) / (SELECT count(*) FROM p), 2) AS avg_links, orphans, round(orphans / (SELECT count(*) FROM p), 3) AS orphan_rate FROM o")
+@query(f"{_LINKED}, o AS (SELECT count(*) AS orphans FROM p WHERE p.id NOT IN (SELECT dst FROM x WHERE NOT existing)) SELECT (SELECT count(*) FROM p) AS posts, (SELECT count(*) FROM k) AS links, round((SELECT count(*) FROM k) / (SELECT count(*) FROM p), 2) AS avg_links, orphans, round(orphans / (SELECT count(*) FROM p), 3) AS orphan_rate FROM o")
 def link_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = _posts(spark, sf_dir)
-    return links.link_stats(posts, links.top_links(posts))
+    return links.link_stats(*_links(spark, sf_dir))
 
 
 @query(f"WITH p AS ({_POSTS}) SELECT a.id AS src, b.id AS dst, len(list_intersect(a.toks, b.toks)) AS common FROM p a JOIN p b ON a.id <> b.id WHERE len(list_intersect(a.toks, b.toks)) > 0")
@@ -132,7 +140,7 @@ def keyword_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT DISTINCT lower(trim(word)) AS key FROM ({_WORDS}) WHERE trim(word) <> '' AND lower(trim(word)) NOT IN (SELECT lower(trim(unnest(string_split(p_type, ' ')))) FROM part)")
 def keyword_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = parquet(spark, sf_dir, "part")
-    words = lambda c: part.select(F.explode(F.split(c, " ")).alias("w")).select(F.lower(F.trim("w")).alias("key")).where("key <> ''").distinct()
+    words = lambda c: part.select(F.explode(F.split(c, " ")).alias("w")).select(F.lower(text.trimmed("w")).alias("key")).where("key <> ''").distinct()
     return words("p_name").join(words("p_type"), "key", "left_anti")
 
 
@@ -167,6 +175,16 @@ def phone_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parquet(spark, sf_dir, "documents").select("doc_id", F.md5(ops.redact_phones(F.concat(number, "text")).cast("binary")).alias("text_md5"))
 
 
+PADS = ["\t", "\n ", "\u00a0", "\u3000\u2003", "\ufeff\r\n", " "]
+
+
+@query(f"SELECT p_partkey, lower(trim({pick_sql('p_partkey', PADS)} || p_name || {pick_sql('p_size', PADS)}, '{text.WHITE}')) AS name FROM part")
+def trimmed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with white space of every kind around them."""
+    padded = F.concat(pick(F.col("p_partkey"), PADS), "p_name", pick(F.col("p_size"), PADS))
+    return parquet(spark, sf_dir, "part").select("p_partkey", text.norm(padded).alias("name"))
+
+
 @query()
 def content_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parquet(spark, sf_dir, "pages").select("page_id", F.md5(ops.clean(F.col("html")).cast("binary")).alias("clean_md5"))
@@ -183,12 +201,14 @@ def _count(tag: str) -> str:
 
 @query(
     "SELECT page_id, list_filter([CASE WHEN contains(html, chr(65533)) THEN 'encoding' END, CASE WHEN regexp_matches(html, '(?i)<{2,3}\\s*(?:TITLE|SEO|META|KEYWORDS|HTML|END)\\s*>{2,3}') THEN 'delimiter' END,"
-    " CASE WHEN length(trim(regexp_replace(html, '<[^>]+>', '', 'g'))) < 800 THEN 'too-short' END, CASE WHEN html <> '' AND NOT regexp_matches(html, '(?i)(</[a-z0-9]+>|/>)\\s*$') THEN 'truncated' END, "
+    f" CASE WHEN length(trim(regexp_replace(html, '<[^>]+>', '', 'g'), '{text.WHITE}')) < 800 THEN 'too-short' END, CASE WHEN html <> '' AND NOT regexp_matches(html, '(?i)(</[a-z0-9]+>|/>)\\s*$') THEN 'truncated' END, "
     + ", ".join(f"CASE WHEN {_count(t)} THEN 'broken-html:{t}' END" for t in ops.BALANCED)
-    + "], lambda x: x IS NOT NULL) AS errors FROM pages"
+    + "], lambda x: x IS NOT NULL) AS errors FROM (SELECT page_id, html || repeat(chr(10) || chr(160), 400) || '</p>' AS html FROM pages)"
 )
 def content_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parquet(spark, sf_dir, "pages").select("page_id", ops.content_errors(F.col("html")).alias("errors"))
+    """Pages with many lines of nothing before their last tag, which do not make them longer."""
+    html = F.concat("html", F.repeat(F.lit("\n\u00a0"), 400), F.lit("</p>"))
+    return parquet(spark, sf_dir, "pages").select("page_id", ops.content_errors(html).alias("errors"))
 
 
 #: Robots files that the pages get in turn: the table has none.

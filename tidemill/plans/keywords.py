@@ -24,7 +24,7 @@ _UNION = f"""SELECT brand, key, arg_min(word, ord) AS word, min(ord) AS ord FROM
 (SELECT *, 0 AS source FROM ({_NAVER}) UNION ALL SELECT *, 1 FROM ({_GOOGLE}) UNION ALL SELECT *, 2 FROM ({_SEARCHAD}))) WHERE key <> '' GROUP BY brand, key"""
 _ASKS = f"regexp_matches(word, '{text.REQUESTS}|{text.QUESTIONS}')"
 _RESEARCH = f"""SELECT brand, kind, CAST(rank AS INTEGER) AS rank, word FROM (SELECT *, row_number() OVER (PARTITION BY brand, kind ORDER BY ord) AS rank FROM (SELECT *, CASE WHEN asks AND nth <= 8 THEN 'question' ELSE 'related' END AS kind FROM
-(SELECT *, row_number() OVER (PARTITION BY brand, asks ORDER BY ord) AS nth FROM (SELECT *, {_ASKS} AS asks FROM ({_UNION}) WHERE length(word) BETWEEN 2 AND 40 AND key <> 'large widget 7')))) WHERE kind = 'question' OR rank <= 14"""
+(SELECT *, row_number() OVER (PARTITION BY brand, asks ORDER BY ord) AS nth FROM (SELECT *, {_ASKS} AS asks FROM ({_UNION}) WHERE length(word) BETWEEN 2 AND 40 AND key NOT IN ('widget 7', 'large widget 7'))))) WHERE kind = 'question' OR rank <= 14"""
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _research(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.research(_words(spark, sf_dir), "brand", F.lit("large widget 7"))
+    return ops.research(_words(spark, sf_dir), "brand", F.lit("widget 7"), region=F.lit("Large"))
 
 
 @query(f"SELECT brand, key, word FROM ({_UNION})")

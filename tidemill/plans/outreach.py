@@ -21,14 +21,14 @@ STATUSES = [*ops.STATUSES, "unknown", ""]
 SITES = ["https://one.example/", "http://two.example", "ftp://three.example", "four", "", "https://five.example/x?y"]
 DATES = ["1996-06-30", "1996-07-01T10:00:00", "soon", "", "1995-01-15"]
 
-_CONTACTS = f"SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE CAST(c_custkey AS VARCHAR) END AS id, CASE WHEN c_custkey % 17 = 0 THEN ' ' ELSE c_name || ' ' || c_mktsegment END AS name, {pick_sql('c_custkey', TYPES)} AS type, {pick_sql('c_custkey', STATUSES)} AS status, {pick_sql('c_custkey', SITES)} AS site, {pick_sql('c_custkey', DATES)} AS next_at FROM customer"
-_ERRORS = f"""list_filter([CASE WHEN trim(name) = '' THEN 'name' END, CASE WHEN type <> '' AND type NOT IN {ops.TYPES} THEN 'type' END, CASE WHEN status <> '' AND status NOT IN {ops.STATUSES} THEN 'status' END,
+_CONTACTS = f"SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE CAST(c_custkey AS VARCHAR) END AS id, CASE WHEN c_custkey % 17 = 0 THEN chr(9) || chr(160) || ' ' ELSE c_name || ' ' || c_mktsegment || chr(10) END AS name, {pick_sql('c_custkey', TYPES)} AS type, {pick_sql('c_custkey', STATUSES)} AS status, {pick_sql('c_custkey', SITES)} AS site, {pick_sql('c_custkey', DATES)} AS next_at FROM customer"
+_ERRORS = f"""list_filter([CASE WHEN trim(name, '{text.WHITE}') = '' THEN 'name' END, CASE WHEN type <> '' AND type NOT IN {ops.TYPES} THEN 'type' END, CASE WHEN status <> '' AND status NOT IN {ops.STATUSES} THEN 'status' END,
 CASE WHEN site <> '' AND NOT regexp_matches(site, '(?i)^\\s*https?:/*[^/?#\\s]') THEN 'site' END, CASE WHEN next_at <> '' AND NOT regexp_matches(next_at, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN 'nextAt' END], lambda x: x IS NOT NULL)"""
 
 
 def _contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    fields = {"id": F.when(k % 4 == 0, "").otherwise(k.cast("string")), "name": F.when(k % 17 == 0, " ").otherwise(F.concat_ws(" ", "c_name", "c_mktsegment")), "type": pick(k, TYPES), "status": pick(k, STATUSES), "site": pick(k, SITES), "next_at": pick(k, DATES)}
+    fields = {"id": F.when(k % 4 == 0, "").otherwise(k.cast("string")), "name": F.when(k % 17 == 0, "\t\u00a0 ").otherwise(F.concat("c_name", F.lit(" "), "c_mktsegment", F.lit("\n"))), "type": pick(k, TYPES), "status": pick(k, STATUSES), "site": pick(k, SITES), "next_at": pick(k, DATES)}
     return parquet(spark, sf_dir, "customer").select(k.alias("k"), *[v.alias(n) for n, v in fields.items()])
 
 
@@ -38,11 +38,11 @@ def contact_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _contacts(spark, sf_dir).select("k", F.array_join(errors, ",").alias("errors"), (F.size(errors) == 0).alias("ok"))
 
 
-_SLUG = "left(regexp_replace(regexp_replace(lower(trim(name)), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), 24)"
+_SLUG = f"left(regexp_replace(regexp_replace(lower(trim(name, '{text.WHITE}')), " + "'[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), 24)"
 
 
 @query(
-    f"SELECT CASE WHEN id = '' THEN 'oc_' || {_SLUG} || '_20240130123456' ELSE id END AS id, trim(name) AS name, CASE WHEN type = '' THEN 'guestpost' ELSE type END AS type, CASE WHEN status = '' THEN 'lead' ELSE status END AS status, site, left(next_at, 10) AS next_at FROM ({_CONTACTS}) WHERE len({_ERRORS}) = 0"
+    f"SELECT CASE WHEN id = '' THEN 'oc_' || {_SLUG} || '_20240130123456' ELSE id END AS id, trim(name, '{text.WHITE}') AS name, CASE WHEN type = '' THEN 'guestpost' ELSE type END AS type, CASE WHEN status = '' THEN 'lead' ELSE status END AS status, site, left(next_at, 10) AS next_at FROM ({_CONTACTS}) WHERE len({_ERRORS}) = 0"
 )
 def contacts_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.normal_contacts(_contacts(spark, sf_dir), AT)
