@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,17 +45,89 @@ def has_link(html: Column, slug: Column, post_id: Column) -> Column:
 
 #: Posts of one token that a task pairs with all others, about.
 SHARE = 2000
+#: Tokens of a post, and posts of a token at most, that give a first idea of its best links.
+SEEDS, SEED_POSTS = 16, 64
+#: What the same values add to a score.
+BONUS = {"cat": 0.15, "region": 0.10, "cluster": 0.25}
+#: Scores are compared in nine digits.
+SLACK = 1e-8
+
+
+def token_index(posts: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """A row for each token of a post: id, tok, df (posts that have it), pos (rarest first), n (tokens of the post), parts (into how many a token is dealt) and ``carry``."""
+    rows = posts.select("id", *carry, F.size("toks").alias("n"), F.explode("toks").alias("tok"))
+    counted = rows.join(rows.groupBy("tok").agg(F.count("*").alias("df")), "tok")
+    return counted.select("id", *carry, "n", "tok", "df", (F.row_number().over(Window.partitionBy("id").orderBy("df", "tok")) - 1).alias("pos"), (1 + F.floor(F.col("df") / SHARE)).cast("int").alias("parts"))
+
+
+def dealt(index: DataFrame, to_all: bool) -> DataFrame:
+    """With ``part``: a token of many posts goes to one of its parts on one side of a join, and to each of them on the other."""
+    return index.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)) if to_all else F.pmod(F.xxhash64("id"), "parts").cast("int"))
 
 
 def overlap_pairs(posts: DataFrame) -> DataFrame:
-    """(src, dst, common) of posts that share a token: an inverted index joined with itself on the token.
+    """(src, dst, common) of posts that share a token: an inverted index joined with itself on the token. Its size is that of all pairs that share one."""
+    index = posts.select("id", F.explode("toks").alias("tok"))
+    index = index.join(index.groupBy("tok").agg((1 + F.floor(F.count("*") / SHARE)).cast("int").alias("parts")), "tok")
+    a, b = dealt(index, False).select("tok", "part", F.col("id").alias("src")), dealt(index, True).select("tok", "part", F.col("id").alias("dst"))
+    return a.join(b, ["tok", "part"]).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("common"))
+
+
+def bonus(same) -> Column:
+    """What a pair gets for the same values; ``same`` tells for each name whether they are."""
+    return sum((F.when(same(c), v).otherwise(0.0) for c, v in BONUS.items()), F.lit(0.0))
+
+
+def with_common(pairs: DataFrame, posts: DataFrame) -> DataFrame:
+    """Adds to pairs (src, dst) how many tokens they share; tokens travel as numbers."""
+    numbers = posts.select("id", F.transform("toks", lambda t: F.xxhash64(t)).alias("toks"))
+    both = pairs.join(numbers.select(F.col("id").alias("src"), F.col("toks").alias("st")), "src").join(numbers.select(F.col("id").alias("dst"), F.col("toks").alias("dt")), "dst")
+    return both.select("src", "dst", F.size(F.array_intersect("st", "dt")).cast("bigint").alias("common"))
 
-    A token of many posts is dealt: one side goes to one of its parts, the other to each of them.
+
+def least_scores(index: DataFrame, heads: DataFrame, posts: DataFrame, k: int, least: float) -> DataFrame:
+    """(id, floor): a score that the k-th best link of a post reaches at least: that of the k-th best among the heads of its groups and the posts with which it shares most of its rarest tokens."""
+    rare = index.where(f"df <= {SEED_POSTS}")
+    a = rare.where(f"pos < {SEEDS}").select(F.col("id").alias("src"), "tok")
+    seen = a.join(rare.select(F.col("id").alias("dst"), "tok"), "tok").where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("common"))
+    nearest = seen.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("common"), "dst"))).where(F.col("rank") <= k).select("src", "dst")
+    tried = scored(with_common(nearest.unionByName(heads).distinct(), posts), posts)
+    ranked = tried.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "dst"))).where(F.col("rank") == k)
+    return ranked.select(F.col("src").alias("id"), F.greatest("score", F.lit(least)).alias("floor"))
+
+
+def link_candidates(index: DataFrame, floors: DataFrame, least: float) -> DataFrame:
+    """(src, dst) of all pairs with a common token that may be among the best of ``src``.
+
+    Tokens stand rarest first. If the first that a pair shares is at place ``pos`` of ``n``, the rest allow a cosine of sqrt((n - pos) / n) at
+    most. So frequent tokens of a source are left out as soon as that, with what the same values add, cannot reach its floor; what the
+    others have in common then bounds each pair. A pair with the same values is looked for among posts with these values only, one class for each set of them.
     """
-    index = posts.select("id", F.explode("toks").alias("tok")).withColumn("parts", (1 + F.floor(F.count("*").over(Window.partitionBy("tok")) / SHARE)).cast("int"))
-    a = index.select("tok", F.col("id").alias("src"), F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"))
-    b = index.select("tok", F.col("id").alias("dst"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return a.join(b, ["tok", "part"]).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("common"))
+    names = list(BONUS)
+    sets = [[c for i, c in enumerate(names) if number >> i & 1] for number in range(1 << len(names))]
+    adds = [sum(BONUS[c] for c in some) for some in sets]
+    there = lambda some: reduce(lambda x, c: x & (F.coalesce(F.col(c), F.lit("")) != ""), some, F.lit(True))
+    kinds = lambda allowed: F.explode(F.array_compact(F.array(*[F.when(there(some) & allowed(add), F.struct(F.lit(float(add)).alias("add"), F.concat_ws("\x01", F.lit(str(i)), *some).alias("key"))) for i, (some, add) in enumerate(zip(sets, adds, strict=True))])))
+    sources = index.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(least)))
+    reach = F.sqrt((F.col("n") - F.col("pos")) / F.col("n"))
+    a = dealt(sources.withColumn("kind", kinds(lambda add: reach + add >= F.col("floor") - SLACK)), True).select("tok", "part", "kind.key", "kind.add", F.col("id").alias("src"), "floor", F.col("n").alias("sn"))
+    b = dealt(index.withColumn("kind", kinds(lambda _: F.lit(True))), False).select("tok", "part", "kind.key", F.col("id").alias("dst"), F.col("n").alias("dn"))
+    met = a.join(b, ["tok", "part", "key"]).where("src <> dst")
+    # the common tokens seen, and all of the source's that were left out, bound the cosine
+    least_cosine = F.greatest(F.lit(0.0), F.col("floor") - SLACK - F.col("add"))
+    left_out = F.greatest(F.lit(0), F.col("sn") - F.floor(F.col("sn") * (1 - least_cosine * least_cosine)) - 1)
+    size = F.sqrt(F.col("sn").cast("double") * F.col("dn"))
+    pairs = met.groupBy("src", "dst", "key", "add", "floor", "sn", "dn").agg(F.count("*").alias("seen"))
+    return pairs.where((F.col("seen") + left_out) / size + F.col("add") >= F.col("floor") - SLACK).select("src", "dst").distinct()
+
+
+def scored(pairs: DataFrame, posts: DataFrame) -> DataFrame:
+    """Pairs (src, dst, common) with score and dst_ord; scores in nine digits."""
+    side = lambda p: posts.select(F.col("id").alias(p), F.col("ord").alias(f"{p}_ord"), F.size("toks").alias(f"{p}_n"), *[F.col(c).alias(f"{p}_{c}") for c in BONUS])
+    met = pairs.join(side("src"), "src").join(side("dst"), "dst")
+    same = lambda c: F.coalesce((F.col(f"src_{c}") == F.col(f"dst_{c}")) & (F.col(f"src_{c}") != ""), F.lit(False))
+    cosine = F.coalesce(F.try_divide(F.col("common").cast("double"), F.sqrt((F.col("src_n").cast("bigint") * F.col("dst_n")).cast("double"))), F.lit(0.0))
+    return met.select("src", "dst", "dst_ord", F.round(cosine + bonus(same), 9).alias("score"))
 
 
 def bonus_heads(posts: DataFrame, k: int) -> DataFrame:
@@ -79,16 +152,16 @@ def top_links(posts: DataFrame, k: int = 4, least: float = 0.12) -> DataFrame:
 
     ``posts``: id, ord (input order), toks, cat, region, cluster. The score is the cosine of the token
     sets plus .15 for the same category, .10 for the same region and .25 for the same cluster; empty
-    values are never the same. Ties keep input order.
+    values are never the same, and case and white space around them do not count. Ties keep input order. Not all pairs are made: rare tokens
+    give each post a floor for its k-th score, and only pairs that may reach it are compared.
     """
-    pairs = overlap_pairs(posts).unionByName(bonus_heads(posts, k).withColumn("common", F.lit(0).cast("bigint"))).groupBy("src", "dst").agg(F.max("common").alias("common"))
-    side = lambda p: posts.select(F.col("id").alias(p), F.col("ord").alias(f"{p}_ord"), F.size("toks").alias(f"{p}_n"), *[F.col(c).alias(f"{p}_{c}") for c in ("cat", "region", "cluster")])
-    met = pairs.join(side("src"), "src").join(side("dst"), "dst")
-    same = lambda c: F.coalesce((F.col(f"src_{c}") == F.col(f"dst_{c}")) & (F.col(f"src_{c}") != ""), F.lit(False))
-    cosine = F.coalesce(F.try_divide(F.col("common").cast("double"), F.sqrt((F.col("src_n") * F.col("dst_n")).cast("double"))), F.lit(0.0))
-    score = cosine + F.when(same("cat"), 0.15).otherwise(0.0) + F.when(same("region"), 0.10).otherwise(0.0) + F.when(same("cluster"), 0.25).otherwise(0.0)
-    scored = met.withColumn("score", F.round(score, 9)).where(F.col("score") >= least)
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "dst_ord"))).where(F.col("rank") <= k)
+    posts = posts.withColumns({c: norm(F.col(c).cast("string")) for c in BONUS})
+    index = kept(token_index(posts, list(BONUS)), "token-index")
+    heads = kept(bonus_heads(posts, k), "bonus-heads")
+    floors = kept(least_scores(index, heads, posts, k, least), "least-scores")
+    pairs = link_candidates(index, floors, least).unionByName(heads).distinct()
+    good = scored(with_common(pairs, posts), posts).where(F.col("score") >= least)
+    ranked = good.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "dst_ord"))).where(F.col("rank") <= k)
     return ranked.select("src", "dst", "rank", "score")
 
 

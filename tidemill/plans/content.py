@@ -72,6 +72,26 @@ def link_top4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.top_links(_posts(spark, sf_dir))
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as posts: their language as category, their source as region, some in one of three clusters."""
+    i = F.col("doc_id")
+    cluster = F.when(i % 11 == 0, (i % 3).cast("string")).otherwise("")
+    return parquet(spark, sf_dir, "documents").select(i.alias("id"), i.alias("ord"), text.tokens(F.col("text")).alias("toks"), F.col("lang").alias("cat"), F.col("source").alias("region"), cluster.alias("cluster"))
+
+
+_DOCS = "SELECT doc_id AS id, list_distinct(list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda w: length(w) >= 2)) AS toks, coalesce(lang, '') AS cat, coalesce(source, '') AS region, CASE WHEN doc_id % 11 = 0 THEN doc_id % 3 END AS cluster FROM documents"
+
+
+@query(
+    f"WITH p AS MATERIALIZED ({_DOCS}), t AS MATERIALIZED (SELECT id, unnest(toks) AS tok FROM p), c AS (SELECT a.id AS src, b.id AS dst, count(*) AS n FROM t a JOIN t b ON a.tok = b.tok AND a.id <> b.id GROUP BY 1, 2),"
+    " s AS (SELECT a.id AS src, b.id AS dst, round(coalesce(n / sqrt(len(a.toks) * len(b.toks)), 0) + CASE WHEN a.cat = b.cat AND a.cat <> '' THEN .15 ELSE 0 END + CASE WHEN a.region = b.region AND a.region <> '' THEN .10 ELSE 0 END + CASE WHEN a.cluster = b.cluster THEN .25 ELSE 0 END, 9) AS score FROM p a JOIN p b ON a.id <> b.id LEFT JOIN c ON c.src = a.id AND c.dst = b.id)"
+    " SELECT src, dst, CAST(rn AS INTEGER) AS rank, score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rn FROM s WHERE score >= .12) WHERE rn <= 4"
+)
+def link_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best links between whole documents."""
+    return links.top_links(_documents(spark, sf_dir))
+
+
 def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Posts, their best links, and those of them that exist already."""
     posts = _posts(spark, sf_dir).withColumn("slug", text.slug(F.col("title")))
