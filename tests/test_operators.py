@@ -269,3 +269,54 @@ def test_links_that_exist_make_no_post_less_of_an_orphan(spark):
     there = links.existing_links(new, posts)
     assert sorted(tuple(r) for r in there.collect()) == [(101, 102), (103, 101)]
     assert tuple(links.link_stats(posts, new, there).first()) == (3, 3, 1.0, 2, 0.667) and tuple(links.link_stats(posts, new).first())[3] == 0
+
+
+def test_merge_keeps_opens_and_fills_as_taking_turns_does(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(8)]
+    said = lambda: " ".join(rng.sample(words, rng.randint(1, 4)))
+    items = [(i, rng.choice(["x", "y", ""]), said()) for i in range(25)]
+    slots = [(100 + i, rng.choice([" X", "y", ""]), said(), rng.choice([None, None, i % 25, 900 + i])) for i in range(30)]
+    want, there = {}, {i for i, _, _ in items}
+    used = {post for *_, post in slots if post in there}
+    for slot, cat, kw, post in slots:
+        if post in there:
+            want[slot] = (post, "kept")
+            continue
+        best, top = None, 0.34
+        for i, c, t in items:
+            a, b = set(kw.split()), set(t.split())
+            score = round(len(a & b) / math.sqrt(len(a) * len(b)), 9)
+            if i not in used and not (c and cat.strip() and c != cat.strip().lower()) and score >= top and a & b:
+                best, top = i, score
+        want[slot] = (best, "open" if best is None else "filled")
+        used.add(best)
+    s = spark.createDataFrame([(i, i, c, k, p, i % 3) for i, c, k, p in slots], "slot long, ord long, cat string, kw string, post long, cluster long")
+    p = spark.createDataFrame([(i, i, c, t) for i, c, t in items], "post long, ord long, cat string, text string")
+    merged = links.merge_clusters(s, p)
+    rows = merged.collect()
+    assert {r.slot: (r.post, r.status) for r in rows} == want and len(rows) == 30
+    again = s.drop("post").join(merged.select("slot", "post"), "slot")
+    assert {r.slot: (r.post, r.status) for r in links.merge_clusters(again, p).collect()} == {i: (post, "open" if post is None else "kept") for i, (post, _) in want.items()}
+    total = [r for r in links.cluster_summary(merged, s, "cluster").collect() if r.cluster is None]
+    assert [(r.slots, r.filled) for r in total] == [(30, sum(post is not None for post, _ in want.values()))]
+    assert {r.status for r in links.merge_clusters(s, p.where("false")).collect()} == {"open"}
+
+
+def test_audit_looks_into_the_body(spark):
+    long = "<p>" + "words " * 100 + "</p>"
+    pages = [
+        ("root", f"<head><title>A title long enough</title></head><body>{long}<div class=x id=\"root\"><!-- c --></div></body>", None),
+        ("spaced", f"<head><title>A title long enough</title></head><body>{long}<div id='app'> </div></body>", False),
+        ("reactroot", f"<head><title>A title long enough</title></head><body>{long}<main data-reactroot=\"\"></main></body>", None),
+        ("other", f"<head><title>A title long enough</title></head><body>{long}<div id=roots></div></body>", False),
+        ("head", f"<head><style>{'p{} ' * 200}</style></head><body><title>x</title>short</body>", None),
+        ("two", f"<head><title>A title long enough</title></head><body>{long}<svg><title>x</title></svg></body>", False),
+    ]
+    rows = spark.createDataFrame([(k, h, "https://x.example/a") for k, h, _ in pages], "id string, html string, url string")
+    got = {r.id: r for r in content.page_checks(rows).collect()}
+    assert {k: got[k].h1 for k, *_ in pages} == {k: h1 for k, _, h1 in pages}
+    assert got["two"].title is True
+    urls = [("https://x.example/%ED%95%9C%EA%B8%80", True), ("https://x.example/%31%32%33%34%35%36", False), ("https://x.example/%zz1", True), ("https://x.example/ab+c", True), ("https://x.example/a%2Bb", False)]
+    table = spark.createDataFrame(urls, "url string, ok boolean")
+    assert all(r.ok == r.found for r in table.select("ok", content.url_ok(F.col("url")).alias("found")).collect())

@@ -77,7 +77,8 @@ def review(df: DataFrame, text: str, forbidden: Sequence[str], fixes: Sequence[t
 
 def url_ok(url: Column) -> Column:
     """A home page, or a path with a word and no long number or hex run; never a session id."""
-    path = F.coalesce(F.regexp_extract(url, r"^[a-z]+://[^/?#]*([^?#]*)", 1), F.lit(""))
+    raw = F.coalesce(F.regexp_extract(url, r"^[a-z]+://[^/?#]*([^?#]*)", 1), F.lit(""))
+    path = F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), F.lit("/"))  # what cannot be decoded counts as home
     query = F.coalesce(F.regexp_extract(url, r"(\?[^#]*)", 1), F.lit(""))
     session = query.rlike(r"(?i)[?&](sessionid|sid|phpsessid|jsessionid)=")
     home = path.isin("", "/")
@@ -145,6 +146,18 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.regexp_replace(found, """^["']|["']$""", "")
 
 
+#: Elements that scripts fill, when they are empty.
+EMPTY_ROOT = r"""(?is)<[a-z][a-z0-9-]*(?:\s[^>]*)?\s(?:id\s*=\s*(?:"(?:root|app)"|'(?:root|app)'|root|app)|data-reactroot(?:=[^\s>]*)?)(?:\s[^>]*)?>(?:<!--.*?-->)*</"""
+#: Up to the opening of the body; without one, up to the end of the head.
+BEFORE_BODY = r"(?is)^.*?<body\b[^>]*>"
+BEFORE_END_OF_HEAD = r"(?is)^.*?</head\s*>"
+
+
+def body_of(html: Column) -> Column:
+    """What stands in the body of a page."""
+    return F.when(html.rlike(r"(?i)<body\b"), F.regexp_replace(html, BEFORE_BODY, "")).otherwise(F.regexp_replace(html, BEFORE_END_OF_HEAD, ""))
+
+
 def page_checks(pages: DataFrame, url: str = "url", html: str = "html", robots: str | None = None) -> DataFrame:
     """Adds one nullable boolean a check; null is pending. Speed is pending until it is measured.
 
@@ -158,7 +171,8 @@ def page_checks(pages: DataFrame, url: str = "url", html: str = "html", robots:
     metas = every(r"(?i)<meta\s[^>]*>")
     named = lambda kind, name: F.filter(metas, lambda m: F.lower(trimmed(_attribute(m, kind))) == name)
     content = lambda kind, name: trimmed(F.coalesce(_attribute(F.get(named(kind, name), F.lit(0)), "content"), F.lit("")))
-    title, titles = trimmed(F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1)), n(r"(?i)<title\b")
+    inside = body_of(h)
+    title, titles = trimmed(F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1)), n(r"(?i)<title\b") - F.regexp_count(F.when(h.rlike(r"(?i)<body\b|</head\s*>"), inside).otherwise(""), F.lit(r"(?i)<title\b"))
     size = lambda tag, name: F.regexp_extract(_attribute(tag, name), r"^\s*(\d+)", 1).try_cast("int")
     pixel = lambda t: F.coalesce((size(t, "width") == 1) & (size(t, "height") == 1), F.lit(False)) | F.coalesce(size(t, "width") == 0, F.lit(False)) | F.coalesce(size(t, "height") == 0, F.lit(False))
     images = F.filter(every(r"(?i)<img\s[^>]*>"), lambda t: t.rlike(r"""(?i)\s(src|data-src|srcset)\s*=\s*["']?[^"'>\s]""") & ~pixel(t))
@@ -169,9 +183,9 @@ def page_checks(pages: DataFrame, url: str = "url", html: str = "html", robots:
     bad = F.size(F.filter(links, lambda a: ~a["inner"].rlike(r"(?i)<img\b") & ((said(a) == "") | said(a).rlike(GENERIC_LINK) | said(a).rlike("(?i)^https?://"))))
     scripts, ld = n(r"(?i)<script\s[^>]*src"), h.rlike(r"(?i)application/ld\+json")
     og = (content("property", "og:title") != "") & (content("property", "og:description") != "")
-    body = F.length(trimmed(F.regexp_replace(F.regexp_replace(h, r"<[^>]*>", ""), r"\s+", " ")))
+    body = F.length(trimmed(F.regexp_replace(F.regexp_replace(inside, r"(?s)<!--.*?-->|<[^>]*>", ""), r"\s+", " ")))
     h1s = n(r"(?i)<h1\b")
-    suspect = ((body < 150) & (scripts >= 2) & (title == "") & (h1s == 0)) | ((scripts >= 4) & ~ld & ~og) | ((titles == 0) & (body < 400))
+    suspect = ((body < 150) & (scripts >= 2) & (title == "") & (h1s == 0)) | h.rlike(EMPTY_ROOT) | ((scripts >= 4) & ~ld & ~og) | ((titles == 0) & (body < 400))
     js = lambda ok: F.when(ok, True).when(suspect, F.lit(None).cast("boolean")).otherwise(False)
     robots_meta = F.concat(content("name", "robots"), F.when(content("name", "robots") == "", content("name", "googlebot")).otherwise(""))
     pending = F.lit(None).cast("boolean")

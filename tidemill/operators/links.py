@@ -223,14 +223,17 @@ def candidates(slots: DataFrame, posts: DataFrame, least: float = 0.34) -> DataF
     """(slot, s_ord, post, score, rank): the posts that fit a slot, best first; of equal scores the later post.
 
     ``slots``: slot, ord, cat, kw; ``posts``: post, ord, cat, text. Categories must be equal, whatever their case, where both
-    sides have one. Candidates share a token, so they come from an inverted index.
+    sides have one. Candidates share a token that is rare enough for the rest to reach ``least``; tokens of many posts are dealt.
     """
     s = slots.select("slot", F.col("ord").alias("s_ord"), norm(F.col("cat")).alias("s_cat"), tokens(F.col("kw")).alias("st"))
     p = posts.select("post", F.col("ord").alias("p_ord"), norm(F.col("cat")).alias("p_cat"), tokens(F.col("text")).alias("pt"))
-    a = s.select("slot", "s_ord", "s_cat", F.size("st").alias("sn"), F.explode("st").alias("tok"))
-    b = p.select("post", "p_ord", "p_cat", F.size("pt").alias("pn"), F.explode("pt").alias("tok"))
-    met = a.join(b, "tok").where((F.col("s_cat") == "") | (F.col("p_cat") == "") | (F.col("s_cat") == F.col("p_cat")))
-    scored = met.groupBy("slot", "s_ord", "sn", "post", "p_ord", "pn").agg(F.count("*").alias("common")).withColumn("score", F.round(F.col("common") / F.sqrt((F.col("sn") * F.col("pn")).cast("double")), 9))
+    b = p.select("post", "p_cat", F.explode("pt").alias("tok"))
+    counts = b.groupBy("tok").agg(F.count("*").alias("df")).withColumn("parts", (1 + F.floor(F.col("df") / SHARE)).cast("int"))
+    a = s.select("slot", "s_cat", F.size("st").alias("sn"), F.explode("st").alias("tok")).join(counts, "tok")
+    a = a.withColumn("pos", F.row_number().over(Window.partitionBy("slot").orderBy("df", "tok")) - 1).where(F.sqrt((F.col("sn") - F.col("pos")) / F.col("sn")) >= least - SLACK)
+    met = dealt(a, True).join(dealt(b.join(counts, "tok").withColumn("id", F.col("post")), False), ["tok", "part"]).where((F.col("s_cat") == "") | (F.col("p_cat") == "") | (F.col("s_cat") == F.col("p_cat")))
+    both = met.select("slot", "post").distinct().join(s, "slot").join(p, "post")
+    scored = both.withColumn("score", F.round(F.size(F.array_intersect("st", "pt")) / F.sqrt((F.size("st").cast("bigint") * F.size("pt")).cast("double")), 9))
     rank = F.row_number().over(Window.partitionBy("slot").orderBy(F.desc("score"), F.desc("p_ord")))
     return scored.where(F.col("score") >= least).select("slot", "s_ord", "post", "score", rank.alias("rank"))
 
@@ -255,6 +258,29 @@ def assign_greedily(slots: DataFrame, posts: DataFrame, least: float = 0.34) ->
         last = state
 
 
+def merge_clusters(slots: DataFrame, posts: DataFrame, least: float = 0.34) -> DataFrame:
+    """All slots with their post after a merge: slot, post, status (kept, filled or open).
+
+    ``slots``: slot, ord, cat, kw, post (null if open); ``posts`` as for ``candidates``. A slot whose post is gone opens. Posts that slots hold take no
+    part; open slots then take turns. What is kept is not compared again, so a merge costs what has changed.
+    """
+    alive = slots.select("slot", "post").where("post is not null").join(posts.select("post"), "post", "left_semi").distinct()
+    held = kept(alive, "held-slots")
+    open_ = slots.join(held.select("slot"), "slot", "left_anti").drop("post")
+    free = posts.join(held.select("post"), "post", "left_anti")
+    filled = assign_greedily(open_, free, least).select("slot", F.col("post").alias("new"))
+    rows = slots.select("slot").join(held, "slot", "left").join(filled, "slot", "left")
+    status = F.when(F.col("post").isNotNull(), "kept").when(F.col("new").isNotNull(), "filled").otherwise("open")
+    return rows.select("slot", F.coalesce("post", "new").alias("post"), status.alias("status"))
+
+
+def cluster_summary(merged: DataFrame, slots: DataFrame, cluster: str) -> DataFrame:
+    """Slots, filled slots and their ratio of each cluster and, under null, of all, after a merge, with the first open slot."""
+    rows = slots.select("slot", "ord", cluster).join(merged, "slot")
+    gaps = rows.where("status = 'open'").groupBy(cluster).agg(F.min_by("slot", F.struct("ord", "slot")).alias("next"))
+    return completeness(rows, cluster, F.col("status") != "open").join(gaps, cluster, "left").select(cluster, "slots", "filled", "ratio", "next")
+
+
 def ordered_distinct(words: DataFrame, word: str, order: Sequence[str]) -> DataFrame:
     """The first spelling of each word, whatever case and spaces."""
     key = F.lower(trimmed(F.regexp_replace(word, r"\s+", " ")))

@@ -121,13 +121,56 @@ def link_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.with_anchors(links.top_links(posts), posts.select(F.col("id").alias("dst"), anchors.alias("anchors")))
 
 
-@query()
+def _words(column: str) -> str:
+    return f"list_distinct(list_filter(string_split(trim(regexp_replace(lower(coalesce({column}, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda w: length(w) >= 2))"
+
+
+def _turns(held: str) -> str:
+    """SQL for slots that take turns: from n, the slots in order with the posts in ``held`` taken, to g with slot and post."""
+    return f"""s AS (SELECT item_id AS slot, {_words("text")} AS st FROM benchmark), p AS (SELECT doc_id AS post, {_words("text")} AS pt FROM documents WHERE doc_id NOT IN (SELECT post FROM {held})),
+o AS (SELECT slot, row_number() OVER (ORDER BY slot) AS i FROM s WHERE slot NOT IN (SELECT slot FROM {held})),
+m AS (SELECT slot, post, count(*) AS n FROM (SELECT slot, unnest(st) AS tok FROM s) JOIN (SELECT post, unnest(pt) AS tok FROM p) USING (tok) GROUP BY 1, 2),
+c AS (SELECT slot, post, round(n / sqrt(len(st) * len(pt)), 9) AS score FROM m JOIN s USING (slot) JOIN p USING (post)),
+l AS (SELECT slot, list(post ORDER BY score DESC, post DESC) AS posts, list(score ORDER BY score DESC, post DESC) AS scores FROM c WHERE score >= .34 GROUP BY 1),
+r AS (SELECT i, slot, coalesce(posts, []) AS posts, coalesce(scores, []) AS scores FROM o LEFT JOIN l USING (slot)),
+t(i, used, slot, post, score) AS (
+  SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE
+  UNION ALL SELECT i, CASE WHEN k IS NULL THEN used ELSE list_append(used, posts[k]) END, slot, posts[k], scores[k] FROM (
+    SELECT r.i, used, r.slot, posts, scores, list_filter(range(1, len(posts) + 1), lambda k: NOT list_contains(used, posts[k]))[1] AS k FROM t JOIN r ON r.i = t.i + 1))"""
+
+
+@query(f"WITH RECURSIVE h AS (SELECT NULL::BIGINT AS slot, NULL::BIGINT AS post WHERE false), {_turns('h')} SELECT slot, post, score FROM t WHERE post IS NOT NULL")
 def cluster_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items are the slots, whole documents the posts; items have no category, so any document may fit."""
-    items = parquet(spark, sf_dir, "benchmark")
-    slots = items.select(F.col("item_id").alias("slot"), F.col("item_id").alias("ord"), F.lit("").alias("cat"), F.col("text").alias("kw"))
-    docs = parquet(spark, sf_dir, "documents").select(F.col("doc_id").alias("post"), F.col("doc_id").alias("ord"), F.col("lang").alias("cat"), "text")
-    return links.assign_greedily(slots, docs)
+    return links.assign_greedily(_slots(spark, sf_dir), _fitting(spark, sf_dir))
+
+
+def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as slots of ten clusters; a quarter holds a document, another quarter one that is gone."""
+    i = F.col("item_id")
+    post = F.when(i % 4 == 0, i * 3).when(i % 4 == 1, -1 - i)
+    return parquet(spark, sf_dir, "benchmark").select(i.alias("slot"), i.alias("ord"), F.lit("").alias("cat"), F.col("text").alias("kw"), post.alias("post"), (i % 10).alias("cluster"))
+
+
+def _fitting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parquet(spark, sf_dir, "documents").select(F.col("doc_id").alias("post"), F.col("doc_id").alias("ord"), F.col("lang").alias("cat"), "text")
+
+
+_HELD = "h AS (SELECT item_id AS slot, item_id * 3 AS post FROM benchmark WHERE item_id % 4 = 0 AND item_id * 3 IN (SELECT doc_id FROM documents))"
+_MERGED = f"WITH RECURSIVE {_HELD}, {_turns('h')}, g AS (SELECT item_id AS slot, coalesce(h.post, t.post) AS post, CASE WHEN h.post IS NOT NULL THEN 'kept' WHEN t.post IS NOT NULL THEN 'filled' ELSE 'open' END AS status FROM benchmark LEFT JOIN h ON h.slot = item_id LEFT JOIN t ON t.slot = item_id)"
+
+
+@query(f"{_MERGED} SELECT * FROM g")
+def cluster_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots that hold documents or open as theirs are gone, and fill with what fits."""
+    return links.merge_clusters(_slots(spark, sf_dir), _fitting(spark, sf_dir))
+
+
+@query(f"{_MERGED} SELECT slot % 10 AS cluster, count(*) AS slots, count(*) FILTER (status <> 'open') AS filled, round(count(*) FILTER (status <> 'open')::DOUBLE / count(*), 3) AS ratio, CASE WHEN grouping(slot % 10) = 0 THEN min(slot) FILTER (status = 'open') END AS next FROM g GROUP BY ROLLUP (slot % 10)")
+def cluster_merge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dangling check, fill, summary and next gap in one chain."""
+    slots = _slots(spark, sf_dir)
+    return links.cluster_summary(kept(links.merge_clusters(slots, _fitting(spark, sf_dir)), "merged"), slots, "cluster")
 
 
 @query("SELECT l_partkey, 'c' || l_suppkey AS cluster FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)")
@@ -263,18 +306,21 @@ def _allows(agent: str) -> str:
 
 _SIZE = lambda name: f"TRY_CAST(regexp_extract({_page_attr('t', name)}, '^\\s*(\\d+)', 1) AS INTEGER)"
 _SAID = "regexp_replace(regexp_replace(inners[i], '<[^>]*>', '', 'g'), '\\s+', '', 'g')"
-_CHECKS = rf"""WITH p AS (SELECT page_id, url, html, [{", ".join("'" + x + "'" for x in ROBOTS)}][CAST(page_id % {len(ROBOTS)} AS INTEGER) + 1] AS robots FROM pages),
+#: Every seventh page gets an empty root for its article, others lose their title, or both.
+_VARIANT = "CASE page_id % 7 WHEN 0 THEN regexp_replace(html, '(?s)<article>.*</article>', '<div class=\"a\" id=\"root\"></div>') WHEN 3 THEN regexp_replace(html, '(?s)<title>.*?</title>', '') WHEN 5 THEN regexp_replace(regexp_replace(html, '(?s)<title>.*?</title>', ''), '(?s)<article>.*</article>', '<title>x</title>') ELSE html END"
+_CHECKS = rf"""WITH p AS (SELECT page_id, url, {_VARIANT} AS html, [{", ".join("'" + x + "'" for x in ROBOTS)}][CAST(page_id % {len(ROBOTS)} AS INTEGER) + 1] AS robots FROM pages),
 l AS (SELECT *, list_filter(list_transform(string_split_regex(robots, '\r?\n'), lambda x: trim(regexp_replace(x, '#.*$', ''))), lambda x: x <> '') AS lines FROM p),
 k AS (SELECT *, list_transform(lines, lambda x: CASE WHEN regexp_matches(x, '(?i)^User-agent\s*:\s*(.+)$') THEN 'U:' || lower(trim(regexp_extract(x, '(?i)^User-agent\s*:\s*(.+)$', 1))) WHEN regexp_matches(x, '(?i)^Allow\s*:\s*/(\*|\$)?\s*$') THEN 'A' WHEN regexp_matches(x, '(?i)^Disallow\s*:\s*/(\*|\$)?\s*$') THEN 'D' ELSE 'x' END) AS kinds FROM l),
 o AS (SELECT *, list_transform(string_split(array_to_string(list_transform(kinds, lambda x, i: CASE WHEN starts_with(x, 'U:') AND NOT coalesce(starts_with(kinds[i - 1], 'U:'), false) THEN chr(12) || x ELSE x END), chr(10)), chr(12))[2:], lambda g: chr(10) || g || chr(10)) AS groups FROM k),
-f AS (SELECT *, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS t, len(regexp_extract_all(html, '(?i)<title\b')) AS titles, regexp_extract_all(html, '(?i)<meta\s[^>]*>') AS metas, len(regexp_extract_all(html, '(?i)<h1\b')) AS h1s,
+b AS (SELECT *, regexp_replace(html, '{ops.BEFORE_BODY}', '') AS inside FROM o),
+f AS (SELECT *, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS t, len(regexp_extract_all(html, '(?i)<title\b')) - len(regexp_extract_all(inside, '(?i)<title\b')) AS titles, regexp_extract_all(html, '(?i)<meta\s[^>]*>') AS metas, len(regexp_extract_all(html, '(?i)<h1\b')) AS h1s,
  list_filter(regexp_extract_all(html, '(?i)<img\s[^>]*>'), lambda t: regexp_matches(t, '(?i)\s(src|data-src|srcset)\s*=\s*["'']?[^"''>\s]') AND NOT (coalesce({_SIZE("width")} = 1 AND {_SIZE("height")} = 1, false) OR coalesce({_SIZE("width")} = 0, false) OR coalesce({_SIZE("height")} = 0, false))) AS images,
  regexp_extract_all(html, '(?is)<a(\s[^>]*)>(.*?)</a>', 1) AS tags, regexp_extract_all(html, '(?is)<a(\s[^>]*)>(.*?)</a>', 2) AS inners, regexp_extract_all(html, '(?i)<link\s[^>]*>') AS links,
- len(regexp_extract_all(html, '(?i)<script\s[^>]*src')) AS scripts, regexp_matches(html, '(?i)application/ld\+json') AS ld, length(trim(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))) AS body,
- coalesce(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '') AS path, coalesce(regexp_extract(url, '(\?[^#]*)', 1), '') AS q FROM o),
+ len(regexp_extract_all(html, '(?i)<script\s[^>]*src')) AS scripts, regexp_matches(html, '(?i)application/ld\+json') AS ld, length(trim(regexp_replace(regexp_replace(inside, '(?s)<!--.*?-->|<[^>]*>', '', 'g'), '\s+', ' ', 'g'))) AS body,
+ coalesce(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '') AS path, coalesce(regexp_extract(url, '(\?[^#]*)', 1), '') AS q FROM b),
 m AS (SELECT *, list_filter(range(1, len(tags) + 1), lambda i: NOT regexp_matches(trim({_page_attr("tags[i]", "href")}), '(?i)^($|#|javascript:|mailto:|tel:)')) AS real, {_content("property", "og:title")} <> '' AND {_content("property", "og:description")} <> '' AS og FROM f),
 g AS (SELECT *, list_filter(real, lambda i: NOT regexp_matches(inners[i], '(?i)<img\b') AND ({_SAID} = '' OR regexp_matches({_SAID}, '{ops.GENERIC_LINK}') OR regexp_matches({_SAID}, '(?i)^https?://'))) AS bad,
- (body < 150 AND scripts >= 2 AND t = '' AND h1s = 0) OR (scripts >= 4 AND NOT ld AND NOT og) OR (titles = 0 AND body < 400) AS r FROM m),
+ (body < 150 AND scripts >= 2 AND t = '' AND h1s = 0) OR regexp_matches(html, '{ops.EMPTY_ROOT.replace("'", "''")}') OR (scripts >= 4 AND NOT ld AND NOT og) OR (titles = 0 AND body < 400) AS r FROM m),
 c AS (SELECT page_id, CASE WHEN t <> '' AND titles <= 1 AND length(t) BETWEEN 10 AND 60 THEN true WHEN r THEN NULL ELSE false END AS title, CASE WHEN {_content("name", "description")} <> '' AND len({_meta("name", "description")}) <= 1 THEN true WHEN r THEN NULL ELSE false END AS description,
  CASE WHEN h1s = 1 THEN true WHEN r THEN NULL ELSE false END AS h1, len(list_filter(images, lambda t: NOT regexp_matches(t, '(?i)\salt(\s|=|/|>)'))) * 10 <= len(images) AS image_alt, len(bad) * 5 <= len(real) AS link_text,
  NOT regexp_matches(q, '(?i)[?&](sessionid|sid|phpsessid|jsessionid)=') AND (path IN ('', '/') OR (regexp_matches(path, '(?i)[a-z\x{{AC00}}-\x{{D7A3}}]{{2,}}') AND NOT regexp_matches(path, '/\d{{6,}}(/|$)') AND NOT regexp_matches(path, '(?i)[0-9a-f]{{16,}}'))) AS url_ok,
@@ -301,7 +347,10 @@ SELECT *, CAST(floor(CASE WHEN passed + failed = 0 THEN 0 ELSE passed * 100.0 /
 
 
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = parquet(spark, sf_dir, "pages")
+    i, article = F.col("page_id") % 7, r"(?s)<article>.*</article>"
+    untitled = F.regexp_replace("html", r"(?s)<title>.*?</title>", "")
+    variant = F.when(i == 0, F.regexp_replace("html", article, '<div class="a" id="root"></div>')).when(i == 3, untitled).when(i == 5, F.regexp_replace(untitled, article, "<title>x</title>")).otherwise(F.col("html"))
+    pages = parquet(spark, sf_dir, "pages").withColumn("html", variant)
     robots = F.element_at(F.array(*map(F.lit, ROBOTS)), (F.col("page_id") % len(ROBOTS) + 1).cast("int"))
     return ops.page_checks(pages.withColumn("robots", robots), robots="robots")
 
