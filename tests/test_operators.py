@@ -1,6 +1,7 @@
 """Operators on small rows of their own."""
 
 import datetime as dt
+import hashlib
 import itertools
 import math
 import random
@@ -320,3 +321,25 @@ def test_audit_looks_into_the_body(spark):
     urls = [("https://x.example/%ED%95%9C%EA%B8%80", True), ("https://x.example/%31%32%33%34%35%36", False), ("https://x.example/%zz1", True), ("https://x.example/ab+c", True), ("https://x.example/a%2Bb", False)]
     table = spark.createDataFrame(urls, "url string, ok boolean")
     assert all(r.ok == r.found for r in table.select("ok", content.url_ok(F.col("url")).alias("found")).collect())
+
+
+@pytest.mark.parametrize("stretch", [2, 7, 4096])
+def test_rings_cut_into_stretches_are_whole_rings(spark, monkeypatch, stretch):
+    monkeypatch.setattr(landed, "STRETCH", stretch)
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None])) for i in range(60)] + [(100, "single"), (101, "pair"), (102, "pair")]
+    want = {}
+    for category in {c for _, c in rows if c}:
+        ring = sorted((hashlib.md5(f"{i}|5".encode()).hexdigest(), i) for i, c in rows if c == category)
+        for at, (_, i) in enumerate(ring):
+            for rank in range(1, min(3, len(ring) - 1) + 1):
+                want[i, rank] = ring[(at + rank) % len(ring)][1]
+    table = spark.createDataFrame(rows, "id long, category string")
+    assert {(r.id, r["rank"]): r.other for r in landed.related_rows(table, "id", "category", seed=5).collect()} == want
+
+
+def test_broken_files_fall_back_one_by_one(spark):
+    bodies = ['[{"a":1},{"a":2}]', '{"posts":[{"a":3}]}', ' {"items":[]}', '[{"a":1},{"a"', "{broken", "", None, '{"other":[{"a":4}]}', "17"]
+    texts = spark.createDataFrame(list(enumerate(bodies)), "file long, body string")
+    rows = tables.json_rows_or(texts, "body", "a bigint", F.array(F.struct(F.lit(-1).alias("a")))).collect()
+    assert sorted((r.file, r.a, r.fell_back) for r in rows) == [(0, 1, False), (0, 2, False), (1, 3, False), *((i, -1, True) for i in (3, 4, 5, 6, 7, 8))]

@@ -58,21 +58,32 @@ def live_or_sample(rows: DataFrame, live: DataFrame, key: str, price: str) -> Da
     return rows.join(fresh, key, "left").withColumns({price: F.coalesce("__live", price), "live": F.col("__live").isNotNull()}).drop("__live")
 
 
+#: Rows of one stretch of a ring, about.
+STRETCH = 4096
+
+
 def related_rows(rows: DataFrame, key: str, category: str, seed: int, k: int = 3) -> DataFrame:
     """For each row k others of its category, drawn by a hash with a seed: ``key``, other, rank.
 
-    Members of a category stand on a ring in hash order and everyone takes those behind, so no pairs are made.
+    Members of a category stand on a ring in hash order and everyone takes those behind, so no pairs are made. A ring is cut
+    into stretches by the hash; the first rows of each are handed to the stretches before it, so a large category is no task of its own.
+    Rows without a category have no others.
     """
-    placed = rows.select(key, category, F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")).alias("h"))
-    ring = Window.partitionBy(category).orderBy("h", key)
-    whole = Window.partitionBy(category)
-    first = F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("n") <= k, F.struct("n", key)))), 1, k), lambda x: x[key])
-    numbered = placed.withColumn("n", F.row_number().over(ring))
-    heads = numbered.where(F.col("n") <= k).groupBy(category).agg(first.alias("heads"))
-    ahead = numbered.select(key, category, *[F.lead(key, i).over(ring).alias(f"a{i}") for i in range(1, k + 1)], F.count("*").over(whole).alias("size"))
+    placed = rows.where(F.col(category).isNotNull()).select(key, category, F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")).alias("h"))
+    parts = placed.groupBy(F.col(category).alias("__of")).agg((1 + F.floor(F.count("*") / STRETCH)).alias("parts"))
+    cut = placed.join(parts, (F.col(category) == F.col("__of"))).withColumn("stretch", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / 4294967296.0 * F.col("parts"))).drop("__of", "parts")
+    ring = Window.partitionBy(category, "stretch").orderBy("h", key)
+    numbered = cut.withColumns({"n": F.row_number().over(ring), **{f"a{i}": F.lead(key, i).over(ring) for i in range(1, k + 1)}})
+    first = F.transform(F.array_sort(F.collect_list(F.struct("n", key))), lambda x: x[key])
+    heads = numbered.where(F.col("n") <= k).groupBy(category, "stretch").agg(first.alias("heads"))  # k rows a stretch, which has thousands
+    along = Window.partitionBy(category).orderBy("stretch")
+    some = lambda start: F.slice(F.flatten(F.array_compact(start)), 1, k)
+    following = heads.select(F.col(category).alias("__of"), F.col("stretch").alias("__at"), some(F.array(*[F.lead("heads", i).over(along) for i in range(1, k + 1)])).alias("next"))
+    starts = heads.withColumn("place", F.row_number().over(along)).where(F.col("place") <= k).groupBy(F.col(category).alias("__ring")).agg(some(F.transform(F.array_sort(F.collect_list(F.struct("place", "heads"))), lambda x: x["heads"])).alias("start"))
+    met = numbered.join(following, (F.col(category) == F.col("__of")) & (F.col("stretch") == F.col("__at"))).join(starts, F.col(category) == F.col("__ring"))
     behind = F.array_compact(F.array(*[F.col(f"a{i}") for i in range(1, k + 1)]))
-    others = F.slice(F.filter(F.array_distinct(F.concat(behind, "heads")), lambda x: x != F.col(key)), 1, k)
-    return ahead.join(heads, category).select(key, F.posexplode(others).alias("pos", "other")).select(key, "other", (F.col("pos") + 1).alias("rank"))
+    others = F.slice(F.filter(F.array_distinct(F.concat(behind, "next", "start")), lambda x: x != F.col(key)), 1, k)
+    return met.select(key, F.posexplode(others).alias("pos", "other")).select(key, "other", (F.col("pos") + 1).alias("rank"))
 
 
 #: Kinds of documents a store takes, and where each goes.

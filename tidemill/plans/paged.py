@@ -1,4 +1,4 @@
-"""Queries over pages that are cut from a table, landed and read by the paged source."""
+"""Queries over pages and files that are cut from a table, landed and read again."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.plans.book import Book
 from tidemill.sources.paged import land, paged
-from tidemill.sources.tables import fresh_path, parquet
+from tidemill.sources.tables import fresh_path, json_rows_or, parquet
 
 _book = Book()
 query = _book.query
@@ -34,3 +34,19 @@ def paged_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _landed(spark, sf_dir)
     some = lambda pages: paged(spark, path, _ORDERS).where(f"{pages} and o_orderstatus = 'F' and o_totalprice > 1000").select("o_orderkey", "o_custkey", "page")
     return some("page > 2").unionByName(some("page = 1"))
+
+
+@query(
+    "WITH c AS (SELECT c_custkey, c_acctbal, c_custkey // 50 AS pack FROM customer) SELECT pack, false AS fell_back, c_custkey, c_acctbal FROM c WHERE pack % 5 IN (1, 2, 3)"
+    " UNION ALL SELECT DISTINCT pack, true, -1, NULL FROM c WHERE pack % 5 IN (0, 4)"
+)
+def broken_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of fifty customers each, as arrays or under a name; some are cut off or no JSON at all, and give a row of their own."""
+    packs = parquet(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 50).cast("bigint").alias("pack")).agg(F.to_json(F.collect_list(F.struct("c_custkey", "c_acctbal"))).alias("rows"))
+    kind, rows = F.col("pack") % 5, F.col("rows")
+    text = F.when(kind == 0, F.left(rows, F.length(rows) - 10)).when(kind == 1, F.concat(F.lit('{"posts":'), rows, F.lit("}"))).when(kind == 2, F.concat(F.lit(' {"more":1,"items":'), rows, F.lit("}"))).when(kind == 3, rows).otherwise("no rows today")
+    path = fresh_path(spark, "files")
+    packs.select("pack", text.alias("value")).write.partitionBy("pack").text(path)
+    found = spark.read.schema("value string, pack bigint").text(path, wholetext=True)
+    none = F.array(F.struct(F.lit(-1).cast("bigint").alias("c_custkey"), F.lit(None).cast("double").alias("c_acctbal")))
+    return json_rows_or(found, "value", "c_custkey bigint, c_acctbal double", none).select("pack", "fell_back", "c_custkey", "c_acctbal")

@@ -38,6 +38,20 @@ def json_rows(spark: SparkSession, path: str, row: str, wrappers: Sequence[str]
     return text.select(F.inline(chosen))
 
 
+def json_rows_or(texts: DataFrame, body: str, row: str, fallback: Column, wrappers: Sequence[str] = ("posts", "items")) -> DataFrame:
+    """Rows of files of JSON, one file in each row of ``texts``, with ``fell_back``: files that are no JSON, or hold no rows where ``json_rows`` looks for them, give those of ``fallback``.
+
+    ``fallback`` is an array of the fields of ``row``. Columns of ``texts`` other than ``body`` are kept, so a sum over ``fell_back`` counts the broken files.
+    """
+    whole = T.ArrayType(T.StructType.fromDDL(row))
+    wrapped = [F.from_json(body, T.StructType([T.StructField(w, whole)]))[w] for w in wrappers]
+    read = F.when(F.ltrim(body).startswith("["), F.from_json(body, whole)).otherwise(F.coalesce(*wrapped))
+    good = F.when(F.try_parse_json(body).isNotNull(), read)
+    rows = texts.withColumn("__rows", good).withColumn("fell_back", F.col("__rows").isNull())
+    kept_columns = [c for c in texts.columns if c != body]
+    return rows.select(*kept_columns, "fell_back", F.inline(F.coalesce("__rows", fallback.cast(whole.simpleString()))))
+
+
 def files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """Files below a folder by name pattern: path, length, content."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "length", "content")
