@@ -53,7 +53,7 @@ class ByteNet:
         data = padded(data)
         last = len(data) - WIDTH + 1
         out = []
-        for at in range(0, last, 64 * HOP):
+        for at in range(0, max(1, last - HOP), 64 * HOP):  # a rest of HOP positions is in the chunk before
             stop = min(last, at + 64 * HOP + CHUNK - HOP)
             halves = np.maximum.reduceat(self.answers(data[at : stop - 1 + WIDTH]), np.arange(0, stop - at, HOP))
             out.append(np.maximum(halves[:-1], halves[1:]) if len(halves) > 1 else halves)
