@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemill.sources.tables import small
+
 #: Parts into which the pages of one host and path are dealt at most.
 SALTS = 1024
 #: Rules of the registered query: (action, rule); a rule's host ends at its first slash.
@@ -40,6 +42,10 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
     return with_digest(parts.withColumns({"labels": F.size(F.split("rule_host", r"\.")), "chars": F.length("rule_path")}), F.concat("rule_host", F.lit("\n"), "rule_path"))
 
 
+#: Rules that are sent to all tasks at most.
+RULES_SENT = 100_000
+
+
 def with_digest(df: DataFrame, expression: Column) -> DataFrame:
     digest = F.sha2(expression, 256)
     return df.withColumns({"digest": digest, "short": F.substring(digest, 1, 8)})
@@ -62,6 +68,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     suffix = F.array_join(F.slice("l", F.size("l") - F.col("s.labels") + 1, F.col("s.labels")), ".")
     prefix = F.substring(F.col("path"), F.lit(1), F.col("s.chars"))
     asked = with_digest(expanded.select("host", "path", "salt", suffix.alias("suffix"), prefix.alias("prefix")), F.concat("suffix", F.lit("\n"), "prefix")).alias("u")
-    found = asked.join(rules.alias("r"), "short").where(F.col("u.digest") == F.col("r.digest"))
+    # every URL under a rule has its digest: rules that fit a task are sent to the URLs, longer lists meet them by digest, which Spark cuts where it is hot
+    found = asked.join(small(rules, RULES_SENT).alias("r"), "short").where(F.col("u.digest") == F.col("r.digest"))
     best = found.groupBy("host", "path", "salt").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "action")).alias("best"))
     return urls.join(best, ["host", "path", "salt"], "left").select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
