@@ -22,6 +22,8 @@ SLOT_BITS = 15
 SLOTS = 1 << SLOT_BITS
 #: Documents of a language that training reads, about.
 SAMPLE_PER_LANGUAGE = 1500
+#: Languages that are learned at most: a dirty column must not grow the model.
+MOST_LANGUAGES = 500
 ROUNDS = 12
 #: Log-likelihood that a further language must gain: a fixed part and a part for each trigram.
 PENALTY, PENALTY_PER_GRAM = 12.0, 0.02
@@ -101,19 +103,19 @@ class LanguageModel:
         return out
 
 
-def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
-    """Learns from rows where ``learn`` holds and text and language are not null.
+def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE, most: int = MOST_LANGUAGES) -> LanguageModel:
+    """Learns from rows where ``learn`` holds and text and language are not null; of more than ``most`` languages those with most rows.
 
     Of each language about ``per_language`` documents, chosen by a hash of their id, are counted.
     Counts are added up in tasks; the driver gets one array of fixed size for each language.
     """
     usable = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {row[lang_col]: row["count"] for row in usable.groupBy(lang_col).count().collect()}
+    sizes = {row[lang_col]: row["count"] for row in usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(most).collect()}
     if not sizes:
         return LanguageModel([], np.zeros((SLOTS, 0)))
     languages = sorted(sizes)
     part = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(per_language / sizes[lang]))])
-    chosen = usable.where(drawn_by_hash(F.col(id_col), part[F.col(lang_col)]))
+    chosen = usable.where(F.col(lang_col).isin(languages)).where(drawn_by_hash(F.col(id_col), part[F.col(lang_col)]))
     place = {lang: i for i, lang in enumerate(languages)}
     total = np.zeros((len(languages), SLOTS))
 
