@@ -1,6 +1,7 @@
 """Secrets, vector codes and periodic runs against brute force, and on odd inputs."""
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -12,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.llm import periodic, queries, secretscan, vectorcode
+from tidemill.llm import chat, langid, periodic, quality, queries, secretscan, urlrules, vectorcode
 from tidemill.llm.common import PIECE_BYTES, pieces
 
 ODD = [None, "", " \n", "a", "É" * 3, "x " * 20000, "one two three four five", "one two three four five"]
@@ -270,6 +271,97 @@ def test_periodic_odd_texts(spark, odd):
     assert periodic.collapse(odd.select(F.lit(None).cast("long").alias("doc_id"), "text"), plant=True).count() == len(ODD) + 1
 
 
+# --- earlier operators against plain loops ------------------------------------------------------
+
+
+def test_chunks_are_those_of_a_plain_loop():
+    """Scoring cuts a text as training does, at every length around a piece's end."""
+    net = quality.ByteNet.fresh(3)
+    rng = np.random.default_rng(3)
+    piece = 64 * quality.HOP
+    for n in (0, 1, 5, 130, quality.CHUNK + 4, piece, piece + 4, piece + 5, piece + 10, piece + quality.HOP + 4, piece + quality.HOP + 5, 2 * piece + 77):
+        data = rng.integers(32, 127, n).astype(np.uint8)
+        answers = net.answers(quality.padded(data))
+        starts = range(0, max(1, len(answers) - quality.CHUNK + quality.HOP), quality.HOP)
+        want = np.maximum(np.array([answers[s : s + quality.CHUNK].max(0) for s in starts]) + net.bias, 0)
+        assert np.allclose(net.chunk_peaks(data), want)
+
+
+def test_languages_are_bounded(spark):
+    rows = [(i, "some words of text here", f"l{i % 7 % 5}") for i in range(70)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), most=2)
+    assert model.languages == ["l0", "l1"]
+
+
+def plain_chat(messages, tools):
+    """(conv, turn, part, kind, id, level, status) of calls and results."""
+    calls, results = [], []
+    for conv, turn, role, text in messages:
+        v = json.loads(text)
+        if role == "assistant" and "tool_calls" in v:
+            calls += [(conv, turn, part, c) for part, c in enumerate(v["tool_calls"])]
+        elif role == "tool":
+            results.append((conv, turn, v["tool_call_id"]))
+    first, uses = {}, {}
+    for conv, turn, part, c in calls:
+        key = (conv, c.get("id"))
+        if key[1] is not None:
+            first[key] = min(first.get(key, (turn, part)), (turn, part))
+            uses.setdefault(key, set()).update((conv, a[1:]) for a in c["arguments"].values() if isinstance(a, str) and a.startswith("$"))
+    uses = {k: {u for u in us if u in first} for k, us in uses.items()}
+    level = {k: 0 for k, us in uses.items() if not us}
+    while new := {k: 1 + max(level[u] for u in us) for k, us in uses.items() if k not in level and all(u in level for u in us)}:
+        level |= new
+    kinds = {"string": str, "integer": int}
+    out = []
+    for conv, turn, part, c in calls:
+        key, params = (conv, c.get("id")), {p: (kind, need) for t, p, kind, need in tools if t == c["name"]}
+        wrong = sorted([f"missing:{p}" for p, (_, need) in params.items() if need and p not in c["arguments"]] + [f"unknown:{a}" for a in c["arguments"] if a not in params] + [f"type:{a}" for a, x in c["arguments"].items() if a in params and type(x) is not kinds[params[a][0]]])
+        answers = [t for cv, t, i in results if (cv, i) == key]
+        status = "invalid no id" if key[1] is None else "repeated" if first[key] != (turn, part) else "invalid unknown tool" if not params else "invalid " + ",".join(wrong) if wrong else "ok" if any(t > turn for t in answers) else "unanswered"
+        out.append((conv, turn, part, "call", key[1], 0 if key[1] is None else level.get(key, -1), status))
+    for conv, turn, i in results:
+        at = first.get((conv, i))
+        earliest = min(t for cv, t, k in results if (cv, k) == (conv, i))
+        status = "orphan" if at is None else "early" if turn <= at[0] else "repeated" if turn > earliest else "ok"
+        out.append((conv, turn, at[1] if at else -1, "result", i, level.get((conv, i), -1) if at else 0, status))
+    return Counter(out)
+
+
+def test_generated_calls_are_linked_as_by_plain_loops(spark):
+    rng = random.Random(21)
+    messages = []
+    for conv in range(40):
+        ids = [f"c{k}" for k in range(rng.randint(1, 6))]
+        for turn in range(rng.randint(1, 9)):
+            if rng.random() < 0.5:
+                calls = []
+                for _ in range(rng.randint(1, 3)):
+                    args = {p: rng.choice(["x", 3, f"${rng.choice(ids)}", "$none"]) for p in rng.sample(["query", "limit", "expression", "extra"], rng.randint(0, 3))}
+                    calls.append({"name": rng.choice(["search", "calculator", "nope"]), "arguments": args} | ({"id": rng.choice(ids)} if rng.random() < 0.9 else {}))
+                messages.append((conv, turn, "assistant", json.dumps({"content": "c", "tool_calls": calls})))
+            else:
+                messages.append((conv, turn, "tool", json.dumps({"tool_call_id": rng.choice([*ids, "q"]), "content": turn})))
+    messages += [(99, 0, "tool", json.dumps({"tool_call_id": "big", "content": "word " * 50_000}))] * 2
+    out = chat.format_chat(spark.createDataFrame(messages, "conv_id long, turn long, role string, text string"), chat.tool_parameters(spark)).where("kind <> 'message'")
+    got = Counter((r.conv_id, r.turn, r.part, r.kind, r.call_id, r.level, r.status) for r in out.collect())
+    assert got == plain_chat(messages, chat.TOOLS) and len({s for *_, s in got}) > 12
+
+
+def test_url_rules_of_odd_pages(spark):
+    rules = urlrules.rule_table(spark, urlrules.RULES)
+    rows = [(1, "http://a.example.org/en/1" + "x" * 200_000), (2, "http://x.org"), (2, "http://x.org"), (None, "http://example.org/es/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = Counter((r.page_id, r.rule, r.verdict) for r in urlrules.judge(pages, rules).collect())
+    assert got == Counter([(1, "example.org/en/1", "block"), (2, None, "allow"), (2, None, "allow"), (None, "example.org/es/", "block")])
+    assert urlrules.judge(pages.where("false"), rules).count() == 0
+    longer = [("block", f"host{i}.net/") for i in range(300)]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(urlrules, "RULES_SENT", 100)
+        many = spark.createDataFrame([(i, f"http://w.host{i}.net/a") for i in range(0, 600, 7)], "page_id long, url string")
+        assert {r.page_id: r.verdict for r in urlrules.judge(many, urlrules.rule_table(spark, longer)).collect()} == {i: "block" if i < 300 else "allow" for i in range(0, 600, 7)}
+
+
 def test_pieces_are_bounded_by_bytes():
     batch = pa.RecordBatch.from_pydict({"t": ["x" * (PIECE_BYTES // 3)] * 10 + ["y" * 2 * PIECE_BYTES, "z"]})
     parts = list(pieces(iter([batch, batch.slice(0, 0)])))

@@ -2,81 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows and bytes of one Arrow batch that goes to Python, and bytes that are unpacked at a time: very long texts must not meet in one batch by thousands.
-BATCH_ROWS, BATCH_BYTES, PIECE_BYTES = 1000, 16 << 20, 2 << 20
+from tidemill.sources.batches import PIECE_BYTES, arrow_batches, map_rows, pieces
+from tidemill.sources.tables import fresh_path, parquet
+from tidemill.sources.tables import kept as written
 
+__all__ = ["PIECE_BYTES", "arrow_batches", "fresh_path", "map_rows", "pieces", "table", "written"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. On one machine, where none is configured, a temporary one; a cluster must name it."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        root = tempfile.mkdtemp(prefix="tidemill-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing has used."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again.
-
-    This cuts the lineage: a lost executor costs no more than the tasks it ran.
-    """
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def arrow_batches(df: DataFrame) -> DataFrame:
-    """Sets the batch size with which ``df`` goes to Python."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df
-
-
-def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of all batches in pieces of ``PIECE_BYTES`` at most, or one row; without empty ones."""
-    for batch in batches:
-        waiting = [batch]
-        while waiting:
-            part = waiting.pop()
-            if part.num_rows > 1 and part.nbytes > PIECE_BYTES:
-                half = part.num_rows // 2
-                waiting += [part.slice(half), part.slice(0, half)]
-            elif part.num_rows:
-                yield part
-
-
-def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """Maps Arrow batches. ``make`` runs once in each task and returns the function for its batches."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = make()
-        for batch in pieces(batches):
-            if (out := each(batch)) is not None:
-                yield out
-
-    return arrow_batches(df).mapInArrow(run, schema)
+#: One of the input tables.
+table = parquet
 
 
 def squeezed(values: np.ndarray) -> bytes:
