@@ -121,8 +121,8 @@ def notes(recommended: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def nearest(place: list[Column], palette: list[tuple]) -> Column:
-    """The name of the palette entry (name, coordinates...) with the least squared distance; equal ones by name. The palette is a literal."""
-    far = [F.struct(sum(((c - x) * (c - x) for c, x in zip(place, at, strict=True)), F.lit(0)).alias("d"), F.lit(name).alias("name")) for name, *at in palette]
+    """The name of the palette entry (name, coordinates...) with the least squared distance; of equal ones the first. The palette is a literal."""
+    far = [F.struct(sum(((c - x) * (c - x) for c, x in zip(place, at, strict=True)), F.lit(0)).alias("d"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (name, *at) in enumerate(palette)]
     return F.array_min(F.array(*far))["name"]
 
 

@@ -398,11 +398,33 @@ def url_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parquet(spark, sf_dir, "pages").select("page_id", d.alias("domain"), ops.disclosed(d, "mask").alias("masked"), ops.disclosed(d, "curated").alias("curated"), ops.disclosed(d, "open").alias("open"))
 
 
-@query()
+_HEADED = "replace(replace(replace(replace(html, '<h1>', '<h2>'), '</h1>', '</h2>'), '<p>', '<h3>'), '</p>', '</h3>')"
+_HEADS = lambda i: f"regexp_extract_all({_HEADED}, '(?is)<h([2-4])\\b([^>]*)>(.*?)</h[2-4]>', {i})"
+
+
+@query(f"SELECT page_id, CAST(pos - 1 AS INTEGER) AS pos, CAST(level AS INTEGER) AS level, trim(regexp_replace(title, '<[^>]+>', '', 'g'), '{text.WHITE}') AS text FROM (SELECT page_id, unnest({_HEADS(1)}) AS level, unnest({_HEADS(3)}) AS title, generate_subscripts({_HEADS(1)}, 1) AS pos FROM pages)")
 def heading_toc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parquet(spark, sf_dir, "pages").select("page_id", F.posexplode(ops.headings(F.col("html"))).alias("pos", "h")).select("page_id", "pos", "h.level", "h.text")
+    """The pages' titles and paragraphs as headings of two levels."""
+    html = F.col("html")
+    for old, new in (("<h1>", "<h2>"), ("</h1>", "</h2>"), ("<p>", "<h3>"), ("</p>", "</h3>")):
+        html = F.replace(html, F.lit(old), F.lit(new))
+    return parquet(spark, sf_dir, "pages").select("page_id", F.posexplode(ops.headings(html)).alias("pos", "h")).select("page_id", "pos", "h.level", "h.text")
 
 
-@query()
+_ASKED = "regexp_replace(regexp_replace(html, '(?s)<h1>.*?</h1>', '<h2>About</h2><h3>Not asked</h3><p>and not said here</p><h2>The <b>FAQ</b></h2>'), '(?s)<p>([^<]{4,})</p>', '<h3>Q. \\1</h3> <p>A. \\1</p>', 'g')"
+_PART = f"regexp_extract({_ASKED}, '(?s)<h2>The <b>FAQ</b></h2>(.*)$', 1)"
+_PLAIN = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '\\s+', ' ', 'g'))"
+_SAID = f"regexp_extract_all({_PART}, '(?is)<h3>Q\\. ([^<]*)</h3> <p>A\\. ([^<]*)</p>', 1)"
+
+
+@query(
+    f"WITH p AS (SELECT page_id, list_filter(list_transform({_SAID}, lambda x: {_PLAIN.format('x')}), lambda x: length(x) >= 10)[:10] AS said FROM pages)"
+    " SELECT page_id, CASE WHEN len(said) >= 2 THEN len(said) END AS pairs, CASE WHEN len(said) >= 2 THEN md5(array_to_string(list_transform(said, lambda x: CASE WHEN regexp_matches(x, '[?？]$') THEN x ELSE x || '?' END || '|' || x), chr(10))) END AS pairs_md5 FROM p"
+)
 def faq_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parquet(spark, sf_dir, "pages").select("page_id", ops.faq(F.col("html")).alias("faq"))
+    """Paragraphs asked and answered behind a FAQ heading."""
+    headed = F.regexp_replace("html", r"(?s)<h1>.*?</h1>", "<h2>About</h2><h3>Not asked</h3><p>and not said here</p><h2>The <b>FAQ</b></h2>")
+    asked = F.regexp_replace(headed, r"(?s)<p>([^<]{4,})</p>", "<h3>Q. $1</h3> <p>A. $1</p>")
+    pairs = ops.faq_pairs(asked)
+    joined = F.array_join(F.transform(pairs, lambda x: F.concat(x["q"], F.lit("|"), x["a"])), "\n")
+    return parquet(spark, sf_dir, "pages").select("page_id", F.when(pairs.isNotNull(), F.size(pairs)).cast("bigint").alias("pairs"), F.md5(joined.cast("binary")).alias("pairs_md5"))

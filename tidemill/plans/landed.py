@@ -9,7 +9,7 @@ from tidemill.functions import text
 from tidemill.operators import landed as ops
 from tidemill.operators.upserts import ranked
 from tidemill.plans.book import Book, pick, pick_sql
-from tidemill.sources.tables import files, first_of, image_kind, kept, parquet, sitemap
+from tidemill.sources.tables import files, first_of, fresh_path, image_kind, kept, parquet, sitemap
 
 _book = Book()
 query = _book.query
@@ -180,11 +180,16 @@ def image_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parquet(spark, sf_dir, "pages").select(image_kind(content).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 1 AS files, 0 AS empty")
+@query("SELECT c_nationkey AS nation, c_mktsegment AS segment, count(DISTINCT c_nationkey || c_mktsegment) AS files, 0 AS empty FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY 1, 2")
 def file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    written = kept(parquet(spark, sf_dir, "region").coalesce(1), "scanned")
-    found = files(spark, written.inputFiles()[0].rsplit("/", 1)[0], "*.parquet")
-    return found.agg(F.count("*").alias("files"), F.count_if(F.length("content") == 0).alias("empty"))
+    """Folders of folders with a file for each nation and segment, of which one kind of name is left out."""
+    path = fresh_path(spark, "scanned")
+    rows = parquet(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
+    for kind, some in (("json", rows.where("segment <> 'BUILDING'")), ("csv", rows.where("segment = 'BUILDING'"))):
+        some.repartition("nation", "segment").write.mode("append").partitionBy("nation", "segment").format(kind).save(path)
+    found = files(spark, path, "*.json")
+    part = lambda name: F.regexp_extract("path", f"/{name}=([^/]*)/", 1)
+    return found.groupBy(part("nation").cast("int").alias("nation"), part("segment").alias("segment")).agg(F.count("*").alias("files"), F.count_if(F.length("content") == 0).alias("empty"))
 
 
 @query("SELECT c_custkey, metres, CAST(row_number() OVER (ORDER BY metres NULLS LAST, c_custkey) AS INTEGER) AS rank FROM (SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE (c_custkey * 7919) % 1000 END AS metres FROM customer)")
@@ -218,12 +223,14 @@ def source_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parquet(spark, sf_dir, "customer").select("c_custkey", F.array_join(F.concat(names("base"), own), ",").alias("sources"), F.array_join(chain, ",").alias("chain"))
 
 
-_LENIENT = ["12abc", " -7", "abc", "", "3.9", "+5 x"]
+_LAST = "regexp_extract(coalesce(url, ''), '/([^/]*)$', 1)"
 
 
-@query("SELECT c_custkey, CAST([12, -7, 0, 0, 3, 5][CAST(c_custkey % 6 AS INTEGER) + 1] AS BIGINT) AS n FROM customer")
+@query(f"SELECT page_id, coalesce(TRY_CAST(regexp_extract({_LAST}, '^\\s*([+-]?\\d+)', 1) AS BIGINT), 0) AS n, coalesce(TRY_CAST(regexp_extract(substring({_LAST}, 3), '^\\s*([+-]?\\d+)', 1) AS BIGINT), 0) AS tail FROM pages")
 def lenient_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parquet(spark, sf_dir, "customer").select("c_custkey", text.first_int(pick(F.col("c_custkey"), _LENIENT)).alias("n"))
+    """The numbers that the last part of each URL, and what follows its first two characters, begin with."""
+    last = F.regexp_extract(F.coalesce("url", F.lit("")), "/([^/]*)$", 1)
+    return parquet(spark, sf_dir, "pages").select("page_id", text.first_int(last).alias("n"), text.first_int(F.substring(last, 3, 1 << 20)).alias("tail"))
 
 
 @query("SELECT user_id, count(*) FILTER (CAST(ts AS DATE) = DATE '2024-01-30') AS today FROM events GROUP BY 1")

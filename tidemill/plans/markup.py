@@ -59,11 +59,13 @@ def html_minified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", _md5(ops.minified(F.col("html"))).alias("html_md5"))
 
 
-@query("""SELECT page_id, '<img src="a.png" loading="lazy"><IMG loading="eager" src="b"><image>' || CASE WHEN page_id % 2 = 0 THEN '<h2 style="x">t</h2>' ELSE '<h2 class="c" style="y">t</h2>' END AS html FROM pages""")
+@query("""SELECT page_id, md5(replace(regexp_replace(replace(html, '<p>', '<p style="y">'), '<a (href="[^"]*")>', '<a \\1 style="y">', 'g'), '<div class="ad">', '<div class="ad" style="y">')) AS html_md5 FROM pages""")
 def attributes_added(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.when(F.col("page_id") % 2 == 0, '<h2 style="x">t</h2>').otherwise('<h2 class="c">t</h2>')
-    html = F.concat(F.lit('<img src="a.png"><IMG loading="eager" src="b"><image>'), head)
-    return _pages(spark, sf_dir).select("page_id", ops.with_attribute(ops.with_attribute(html, "img", "loading", "lazy"), "h2", "style", "y").alias("html"))
+    """A style for paragraphs and links, a class where none is, and a style for what has a class."""
+    html = F.col("html")
+    for tag, name, value in (("p", "style", "y"), ("a", "style", "y"), ("div", "class", "z"), ("div", "style", "y")):
+        html = ops.with_attribute(html, tag, name, value)
+    return _pages(spark, sf_dir).select("page_id", _md5(html).alias("html_md5"))
 
 
 @query("""SELECT page_id, '{"@context":"https://schema.org","@type":"Article","headline":"page ' || page_id || '","description":"","keywords":"k","datePublished":"2024-01-30","dateModified":"2024-01-30","author":{"@type":"Organization","name":"n"},"mainEntityOfPage":{"@type":"WebPage","@id":"' || url || '"}}' AS article, 'Home › ' || CASE WHEN page_id % 2 = 0 THEN 'News › ' ELSE '' END || 'page ' || page_id AS trail FROM pages WHERE url IS NOT NULL""")

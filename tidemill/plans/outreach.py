@@ -84,6 +84,13 @@ def contact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching(_contacts(spark, sf_dir), {"type": "pr", "status": "lead", "site": "", "id": None}).select("k")
 
 
+@query("SELECT p_partkey FROM part WHERE contains(lower(p_name), 'red') AND p_size = 7")
+def pill_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name in part and a size; of four filters one at least is asked for, the type is a fifth that does not count."""
+    wanted = {"p_name": " RED ", "p_brand": "", "p_size": 7, "p_partkey": None, "p_type": ""}
+    return matching(parquet(spark, sf_dir, "part"), wanted, within=("p_name",), counted=("p_name", "p_brand", "p_size", "p_partkey")).select("p_partkey")
+
+
 _PHONES = "CASE c_custkey % 3 WHEN 0 THEN '+82 10-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') || '-5678' WHEN 1 THEN '010-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') || '-1234' ELSE '(02) 555 ' || c_custkey END"
 
 

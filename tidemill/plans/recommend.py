@@ -109,8 +109,12 @@ def evidence_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(rows.select("p_partkey", (F.col("n") * 2 + F.col("evidence")).alias("score"), "evidence"), [F.desc("score"), F.desc("evidence"), "p_partkey"])
 
 
-_PALETTE = [("red", 255, 0, 0), ("blue", 0, 0, 255), ("white", 255, 255, 255), ("black", 0, 0, 0)]
-_NEAR = ", ".join(f"{{'d': (p_partkey * 37 % 256 - {r}) * (p_partkey * 37 % 256 - {r}) + (p_partkey * 91 % 256 - {g}) * (p_partkey * 91 % 256 - {g}) + (p_size * 5 % 256 - {b}) * (p_size * 5 % 256 - {b}), 'name': '{n}'}}" for n, r, g, b in _PALETTE)
+#: The colours of reference.
+_PALETTE = [
+    ("하양", 245, 245, 245), ("노랑", 245, 208, 51), ("주황", 239, 138, 58), ("분홍", 241, 155, 176), ("빨강", 224, 80, 58), ("갈색", 138, 90, 58),
+    ("초록", 58, 168, 115), ("파랑", 58, 123, 213), ("보라", 138, 99, 196), ("회색", 154, 168, 160), ("검정", 51, 51, 51),
+]
+_NEAR = ", ".join(f"{{'d': (p_partkey * 37 % 256 - {r}) * (p_partkey * 37 % 256 - {r}) + (p_partkey * 91 % 256 - {g}) * (p_partkey * 91 % 256 - {g}) + (p_size * 5 % 256 - {b}) * (p_size * 5 % 256 - {b}), 'i': {i}, 'name': '{n}'}}" for i, (n, r, g, b) in enumerate(_PALETTE))
 
 
 @query(f"SELECT p_partkey, list_sort([{_NEAR}])[1].name AS name FROM part")

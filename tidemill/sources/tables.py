@@ -71,13 +71,16 @@ def first_of(*choices: tuple[str, Column]) -> tuple[Column, Column]:
     return value, source
 
 
-def matching(df: DataFrame, wanted: dict[str, object], at_least: int = 1) -> DataFrame:
-    """Rows that equal all given values; empty ones ask nothing, and too few of them are refused."""
-    asked = {k: v for k, v in wanted.items() if v not in (None, "")}
-    if len(asked) < at_least:
+def matching(df: DataFrame, wanted: dict[str, object], at_least: int = 1, within: Sequence[str] = (), counted: Sequence[str] | None = None) -> DataFrame:
+    """Rows that equal all given values, or hold them in the columns of ``within``, whatever the case.
+
+    Empty values ask nothing, and fewer than ``at_least`` that ask are refused; only those of ``counted`` count, where it is given.
+    """
+    asked = {k: v for k, v in wanted.items() if v is not None and str(v).strip() != ""}
+    if len([k for k in asked if counted is None or k in counted]) < at_least:
         raise ValueError(f"at least {at_least} filter is needed")
     for k, v in asked.items():
-        df = df.where(F.col(k) == v)
+        df = df.where(F.contains(F.lower(F.col(k)), F.lit(str(v).strip().lower())) if k in within else F.col(k) == v)
     return df
 
 
