@@ -71,7 +71,7 @@ def contact_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("k", "status", "name").unionByName(removed.agg(F.lit(-1).cast("bigint").alias("k"), F.count("*").cast("string").alias("status"), F.lit("removed").alias("name")))
 
 
-@query(f"SELECT k, 'email=&name=' || replace(replace(name, '#', '%23'), ' ', '%20') || '&type=' || type AS form FROM ({_CONTACTS})")
+@query(f"SELECT k, 'email=&name=' || url_encode(name) || '&type=' || type AS form FROM ({_CONTACTS})")
 def contact_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.functions.markup import query_string
 
