@@ -343,3 +343,18 @@ def test_broken_files_fall_back_one_by_one(spark):
     texts = spark.createDataFrame(list(enumerate(bodies)), "file long, body string")
     rows = tables.json_rows_or(texts, "body", "a bigint", F.array(F.struct(F.lit(-1).alias("a")))).collect()
     assert sorted((r.file, r.a, r.fell_back) for r in rows) == [(0, 1, False), (0, 2, False), (1, 3, False), *((i, -1, True) for i in (3, 4, 5, 6, 7, 8))]
+
+
+def test_search_needs_a_filter_that_counts(spark):
+    rows = spark.createDataFrame([("Red Ring", "b1", 7), ("big red bolt", "b2", 7), ("blue", "b1", 7)], "name string, brand string, size int")
+    found = lambda wanted, **more: sorted(r.name for r in tables.matching(rows, wanted, **more).collect())
+    assert found({"name": " RED ", "brand": "", "size": None}, within=("name",)) == ["Red Ring", "big red bolt"]
+    assert found({"name": "red", "brand": "b1"}, within=("name",)) == ["Red Ring"] and found({"name": "red"}) == []
+    with pytest.raises(ValueError):
+        tables.matching(rows, {"name": "  ", "size": 7}, counted=("name", "brand"))
+
+
+def test_boards_hold_valid_domains_only(spark):
+    rows = spark.createDataFrame([("\thttps://WWW.a.example/x\n", 50.7), ("a.example:80", 120.0), ("localhost", 90.0), (None, 90.0), ("b" * 80 + ".com", 9.0), ("c.org", 0.4)], "url string, score double").withColumn("ts", F.lit("2024-01-31 16:00:00").cast("timestamp_ntz"))
+    got = {(r.period, r.member, r.score) for r in traffic.domain_leaderboard(rows, "ts", "url", F.col("score")).collect()}
+    assert got == {(p, "a.example", 100) for p in ("all", "2024-02", "2024-W05")}

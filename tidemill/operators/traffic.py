@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.dates import iso_week_key, local_day, month_key
 from tidemill.functions.scoring import round_half_up
+from tidemill.operators.content import domain
 
 #: Channels by a pattern of the host, first match wins.
 CHANNELS: list[tuple[str, str]] = [
@@ -65,6 +66,12 @@ def leaderboard(scores: DataFrame, ts: str, member: str, score: Column, hours: i
     return score_rows(scores, ts, member, score, hours).groupBy("period", "member").agg(F.max("score").alias("score"))
 
 
+def domain_leaderboard(scores: DataFrame, ts: str, url: str, score: Column, hours: int = 9) -> DataFrame:
+    """The board of the domains in ``url``; what is no domain has no score."""
+    named = scores.withColumn("__domain", domain(F.col(url))).where("__domain <> ''")
+    return leaderboard(named, ts, "__domain", score, hours)
+
+
 def score_rows(scores: DataFrame, ts: str, member: str, score: Column, hours: int = 9) -> DataFrame:
     """(member, score, period): a row for each period of a score. Scores are cut to whole ones within 0 and 100; 0 is no score."""
     day = local_day(F.col(ts), hours)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.dates import local_day
+from tidemill.functions.text import WHITE
 from tidemill.operators import traffic as ops
 from tidemill.operators import upserts
 from tidemill.plans.book import Book
@@ -62,12 +63,28 @@ _BOARD = f"""SELECT period, member, max(score) AS score FROM (
 
 BOARD_SQL = _BOARD
 
+#: URLs as they are sent: some with white space, some without a domain.
+_SENT = "CASE page_id % 5 WHEN 0 THEN chr(9) || upper(url) || chr(10) WHEN 1 THEN 'localhost' WHEN 2 THEN '' ELSE url END"
+_HOST = rf"regexp_replace(regexp_replace(regexp_replace(trim(lower({_SENT}), '{WHITE}'), '^https?://', ''), '^www\.', ''), '[/?:].*$', '')"
+_DOMAINS = rf"SELECT {_HOST} AS member, page_id * 7 % 113 - 3 AS score, CAST(DATE '2023-11-20' + CAST(page_id % 80 AS INTEGER) AS DATE) AS d FROM pages WHERE regexp_matches({_HOST}, '^[a-z0-9.-]+\.[a-z]{{2,}}$') AND length({_HOST}) <= 80"
+_DOMAIN_BOARD = _BOARD.replace(_SCORES, f"SELECT member, least(100, score) AS score, d FROM ({_DOMAINS})")
+
 
 def _board(spark: SparkSession, sf_dir: str, *days: str) -> DataFrame:
     events = parquet(spark, sf_dir, "events")
     return ops.leaderboard(ops.within_days(events, *days) if days else events, "ts", "user_id", F.col("value"))
 
 
+@query(_DOMAIN_BOARD)
+def leaderboard_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as submissions of scores: only those of real domains count, whatever the case and white space."""
+    i, url = F.col("page_id"), F.col("url")
+    sent = F.when(i % 5 == 0, F.concat(F.lit("\t"), F.upper(url), F.lit("\n"))).when(i % 5 == 1, "localhost").when(i % 5 == 2, "").otherwise(url)
+    at = F.date_add(F.lit("2023-11-20").cast("date"), (i % 80).cast("int")).cast("timestamp_ntz")
+    rows = parquet(spark, sf_dir, "pages").select(sent.alias("url"), at.alias("ts"), (i * 7 % 113 - 3).alias("score"))
+    return ops.domain_leaderboard(rows, "ts", "url", F.col("score"))
+
+
 @query(_BOARD)
 def leaderboard_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _board(spark, sf_dir)
