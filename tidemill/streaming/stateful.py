@@ -6,7 +6,8 @@ a replay fires what the first run fired. Expiry goes by the clock of the machine
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from tidemill.streaming.counters import BOARD_TTL, DAY_TTL
 
-HOUR, DAY = 3600 * 10**6, 24 * 3600 * 10**6
+HOUR, DAY, MONTH = 3600 * 10**6, 24 * 3600 * 10**6, 30 * 24 * 3600 * 10**6
 #: Slots that one poll publishes at most.
 PER_POLL = 3
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -31,36 +32,66 @@ def up(us: int, step: int) -> int:
     return -(-us // step) * step
 
 
+#: Ids that share a key of the state: a call to the state costs more than the alarms of a whole block.
+BLOCK_BITS = 10
+
+
 class Alarms(StatefulProcessor):
-    """An alarm fires when its time has come, once however late that is noticed, and moves on past now by whole days."""
+    """An alarm fires when its time has come, once however late that is noticed, and moves on past now by whole days.
+
+    A key holds the alarms of a block of ids, and one timer for the earliest of them.
+    """
 
     def __init__(self, every_days: int) -> None:
         self.every = every_days * DAY
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.alarm = handle.getValueState("alarm", "next_fire bigint, active boolean")
+        self.block = handle.getValueState("block", "timer bigint, ids array<bigint>, due array<bigint>, active array<boolean>")
+
+    def held(self) -> tuple[int | None, dict[int, tuple[int, bool]]]:
+        if not self.block.exists():
+            return None, {}
+        timer, ids, due, active = self.block.get()
+        return timer, dict(zip(ids, zip(due, active, strict=True), strict=True))
+
+    def keep(self, old: int | None, alarms: dict[int, tuple[int, bool]]) -> None:
+        """Writes a block and moves its timer from ``old`` to the earliest active alarm."""
+        timer = min((up(due, 1000) // 1000 for due, active in alarms.values() if active), default=None)
+        if old is not None and timer != old:
+            self.handle.deleteTimer(old)
+        if timer is not None and timer != old:
+            self.handle.registerTimer(timer)
+        if alarms:
+            self.block.update((timer, list(alarms), *map(list, zip(*alarms.values(), strict=True))))
+        else:
+            self.block.clear()
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        last = max(rows, key=lambda r: r.seen)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if last.next_fire is None:
-            self.alarm.clear()
-            return iter(())
-        self.alarm.update((last.next_fire, bool(last.active)))
-        if last.active:
-            self.handle.registerTimer(up(last.next_fire, 1000) // 1000)
+        last: dict[int, tuple] = {}
+        for row in rows:
+            one, active, due, seen = row.id, row.active, row.next_fire, row.seen
+            if one not in last or seen > last[one][0]:
+                last[one] = seen, due, bool(active)
+        timer, alarms = self.held()
+        for one, (_, due, active) in last.items():
+            if due is None:
+                alarms.pop(one, None)
+            else:
+                alarms[one] = due, active
+        if alarms or timer is not None:
+            self.keep(timer, alarms)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        if self.alarm.exists():
-            due, active = self.alarm.get()
-            now = timerValues.getCurrentWatermarkInMs() * 1000
-            following = due + (max(0, now - due) // self.every + 1) * self.every
-            self.alarm.update((following, active))
-            self.handle.registerTimer(up(following, 1000) // 1000)
-            yield Row(id=key[0], fired=due, next_fire=following)
+        _, alarms = self.held()
+        ms = timerValues.getCurrentWatermarkInMs()
+        for one, (due, active) in alarms.items():
+            if active and up(due, 1000) // 1000 < ms:
+                following = due + ((ms * 1000 - due) // self.every + 1) * self.every
+                alarms[one] = following, active
+                yield Row(id=one, fired=due, next_fire=following)
+        self.keep(None, alarms)  # the timer that went off is gone
 
     def close(self) -> None:
         pass
@@ -75,47 +106,71 @@ def alarms(rows: DataFrame, every_days: int = 1) -> DataFrame:
     with_store(rows.sparkSession)
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     timed = rows.withColumn("seen_at", F.col("seen_at").cast("timestamp")).withWatermark("seen_at", "0 seconds")
-    fired = timed.select("id", "active", us("next_fire_at").alias("next_fire"), us("seen_at").alias("seen"), "seen_at").groupBy("id").transformWithState(Alarms(every_days), "id bigint, fired bigint, next_fire bigint", "Append", "EventTime")
+    fired = timed.select(F.shiftright("id", BLOCK_BITS).alias("block"), "id", "active", us("next_fire_at").alias("next_fire"), us("seen_at").alias("seen"), "seen_at").groupBy("block").transformWithState(Alarms(every_days), "id bigint, fired bigint, next_fire bigint", "Append", "EventTime")
     return fired.select("id", F.timestamp_micros("fired").alias("fired_at"), F.timestamp_micros("next_fire").alias("next_fire_at"))
 
 
 class Publisher(StatefulProcessor):
-    """Polls a lane as long as slots wait; each poll publishes the earliest slots that are due, a few at most, and each slot once."""
+    """Polls a lane as long as slots wait; each poll publishes the earliest slots that are due, a few at most, and each slot once.
+
+    A lane has one timer, for its next poll, and what it has published is kept by months, so a slot costs no call to the state of its own.
+    """
 
     def __init__(self, every: int, most: int) -> None:
         self.every, self.most = every, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.slots = handle.getMapState("slots", "slot bigint", "published boolean")
-        self.polled = handle.getValueState("polled", "at bigint")
+        self.lane = handle.getValueState("lane", "polled bigint, timer bigint, waiting array<bigint>")
+        self.published = handle.getMapState("published", "month bigint", "slots array<bigint>")
+
+    def held(self) -> tuple[int | None, int | None, list[int]]:
+        return tuple(self.lane.get()) if self.lane.exists() else (None, None, [])
+
+    def next_poll(self, waiting: Sequence[int], polled: int | None) -> int | None:
+        """The hour of the earliest slot, but after the last poll; null if none waits."""
+        if not waiting:
+            return None
+        return up(waiting[0], self.every) if polled is None else max(up(waiting[0], self.every), polled + self.every)
+
+    def keep(self, polled: int | None, old: int | None, waiting: list[int]) -> None:
+        """Writes a lane and moves its timer from ``old`` to the next poll."""
+        poll = self.next_poll(waiting, polled)
+        timer = None if poll is None else poll // 1000
+        if old is not None and timer != old:
+            self.handle.deleteTimer(old)
+        if timer is not None and timer != old:
+            self.handle.registerTimer(timer)
+        self.lane.update((polled, timer, waiting))
+
+    def of_month(self, month: int) -> list[int]:
+        return list(self.published.getValue((month,))[0]) if self.published.containsKey((month,)) else []
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        last = self.polled.get()[0] if self.polled.exists() else None
-        for slot in {r.slot for r in rows if r.slot is not None}:
-            if not self.slots.containsKey((slot,)):
-                self.slots.updateValue((slot,), (False,))
-                poll = up(slot, self.every)
-                self.handle.registerTimer((poll if last is None else max(poll, last + self.every)) // 1000)
+        new = {r.slot for r in rows if r.slot is not None}
+        if new:
+            polled, timer, waiting = self.held()
+            if polled is not None:
+                for month in {slot // MONTH for slot in new}:
+                    new.difference_update(self.of_month(month))
+            self.keep(polled, timer, sorted(new.union(waiting)))
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        at, now = expiredTimerInfo.getExpiryTimeInMs() * 1000, timerValues.getCurrentWatermarkInMs() * 1000
-        if self.polled.exists() and at <= self.polled.get()[0]:
-            return
-        waiting = sorted(slot for (slot,), (published,) in self.slots.iterator() if not published)
-        while waiting and at <= now:
-            due = [slot for slot in waiting[: self.most] if slot <= at]
-            for slot in due:
-                self.slots.updateValue((slot,), (True,))
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        polled, _, waiting = self.held()
+        done, months = 0, defaultdict(list)
+        while (at := self.next_poll(waiting[done : done + 1], polled)) is not None and at <= now:
+            for slot in waiting[done : done + self.most]:
+                if slot > at:
+                    break
+                months[slot // MONTH].append(slot)
+                done += 1
                 yield Row(lane=key[0], slot=slot, published=at)
-            self.polled.update((at,))
-            waiting = waiting[len(due) :]
-            if not waiting or waiting[0] > at:
-                break  # the next slot has a timer of its own
-            at += self.every
-        if waiting and waiting[0] <= at and at > now:
-            self.handle.registerTimer(at // 1000)
+            polled = at
+        for month, slots in months.items():
+            self.published.updateValue((month,), (self.of_month(month) + slots,))
+        self.keep(polled, None, waiting[done:])  # the timer that went off is gone
 
     def close(self) -> None:
         pass
