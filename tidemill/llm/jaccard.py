@@ -357,7 +357,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     """
     base = written(base_table(docs, width), "sets")
     owners = written(base.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null"), "owners")
-    shared = docs.sparkSession.sparkContext.broadcast(sketch(docs, width).astype(np.uint32))
+    counts = sketch(docs, width)
+    shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.min_scalar_type(int(counts.max()))))
     lists = written(with_hubs(postings(docs, shared, width, num, den)), "postings")
     met = written(verified(docs, owners, hub_pairs(lists, num, den), shared, width, num, den), "links")
     first = met.where("link").select("a", "b")
