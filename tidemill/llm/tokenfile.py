@@ -30,6 +30,8 @@ from tidemill.llm.common import arrow_batches, pieces
 MAGIC = b"TIDEIDS1"
 SELECT_STEP = 256
 CACHE_WORDS = 300_000
+#: Stands between new words that go to the library together, so many in a text.
+MARK, TOGETHER = "\0", 200
 #: Bytes of text that a range of documents has, about, and bytes of ids at which a file is closed.
 RANGE_BYTES, FILE_BYTES = 64 << 20, 64 << 20
 
@@ -153,10 +155,31 @@ class WordIds:
     """Ids of whole texts. The library encodes each new word; ASCII white space always separates words, and is dropped.
 
     Words are kept in two generations: those met again move to the recent one, so common words are never encoded twice.
+    New words go to the library in texts of many words with a mark between them, as a call for each word costs more than the word.
     """
 
     def __init__(self, vocabulary: str, width: int) -> None:
-        self.encode, self.kind, self.recent, self.older = library(vocabulary).encode_batch_fast, "H" if width == 2 else "I", {}, {}
+        self.encode, self.width, self.recent, self.older = library(vocabulary).encode_batch_fast, width, {}, {}
+        mark = self.ids([MARK])[0]
+        self.mark = int.from_bytes(mark, "little") if len(mark) == width else None
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        return [array("H" if self.width == 2 else "I", e.ids).tobytes() for e in self.encode(texts, add_special_tokens=False)]
+
+    def of_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word; words in a text that the mark does not cut into just these words are encoded one by one."""
+        if self.mark is None:
+            return self.ids([w.decode() for w in words])
+        out, step = [], self.width
+        cuts = range(0, len(words), TOGETHER)
+        for at, ids in zip(cuts, self.ids([f" {MARK} ".encode().join(words[k : k + TOGETHER]).decode() for k in cuts]), strict=True):
+            marks = (np.flatnonzero(np.frombuffer(ids, f"<u{step}") == self.mark) * step).tolist()
+            some = words[at : at + TOGETHER]
+            if len(marks) == len(some) - 1 and not any(MARK.encode() in w for w in some):
+                out += [ids[a:b] for a, b in zip([0, *(m + step for m in marks)], [*marks, len(ids)], strict=True)]
+            else:
+                out += self.ids([w.decode() for w in some])
+        return out
 
     def learn(self, words: set[bytes]) -> None:
         """Has ids for these words in ``recent``."""
@@ -169,8 +192,7 @@ class WordIds:
         rest = list(new.difference(kept))
         for at in range(0, len(rest), 20_000):
             some = rest[at : at + 20_000]
-            found = self.encode([w.decode() for w in some], add_special_tokens=False)
-            self.recent.update((w, array(self.kind, e.ids).tobytes()) for w, e in zip(some, found, strict=True))
+            self.recent.update(zip(some, self.of_words(some), strict=True))
 
     def batch(self, texts: list[str]) -> list[bytes]:
         words = [text.encode().split() for text in texts]
