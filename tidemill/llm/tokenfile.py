@@ -11,29 +11,39 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import arrow_batches, pieces
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 MAGIC = b"TIDEIDS1"
 SELECT_STEP = 256
 CACHE_WORDS = 300_000
+#: Letters that the library's normaliser lower-cases at most, wherever they stand: printable ASCII and the letters of Latin-1.
+PLAIN = "".join(map(chr, [*range(0x21, 0x7F), *range(0xC0, 0x100)]))
+PLAIN_WORD = "^[!-~\u00c0-\u00ff]+$"
 #: Stands between new words that go to the library together, so many in a text.
 MARK, TOGETHER = "\0", 200
 #: Bytes of text that a range of documents has, about, and bytes of ids at which a file is closed.
 RANGE_BYTES, FILE_BYTES = 64 << 20, 64 << 20
+#: Bytes of text whose words are told apart at a time: the more, the fewer.
+WORDS_BYTES = 4 << 20
 
 
 class EliasFano:
@@ -143,7 +153,7 @@ def word_ids(path: str, width: int) -> WordIds:
 
 
 @lru_cache(maxsize=2)
-def library(path: str):
+def library(path: str) -> Tokenizer:
     """The library's tokenizer, once in each Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -151,53 +161,131 @@ def library(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=2)
+def plain_words(path: str) -> tuple[str, Tokenizer, np.ndarray] | None:
+    """For words of ``PLAIN``: the file's pattern of pre-tokens, the library without its normaliser, and which ids end a pre-token.
+
+    None if the file's normaliser does more to these letters than lower-case them, or its pattern cuts otherwise here than in the library.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    whole, suffix, split = library(path), spec["model"].get("end_of_word_suffix"), (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+    pattern, probe = split.get("pattern", {}).get("Regex"), PLAIN.lower() + "'s'lla'd12ab--\u00e97'\u00f7'very'"
+    if not suffix or not pattern or whole.normalizer is None or whole.normalizer.normalize_str(PLAIN) != PLAIN.lower():
+        return None
+    try:
+        cut = pc.split_pattern(pc.replace_substring_regex(pa.array([probe]), pattern, r"\0 "), " ")[0].as_py()
+    except pa.ArrowInvalid:
+        return None
+    if [x for x in cut if x] != [probe[a:b] for _, (a, b) in whole.pre_tokenizer.pre_tokenize_str(probe)]:
+        return None
+    bare = type(whole)(whole.model)  # the same model, kept once
+    bare.pre_tokenizer = whole.pre_tokenizer
+    ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+    ends[[i for token, i in spec["model"]["vocab"].items() if token.endswith(suffix)]] = True
+    return pattern, bare, ends
+
+
+def listed(words: pa.StringArray) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()  # as to_pylist(), which takes ten times as long
+
+
+def joined(values: pa.LargeBinaryArray, offsets: pa.Array) -> pa.LargeBinaryArray:
+    """The values of each list in one; ``values`` are those of all lists, newly made, and ``offsets`` tell where lists end."""
+    at = np.frombuffer(values.buffers()[1], np.int64, len(values) + 1)[np.asarray(offsets)]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), values.buffers()[2]])
+
+
 class WordIds:
-    """Ids of whole texts. The library encodes each new word; ASCII white space always separates words, and is dropped.
+    """Ids of whole texts. ASCII white space always separates words, and is dropped.
 
-    Words are kept in two generations: those met again move to the recent one, so common words are never encoded twice.
-    New words go to the library in texts of many words with a mark between them, as a call for each word costs more than the word.
+    Plain words are lower-cased and cut into their pre-tokens, of which there are far fewer, and the library encodes each
+    pre-token that is new; other words go to the library whole. What it gave is kept in two generations: what is met again moves
+    to the recent one, so common words are never encoded twice. Both go to the library many in a text, as a call for each costs more
+    than the word: pre-tokens are told apart by their last ids, words by a mark between them.
     """
 
     def __init__(self, vocabulary: str, width: int) -> None:
         self.encode, self.width, self.recent, self.older = library(vocabulary).encode_batch_fast, width, {}, {}
+        self.added = [t.content for t in library(vocabulary).get_added_tokens_decoder().values()]
+        self.plain = plain_words(vocabulary)
         mark = self.ids([MARK])[0]
         self.mark = int.from_bytes(mark, "little") if len(mark) == width else None
 
+    def packed(self, encodings: list) -> list[bytes]:
+        return [array("H" if self.width == 2 else "I", e.ids).tobytes() for e in encodings]
+
     def ids(self, texts: list[str]) -> list[bytes]:
-        return [array("H" if self.width == 2 else "I", e.ids).tobytes() for e in self.encode(texts, add_special_tokens=False)]
+        return self.packed(self.encode(texts, add_special_tokens=False))
 
-    def of_words(self, words: list[bytes]) -> list[bytes]:
+    def of_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word; words in a text that the mark does not cut into just these words are encoded one by one."""
         if self.mark is None:
-            return self.ids([w.decode() for w in words])
+            return self.ids(words)
         out, step = [], self.width
         cuts = range(0, len(words), TOGETHER)
-        for at, ids in zip(cuts, self.ids([f" {MARK} ".encode().join(words[k : k + TOGETHER]).decode() for k in cuts]), strict=True):
+        for at, ids in zip(cuts, self.ids([f" {MARK} ".join(words[k : k + TOGETHER]) for k in cuts]), strict=True):
             marks = (np.flatnonzero(np.frombuffer(ids, f"<u{step}") == self.mark) * step).tolist()
             some = words[at : at + TOGETHER]
-            if len(marks) == len(some) - 1 and not any(MARK.encode() in w for w in some):
+            if len(marks) == len(some) - 1 and not any(MARK in w for w in some):
                 out += [ids[a:b] for a, b in zip([0, *(m + step for m in marks)], [*marks, len(ids)], strict=True)]
             else:
-                out += self.ids([w.decode() for w in some])
+                out += self.ids(some)
         return out
 
-    def learn(self, words: set[bytes]) -> None:
-        """Has ids for these words in ``recent``."""
-        new = words.difference(self.recent)
+    def of_tokens(self, tokens: list[str]) -> list[bytes]:
+        """Ids of each pre-token of plain words; those in a text whose ids do not end as many pre-tokens are encoded one by one."""
+        _, bare, ends = self.plain
+        out, cuts = [], range(0, len(tokens), TOGETHER)
+        for at, ids in zip(cuts, self.packed(bare.encode_batch_fast([" ".join(tokens[k : k + TOGETHER]) for k in cuts], add_special_tokens=False)), strict=True):
+            stops = ((np.flatnonzero(ends[np.frombuffer(ids, f"<u{self.width}")]) + 1) * self.width).tolist()
+            some = tokens[at : at + TOGETHER]
+            if len(stops) == len(some) and stops[-1] == len(ids):
+                out += [ids[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+            else:
+                out += self.ids(some)
+        return out
+
+    def learn(self, tokens: list[str], words: list[str]) -> None:
+        """Has ids for these pre-tokens and words in ``recent``."""
+        met = {*tokens, *words}
+        new = met.difference(self.recent)
         if len(self.recent) + len(new) > CACHE_WORDS:
             self.older, self.recent = self.recent, {}
-            new = words
+            new = met
         kept = new.intersection(self.older)
         self.recent.update((w, self.older[w]) for w in kept)
-        rest = list(new.difference(kept))
-        for at in range(0, len(rest), 20_000):
-            some = rest[at : at + 20_000]
-            self.recent.update(zip(some, self.of_words(some), strict=True))
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        words = [text.encode().split() for text in texts]
-        self.learn(set(chain.from_iterable(words)))
-        return [b"".join(map(self.recent.__getitem__, w)) for w in words]
+        self.recent[""] = b""
+        for encode, units in ((self.of_tokens, tokens), (self.of_words, words)):
+            rest = [w for w in units if w not in self.recent]
+            for at in range(0, len(rest), 20_000):
+                some = rest[at : at + 20_000]
+                self.recent.update(zip(some, encode(some), strict=True))
+
+    def is_plain(self, words: pa.StringArray) -> pa.BooleanArray:
+        """Whether a word has letters of ``PLAIN`` only, and no added token in either case."""
+        if self.plain is None:
+            return pa.array(np.zeros(len(words), bool))
+        found = pc.match_substring_regex(words, PLAIN_WORD)
+        if self.added:
+            found = pc.and_not(found, pc.match_substring_regex(words, "|".join(map(re.escape, self.added)), ignore_case=True))
+        return found
+
+    def batch(self, texts: pa.StringArray | list[str]) -> list[bytes]:
+        lists = pc.ascii_split_whitespace(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary
+        plain = self.is_plain(words)
+        lower = pc.utf8_lower(words.filter(plain))
+        cut = pc.split_pattern(pc.replace_substring_regex(lower, self.plain[0], r"\0 ") if self.plain else lower, " ")
+        parts = cut.flatten().dictionary_encode()
+        tokens, others = listed(parts.dictionary), listed(words.filter(pc.invert(plain)))
+        self.learn(tokens, others)
+        known = lambda units: pa.array(list(map(self.recent.__getitem__, units)), pa.large_binary())
+        ids = pa.concat_arrays([joined(known(tokens).take(parts.indices), cut.offsets), known(others)])
+        first = plain.to_numpy(zero_copy_only=False)
+        place = np.where(first, np.cumsum(first) - 1, len(lower) + np.cumsum(~first) - 1)
+        return joined(ids.take(pa.array(place[np.asarray(coded.indices)], pa.int64())), lists.offsets).to_pylist()
 
 
 def id_width(vocabulary: str) -> int:
@@ -244,8 +332,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
             held, files = 0, files + 1
             return made
 
-        for batch in pieces(batches):
-            for doc_id, ids in zip(batch.column(0).to_pylist(), words.batch(batch.column(1).to_pylist()), strict=True):
+        for batch in pieces(batches, WORDS_BYTES):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), words.batch(batch.column(1)), strict=True):
                 doc_ids.append(doc_id)
                 parts += [ids, end]
                 lengths.append(len(ids) // width + 1)
