@@ -63,7 +63,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null and empty texts and rows without an id stay; of an id with several rows all go if one holds a leak. Without items
     nothing goes.
     """
-    return decontam.without_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+    return decontam.without_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), common=True)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -470,6 +470,29 @@ def test_turns_of_phrase_are_no_leaks(spark):
     assert leaked(spark, items, docs) == [(60, 0, "exact"), (61, 1, "exact")]
 
 
+def test_short_items_that_many_documents_hold(spark, tmp_path):
+    """The query and the pipeline find a short item in every document that holds it, however many do and however often."""
+    items = [(0, "who wrote the red book"), (1, "What is 12 times 12?"), (2, "in the end")]
+    docs = [(i, f"text {i} asks who wrote the red book and says more") for i in range(60)]
+    docs += [(100 + i, f"he asked: What is {i} times {i}? and then: what is 3 times 4? " * 5) for i in range(60)] + [(200, "what is 3 times 4? and so on"), (201, "in the end " * 400)]
+    for name, rows, kind in (("benchmark", items, "item_id long, text string"), ("documents", docs, "doc_id long, text string")):
+        spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    want = [(i, 0, "exact") for i in range(60)] + [(100 + i, 1, "exact" if i == 12 else "template") for i in range(60)] + [(201, 2, "exact")]
+    got = queries.op9_decontaminate(spark, str(tmp_path))
+    assert sorted((r.doc_id, r.item_id, r.kind) for r in got.collect()) == want
+    table = spark.createDataFrame([(i, t, None, None, None) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in corpus_pipeline.decontaminated(spark, table, str(tmp_path)).collect()] == [200]
+
+
+def test_a_short_item_is_told_once_for_a_text(spark):
+    """A text that says an item a thousand times gives a window for each way in which its values are the same."""
+    rows = spark.createDataFrame([(1, "the 5 and 5 or the 6 and 7 or " * 500)], "doc_id long, text string")
+    known = decontam.window_table(spark.createDataFrame([(1, "the 1 and 2")], "item long, text string"), "item", "text")
+    marks = decontam.window_filter(known)
+    got = decontam.window_table(rows, "doc_id", "text", marks, marks, [4]).where("width = 4 and family = 1").collect()
+    assert len(got) == 2 and sorted(len(set(r.fills)) for r in got) == [1, 2]
+
+
 def plain_template_leaks(items, docs):
     """Items of lower-case words, numbers and names inside a sentence, laid over every place of every text."""
     kind = lambda w: "number" if w[0].isdigit() else "name" if w[0].isupper() else w
